@@ -129,7 +129,7 @@ def merge_empty_headings(sections: Column, lines: Column) -> Column:
 
         # A run of empty headings at the end stops at the last section.
         closed = F.when(
-            F.coalesce(F.element_at(full, -1), F.lit(0)) < count,
+            F.coalesce(F.try_element_at(full, F.lit(-1)), F.lit(0)) < count,
             F.concat(full, F.array(count)),
         ).otherwise(full)
         return let(
@@ -208,7 +208,7 @@ def line_windows(
     )
 
     def fix(pieces: Column) -> Column:
-        tail = F.element_at(pieces, -1)
+        tail = F.try_element_at(pieces, F.lit(-1))
         short = (F.size(pieces) > 1) & (
             span_tokens(tokens, tail["start_line"], tail["end_line"]) < min_tokens
         )
@@ -333,7 +333,7 @@ def fill_gaps(spans: Column, lines: Column) -> Column:
                 ),
             )
         )
-        tail = module(F.coalesce(F.element_at(ss, -1)["end_line"], F.lit(0)) + 1, F.size(lines))
+        tail = module(F.coalesce(F.try_element_at(ss, F.lit(-1))["end_line"], F.lit(0)) + 1, F.size(lines))
         return F.concat(inner, tail)
 
     return let(spans, body)
@@ -395,7 +395,7 @@ def merge_small(pieces: Column, tokens: Column, target: int) -> Column:
                     F.slice(ps, s + 1, F.coalesce(F.get(ss, n + 1), F.size(ps)) - s),
                     lambda parts: F.struct(
                         parts[0]["start_line"].alias("start_line"),
-                        F.element_at(parts, -1)["end_line"].alias("end_line"),
+                        F.try_element_at(parts, F.lit(-1))["end_line"].alias("end_line"),
                         parts[0]["kind"].alias("kind"),
                         parts[0]["name"].alias("name"),
                         F.when(F.size(parts) > 1, F.lit("merged"))

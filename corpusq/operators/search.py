@@ -540,12 +540,21 @@ def scoped_queries(requests: DataFrame) -> DataFrame:
 
 def format_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """One text per query: ``path:start-end (score=0.123)`` lines in rank order."""
-    line = F.format_string(
-        "%s:%d-%d (score=%.3f)", F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("score")
+
+    @F.pandas_udf("string")
+    def three_places(score: pd.Series) -> pd.Series:
+        # Rounds the exact binary value; the JVM's format rounds its decimal print.
+        return score.map("{:.3f}".format)
+
+    line = F.concat(
+        F.format_string("%s:%d-%d (score=", "file_path", "start_line", "end_line"),
+        three_places("score"),
+        F.lit(")"),
     )
+    hits = hits.withColumn("line", line)
     lines = (
         hits.groupBy("query_id")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("lines"))
         .select("query_id", F.array_join(F.col("lines.line"), "\n").alias("listing"))
     )
     return queries.join(lines, "query_id", "left").select(
