@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.spans import split_lines
 from corpusq.functions.text import let
+from corpusq.operators.filters import conjunction
 from corpusq.plugins import REGISTRY, LanguageRegistry
 
 # Fixed patterns of definition lines.
@@ -226,7 +227,7 @@ def _one(module: Column, names: Column, n: Column) -> Column:
 
 def _local_names(list_text: Column) -> Column:
     """``a, b as c`` -> [a, c]; ``*`` stays."""
-    parts = F.split(F.regexp_replace(list_text, r"#[^\n]*|[(){}]", " "), ",")
+    parts = F.split(F.regexp_replace(list_text, r"[(){}]", " "), ",")
     names = F.transform(
         parts,
         lambda p: F.regexp_replace(F.trim(F.regexp_replace(p, r"\s+", " ")), r"^.* as ", ""),
@@ -234,14 +235,14 @@ def _local_names(list_text: Column) -> Column:
     return F.filter(names, lambda n: n != "")
 
 
-def _statement(lines: Column, n: Column, opening: str, closing: str) -> Column:
-    """The line, with following lines as long as a bracket stays open."""
-    line = F.get(lines, n)
-    is_open = F.contains(line, F.lit(opening)) & ~F.contains(line, F.lit(closing))
-    rest = F.array_join(F.slice(lines, n + 1, F.size(lines)), "")
-    return F.when(
-        is_open, F.concat(F.substring_index(rest, closing, 1), F.lit(closing))
-    ).otherwise(line)
+def _statement(lines: Column, n: Column) -> Column:
+    """The line without its comment, with the following lines while a bracket is open."""
+    bare = F.regexp_replace(F.get(lines, n), r"#[^\n]*", "")
+    is_open = F.contains(bare, F.lit("(")) & ~F.contains(bare, F.lit(")"))
+    rest = F.regexp_replace(
+        F.array_join(F.slice(lines, n + 1, F.size(lines)), ""), r"#[^\n]*", ""
+    )
+    return F.when(is_open, F.concat(F.substring_index(rest, ")", 1), F.lit(")"))).otherwise(bare)
 
 
 def python_imports(lines: Column) -> Column:
@@ -252,8 +253,7 @@ def python_imports(lines: Column) -> Column:
     )
 
     def edges(n: Column) -> Column:
-        def parse(s: Column) -> Column:
-            plain = F.regexp_replace(s, r"#[^\n]*", "")
+        def parse(plain: Column) -> Column:
             modules = F.transform(
                 F.split(F.regexp_extract(plain, r"^import\s+([^;\n]*)", 1), ","),
                 lambda m: F.regexp_extract(F.trim(m), r"^([\w.]+)", 1),
@@ -263,14 +263,14 @@ def python_imports(lines: Column) -> Column:
             )
             imported = F.regexp_extract(plain, r"^from\s+[\w.\s]*?\bimport\b\s*(\([^)]*\)|[^;\n]*)", 1)
             return F.when(
-                F.startswith(s, F.lit("import")),
+                F.startswith(plain, F.lit("import")),
                 F.transform(
                     F.filter(modules, lambda m: m != ""),
                     lambda m: _one(m, F.array().cast("array<string>"), n + 1),
                 ),
             ).otherwise(F.array(_one(from_module, _local_names(imported), n + 1)))
 
-        return let(_statement(lines, n, "(", ")"), parse)
+        return let(_statement(lines, n), parse)
 
     return F.when(F.size(lines) > 0, F.flatten(F.transform(found, edges)).cast(IMPORT))
 
@@ -399,10 +399,11 @@ def symbol_metadata(symbols: DataFrame, edges: DataFrame, blame_lines: DataFrame
             ).alias("blame")
         )
     )
-    matched = [symbols[k].eqNullSafe(ranged[k]) for k in keys]
+    renamed = ranged.select(*[F.col(k).alias(f"r_{k}") for k in keys], "blame")
+    matched = conjunction([F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys])
     return (
-        symbols.join(ranged, matched, "left")
-        .select(*[symbols[c] for c in symbols.columns], ranged["blame"])
+        symbols.join(renamed, matched, "left")
+        .drop(*[f"r_{k}" for k in keys])
         .join(file_imports(edges), "file_id", "left")
     )
 
