@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corpusq.plans.registry import ORACLE, QUERIES, Query
 
-MODULES = ["retrieval", "chunks", "symbols"]
+MODULES = ["retrieval", "chunks", "symbols", "conversations"]
 
 
 def _load() -> None:
