@@ -301,17 +301,23 @@ def es_imports(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.transform(found, edge).cast(IMPORT))
 
 
+def imports_of(text: Column, language: Column, registry: LanguageRegistry = REGISTRY) -> Column:
+    """Array of (module, names, line) of one file; null for other languages."""
+    return let(
+        split_lines(text),
+        lambda ls: F.when(
+            language.isin(*registry.with_outline("indent")), python_imports(ls)
+        ).when(language.isin(*registry.with_outline("braces")), es_imports(ls)),
+    )
+
+
 def import_edges(
     files: DataFrame, text: str = "content", registry: LanguageRegistry = REGISTRY
 ) -> DataFrame:
     """One row per import: file_id, module, names, line."""
-    edges = let(
-        split_lines(F.col(text)),
-        lambda ls: F.when(
-            F.col("language").isin(*registry.with_outline("indent")), python_imports(ls)
-        ).when(F.col("language").isin(*registry.with_outline("braces")), es_imports(ls)),
+    return files.select(
+        "file_id", F.inline(imports_of(F.col(text), F.col("language"), registry))
     )
-    return files.select("file_id", F.inline(edges))
 
 
 def file_imports(edges: DataFrame) -> DataFrame:

@@ -208,28 +208,30 @@ def count_tokens(spark, sf):
     )
 
 
-SQL_MARKDOWN_PIECES = f"""
-{SQL_MD},{sql_lines()},{SQL_SECTIONS},{SQL_MERGED},
+def sql_markdown(source: str, max_tokens: int, min_tokens: int) -> str:
+    """Chunks of md(file_id, text), which ``source`` defines."""
+    return f"""
+{source},{sql_lines()},{SQL_SECTIONS},{SQL_MERGED},
 section_lines AS (
   SELECT l.*, m.g, m.name, sum(l.tok) OVER w AS section_tok, bool_or(l.is_text) OVER w AS any_text
   FROM lines l JOIN merged m ON m.file_id = l.file_id AND l.line_no BETWEEN m.s AND m.e
   WINDOW w AS (PARTITION BY l.file_id, m.g)),
 whole AS (
   SELECT file_id, g, name, min(line_no) AS s, max(line_no) AS e FROM section_lines
-  WHERE any_text AND section_tok <= {MAX} GROUP BY ALL),
-long_lines AS (SELECT * FROM section_lines WHERE any_text AND section_tok > {MAX}),
+  WHERE any_text AND section_tok <= {max_tokens} GROUP BY ALL),
+long_lines AS (SELECT * FROM section_lines WHERE any_text AND section_tok > {max_tokens}),
 {sql_units('long_lines', 'units', 'file_id, g')},
-{sql_greedy('units', 'packed', MAX, ['file_id', 'g'])},
+{sql_greedy('units', 'packed', max_tokens, ['file_id', 'g'])},
 big_units AS (
   SELECT l.file_id, p.s AS g, row_number() OVER (PARTITION BY l.file_id, p.s ORDER BY l.line_no) AS k,
          l.line_no AS s, l.line_no AS e, l.tok
   FROM packed p JOIN lines l ON l.file_id = p.file_id AND l.line_no BETWEEN p.s AND p.e
-  WHERE p.tok > {MAX}),
-{sql_greedy('big_units', 'windows', MAX, ['file_id', 'g'])},
-{sql_tail_fix('windows', 'fixed', MIN, ['file_id', 'g'])},
+  WHERE p.tok > {max_tokens}),
+{sql_greedy('big_units', 'windows', max_tokens, ['file_id', 'g'])},
+{sql_tail_fix('windows', 'fixed', min_tokens, ['file_id', 'g'])},
 pieces AS (
   SELECT file_id, s, e FROM whole
-  UNION ALL SELECT file_id, s, e FROM packed WHERE tok <= {MAX}
+  UNION ALL SELECT file_id, s, e FROM packed WHERE tok <= {max_tokens}
   UNION ALL SELECT file_id, s, e FROM fixed),
 markdown_chunks AS (
   SELECT p.file_id, p.s AS start_line, p.e AS end_line, arg_min(l.name, l.line_no) AS symbol_name,
@@ -240,7 +242,7 @@ markdown_chunks AS (
 
 @query(
     "c12_chunk_markdown",
-    f"""WITH RECURSIVE {SQL_MARKDOWN_PIECES}
+    f"""WITH RECURSIVE {sql_markdown(SQL_MD, MAX, MIN)}
 SELECT file_id, start_line, end_line, symbol_name, md5(chunk_text) AS text_md5, tokens::BIGINT AS tokens
 FROM markdown_chunks""",
 )

@@ -310,19 +310,17 @@ def finalize(spark, sf):
 FROM messages m WHERE role = 'user'""",
 )
 def rewrite(spark, sf):
-    """User turns with the turn before as history; some rewrites are blank."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conversation_id").orderBy("turn")
+    """User turns; those after the first turn have a history. Some rewrites are blank."""
+    m = messages(spark, sf)
+    first = m.groupBy("conversation_id").agg(F.min("turn").alias("first_turn"))
     rows = (
-        messages(spark, sf)
-        .withColumn("before", F.lag("content").over(w))
+        m.join(first, "conversation_id")
         .where("role = 'user'")
         .select(
             "conversation_id",
             "turn",
             F.col("content").alias("query"),
-            F.when(F.col("before").isNotNull(), F.array("before")).alias("history"),
+            F.when(F.col("turn") > F.col("first_turn"), F.array("first_turn")).alias("history"),
             F.when(F.col("turn") % 4 == 0, F.lit("  ")).otherwise(
                 F.concat(F.lit("about "), F.col("conversation_id").cast("string"))
             ).alias("rewrite"),
