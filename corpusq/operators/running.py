@@ -61,3 +61,32 @@ def running_number(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str
 ) -> DataFrame:
     return running_total(df, keys, order, bucket, F.lit(1).cast("long"), out)
+
+
+def next_value(
+    df: DataFrame, keys: list[str], order: str, bucket: Column, out: str
+) -> DataFrame:
+    """Adds ``out``: the order value of the following row of the key, or null.
+
+    Inside a bucket this is a window; the last row of a bucket takes the first value
+    of the next bucket that has any.
+    """
+    tagged = df.withColumn("_bucket", bucket)
+    local = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    names = [f"_k{n}" for n in range(len(keys))]
+    firsts = (
+        tagged.groupBy(*keys, "_bucket")
+        .agg(F.min(order).alias("_first"))
+        .select(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], F.col("_bucket").alias("_b"), "_first")
+        .withColumn("_following", F.lead("_first").over(Window.partitionBy(*names).orderBy("_b")))
+        .drop("_first")
+    )
+    match = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for n, k in zip(names, keys, strict=True):
+        match = match & F.col(k).eqNullSafe(F.col(n))
+    return (
+        tagged.withColumn("_next", F.lead(order).over(local))
+        .join(firsts, match)
+        .withColumn(out, F.coalesce("_next", "_following"))
+        .drop("_bucket", "_next", "_following", "_b", *names)
+    )

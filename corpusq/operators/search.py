@@ -193,9 +193,11 @@ def _scan(batch: pa.RecordBatch | pa.Table, groups: dict, column: str, scope: li
                 )
 
 
-def _topk(queries: DataFrame, vectors: DataFrame, k: int, kernel: type) -> DataFrame:
+def _topk(
+    queries: DataFrame, vectors: DataFrame, k: int, kernel: type, more_scope: tuple[str, ...] = ()
+) -> DataFrame:
     spark = vectors.sparkSession
-    scope = [c for c in SCOPE if c in queries.columns and (c in vectors.columns)]
+    scope = [c for c in (*SCOPE, *more_scope) if c in queries.columns and (c in vectors.columns)]
     if scope[:1] != ["workspace_id"]:
         raise TypeError("queries and vectors need workspace_id")
     wanted = queries.select("query_id", *scope, kernel.column)
@@ -279,6 +281,52 @@ def sparse_topk(queries: DataFrame, vectors: DataFrame, k: int = 40) -> DataFram
     return _topk(queries, vectors, k, _Sparse)
 
 
+class CellIndex:
+    """Approximate dense search: vectors are put into k-means cells, a query looks
+    into the ``nprobe`` cells whose centres are nearest.
+
+    Write the assigned vectors partitioned by ``cell`` and a search reads only the
+    partitions it probes. Inside a cell the search is exact.
+    """
+
+    def __init__(self, centres: list[list[float]]) -> None:
+        self.centres = centres
+
+    @classmethod
+    def train(cls, vectors: DataFrame, cells: int, seed: int = 7, train_fraction: float = 1.0) -> CellIndex:
+        """Centres by k-means. A fraction below 1 trains on a sample; every vector is
+        still assigned and searched."""
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        data = vectors.where(F.col("dense").isNotNull())
+        if train_fraction < 1.0:
+            data = data.sample(train_fraction, seed)
+        features = data.select(array_to_vector(F.col("dense").cast("array<double>")).alias("features"))
+        model = KMeans(k=cells, seed=seed, maxIter=10).fit(features)
+        return cls([c.tolist() for c in model.clusterCenters()])
+
+    def _nearest(self, count: int):
+        centres = np.asarray(self.centres)
+
+        @F.pandas_udf("array<int>")
+        def nearest(dense: pd.Series) -> pd.Series:
+            block = np.stack([np.asarray(v, dtype=np.float64) for v in dense])
+            distance = (centres**2).sum(axis=1) - 2 * block @ centres.T
+            return pd.Series(list(np.argsort(distance, axis=1, kind="stable")[:, :count].astype("int32")))
+
+        return nearest
+
+    def assign(self, vectors: DataFrame) -> DataFrame:
+        return vectors.where(F.col("dense").isNotNull()).withColumn(
+            "cell", F.get(self._nearest(1)("dense"), F.lit(0))
+        )
+
+    def search(self, queries: DataFrame, assigned: DataFrame, k: int = 40, nprobe: int = 4) -> DataFrame:
+        probing = queries.withColumn("cell", F.explode(self._nearest(nprobe)("dense")))
+        return _topk(probing, assigned, k, _Dense, ("cell",))
+
+
 # --- fusion and hydration --------------------------------------------------------
 
 
