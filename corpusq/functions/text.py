@@ -56,32 +56,38 @@ def run_lengths(ordered: Column) -> Column:
     return F.when(F.size(ordered) > 0, let(ordered, body))
 
 
+def _weight(times: Column) -> Column:
+    return F.lit(1.0) + F.log(times.cast("double"))
+
+
 def lexical_weights(text: Column) -> Column:
     """Sparse vector of a text: array of (term, weight), weight = 1 + ln(frequency).
 
     Everything happens inside the row, so nothing is shuffled however large or
     skewed the corpus is.
     """
-    counted = run_lengths(F.array_sort(terms(text)))
+    counted = run_lengths(F.sort_array(terms(text)))
     return F.coalesce(
         F.transform(
             counted,
-            lambda c: F.struct(
-                c["value"].alias("term"),
-                (F.lit(1.0) + F.log(c["times"].cast("double"))).alias("weight"),
-            ),
+            lambda c: F.struct(c["value"].alias("term"), _weight(c["times"]).alias("weight")),
         ),
         F.array().cast("array<struct<term:string,weight:double>>"),
     )
 
 
 def sparse_vector(text: Column) -> Column:
-    """Lexical weights keyed by a 64-bit hash: struct(ids, weights)."""
+    """Lexical weights keyed by a 64-bit hash of the term: struct(ids, weights).
+
+    Terms are hashed before they are sorted: longs sort and compare faster.
+    """
+    hashed = F.sort_array(F.transform(terms(text), lambda term: F.xxhash64(term)))
+    empty = F.array().cast("array<struct<value:bigint,times:int>>")
     return let(
-        lexical_weights(text),
-        lambda ws: F.struct(
-            F.transform(ws, lambda w: F.xxhash64(w["term"])).alias("ids"),
-            F.transform(ws, lambda w: w["weight"]).alias("weights"),
+        F.coalesce(run_lengths(hashed), empty),
+        lambda cs: F.struct(
+            F.transform(cs, lambda c: c["value"]).alias("ids"),
+            F.transform(cs, lambda c: _weight(c["times"])).alias("weights"),
         ),
     )
 

@@ -84,7 +84,7 @@ def line_windows(
 def outermost_spans(files: DataFrame, symbols: str = "symbols") -> DataFrame:
     others = [c for c in files.columns if c != symbols]
     return files.select(
-        *others, F.inline(spans.outermost_spans(F.array_sort(symbols)))
+        *others, F.inline(spans.outermost_spans(F.sort_array(symbols)))
     )
 
 
@@ -96,7 +96,7 @@ def fill_gaps(files: DataFrame, symbols: str = "symbols", text: str = "content")
         F.inline(
             _over_lines(
                 text,
-                lambda ls: spans.fill_gaps(spans.outermost_spans(F.array_sort(symbols)), ls),
+                lambda ls: spans.fill_gaps(spans.outermost_spans(F.sort_array(symbols)), ls),
             )
         ),
     )
@@ -216,7 +216,7 @@ def chunk_code(
     # explode of one element, which the optimizer does not fold away.
     prepared = (
         files.withColumn("lines", F.explode(F.array(spans.split_lines(F.col(text)))))
-        .withColumn("symbols", F.array_sort(symbols))
+        .withColumn("symbols", F.sort_array(symbols))
         .withColumn("tokens", spans.line_tokens(F.col("lines")))
         .withColumn("pieces", spans.fill_gaps(spans.outermost_spans(F.col("symbols")), F.col("lines")))
         .select(*others, F.inline(F.array(F.struct("lines", "tokens", "pieces", "symbols"))))

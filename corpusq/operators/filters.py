@@ -131,9 +131,11 @@ def _ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(rf"^{octet}(\.{octet}){{3}}$"), number)
 
 
-def ip_flag(ip: Column) -> Column:
-    """Why an address may not be contacted, ``public``, or ``invalid``."""
-    number = _ipv4_number(ip)
+def ip_flag(ip: Column, number: Column) -> Column:
+    """Why an address may not be contacted, ``public``, or ``invalid``.
+
+    ``number`` is the address as an integer, null if it is no IPv4 address.
+    """
     v4 = F.lit("public")
     for network, prefix, flag in reversed(IPV4_BLOCKS):
         size = 2 ** (32 - prefix)
@@ -154,7 +156,9 @@ def ip_flag(ip: Column) -> Column:
 
 
 def classify_ip(df: DataFrame, ip: str = "ip") -> DataFrame:
-    return df.withColumn("ip_class", ip_flag(F.col(ip)))
+    # The number is a column of its own: it is compared with every block.
+    numbered = df.withColumn("_number", _ipv4_number(F.col(ip)))
+    return numbered.withColumn("ip_class", ip_flag(F.col(ip), F.col("_number"))).drop("_number")
 
 
 def find_conflicts(df: DataFrame, *keys: str) -> DataFrame:

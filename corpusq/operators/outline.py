@@ -113,7 +113,7 @@ def indent_symbols(lines: Column) -> Column:
 
         return let(F.filter(acc["stack"], lambda s: s["mark"] < c["indent"]), then)
 
-    return F.array_sort(
+    return F.sort_array(
         F.aggregate(
             code,
             start,
@@ -186,7 +186,7 @@ def brace_symbols(lines: Column) -> Column:
             ),
         )
 
-    return F.array_sort(
+    return F.sort_array(
         F.aggregate(
             marked,
             start,

@@ -15,7 +15,7 @@ MAX, MIN, TARGET = 128, 32, 64
 
 def markdown_files(spark, sf):
     """Documents as markdown: headings at every fifth line, blank lines, empty headings."""
-    d = t.documents(spark, sf)
+    d = t.texts(spark, sf)
 
     def mark(line, n):
         i = n + 1
@@ -260,7 +260,7 @@ def chunk_markdown(spark, sf):
 
 
 def files_with_symbols(spark, sf):
-    d = t.documents(spark, sf)
+    d = t.texts(spark, sf)
     lines = F.split("text", "\n")
     symbols = F.filter(
         F.transform(

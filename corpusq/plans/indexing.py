@@ -38,7 +38,7 @@ changes AS (
 
 
 def scanned(spark, sf):
-    f = t.files(spark, sf)
+    f = t.files(spark, sf, t.texts(spark, sf))
     return source.content_hash(
         f.select("repository_id", "path", F.col("content").cast("binary").alias("content"), F.col("size_bytes").alias("length"))
     )
@@ -228,7 +228,7 @@ def plan_batch(spark, sf):
 
 @query("e1_embed_batch")
 def embed(spark, sf):
-    d = t.documents(spark, sf).select("doc_id", "text")
+    d = t.texts(spark, sf).select("doc_id", "text")
     empty = spark.createDataFrame([], indexing.CACHE)
     rows, _ = embedding.embed_batch(d, hashed_encoder(), empty, "hashed-64")
     return rows.select(
@@ -238,7 +238,7 @@ def embed(spark, sf):
 
 @query("e2_encode")
 def encode(spark, sf):
-    d = t.documents(spark, sf).select("doc_id", "text")
+    d = t.texts(spark, sf).select("doc_id", "text")
     rows = embedding.encode(d, hashed_encoder(), "hashed-64")
     return rows.select("doc_id", F.get("dense", F.lit(0)).alias("first"), F.size("sparse.ids").alias("terms"), "model_id")
 

@@ -67,7 +67,10 @@ def _limited(df):
 @query("st1_rate_limit", _LIMIT_SQL)
 def rate_limit(spark, sf):
     return _limited(
-        rl.rate_limit(events(spark, sf), ["event_type"], "ts", "event_id", LIMIT, seconds=HOUR)
+        rl.rate_limit(
+            events(spark, sf), ["event_type"], "ts", "event_id", LIMIT, seconds=HOUR,
+            bucket_seconds=48 * HOUR,
+        )
     )
 
 

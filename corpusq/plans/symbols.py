@@ -38,7 +38,7 @@ def code_files(spark, sf):
             text = F.when(i % 11 == rest, made).otherwise(text)
         return F.concat(text, F.lit("  # "), line)
 
-    return t.documents(spark, sf).select(
+    return t.texts(spark, sf).select(
         F.col("doc_id").alias("file_id"),
         F.col("source").alias("repository_id"),
         F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))).alias("path"),
@@ -152,7 +152,7 @@ def blame_dumps(spark, sf):
             F.lit("\nfilename x\n\t"), line, F.lit("\n"),
         )
 
-    return t.documents(spark, sf).select(
+    return t.texts(spark, sf).select(
         F.col("doc_id").alias("file_id"),
         F.array_join(F.transform(F.split("text", "\n"), record), "").alias("porcelain"),
     )
@@ -295,18 +295,26 @@ LEFT JOIN modules USING (file_id) LEFT JOIN entries n ON n.file_id = c.file_id A
 def assemble(spark, sf):
     """One candidate per symbol, so that every blame range matches exactly."""
     from corpusq.functions import spans
-    from corpusq.functions.text import token_count
+    from corpusq.functions.text import let, token_count
 
     files = code_files(spark, sf)
     outlined = outline.symbol_outline(files)
-    text = spans.span_text(spans.split_lines(F.col("content")), F.col("start_line"), F.col("end_line"))
+    with_text = let(
+        spans.split_lines(F.col("content")),
+        lambda ls: F.transform(
+            "symbols",
+            lambda s: F.struct(
+                s["start_line"].alias("start_line"),
+                s["end_line"].alias("end_line"),
+                s["kind"].alias("symbol_kind"),
+                s["name"].alias("symbol_name"),
+                spans.span_text(ls, s["start_line"], s["end_line"]).alias("text"),
+            ),
+        ),
+    )
     candidates = (
-        outlined.select("file_id", "repository_id", "path", "language", "content", F.inline("symbols"))
-        .withColumn("text", text)
-        .drop("content")
+        outlined.select("file_id", "repository_id", "path", "language", F.inline(with_text))
         .withColumn("content_tokens", token_count(F.col("text")))
-        .withColumnRenamed("kind", "symbol_kind")
-        .withColumnRenamed("name", "symbol_name")
     )
     edges = outline.import_edges(files)
     metadata = outline.symbol_metadata(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.functions.text import sparse_vector
+from corpusq.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents ahead of heavy work on their text."""
+    return spread(documents(spark, sf_dir), "doc_id")
+
+
+def files(spark: SparkSession, sf_dir: str, d: DataFrame | None = None) -> DataFrame:
+    d = documents(spark, sf_dir) if d is None else d
     return d.select(
         F.col("doc_id").alias("file_id"),
         F.col("source").alias("repository_id"),
@@ -51,7 +57,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense vectors cover a part of the documents only, as in a half-built index."""
-    d = documents(spark, sf_dir)
+    d = texts(spark, sf_dir)
     e = table(spark, sf_dir, "embeddings")
     return d.join(e, d.doc_id == e.vec_id, "left").select(
         F.col("doc_id").alias("chunk_id"),

@@ -55,3 +55,13 @@ def cut_lineage(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+def spread(df, *keys: str):
+    """Use every core when a table lies in fewer files than there are cores.
+
+    Only for a plain scan ahead of heavy work inside the row. A table with at least
+    as many splits as the cluster has cores comes back as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
