@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusq.functions.text import term_overlap
+from corpusq.functions.text import let, term_overlap, terms
 from corpusq.session import cut_lineage
 
 # Bounds of one in-memory block. Queries beyond the bound are never broadcast.
@@ -50,6 +50,7 @@ class _Dense:
 
     column = "dense"
     only_positive = False
+    prune_nulls = True
 
     @staticmethod
     def numbers() -> Column:
@@ -74,6 +75,9 @@ class _Sparse:
 
     column = "sparse"
     only_positive = True
+    # Sparse vectors are often computed on the way, and a filter would be pushed
+    # below and compute them a second time: nulls are left out in the scan instead.
+    prune_nulls = False
 
     @staticmethod
     def numbers() -> Column:
@@ -175,9 +179,10 @@ def _scan(batch: pa.RecordBatch | pa.Table, groups: dict, column: str, scope: li
     vectors = batch.column(column)
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
+    present = vectors.is_valid().to_numpy(zero_copy_only=False)
     for workspace in pd.unique(workspaces):
         for group in groups.get(workspace, ()):
-            mask = workspaces == workspace
+            mask = present & (workspaces == workspace)
             for name, wanted in zip(scope[1:], group.scope[1:], strict=True):
                 if wanted is not None:
                     mask &= others[name] == wanted
@@ -201,9 +206,9 @@ def _topk(
     if scope[:1] != ["workspace_id"]:
         raise TypeError("queries and vectors need workspace_id")
     wanted = queries.select("query_id", *scope, kernel.column)
-    given = vectors.select("chunk_id", *scope, kernel.column).where(
-        F.col(kernel.column).isNotNull()
-    )
+    given = vectors.select("chunk_id", *scope, kernel.column)
+    if kernel.prune_nulls:
+        given = given.where(F.col(kernel.column).isNotNull())
     out = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -468,6 +473,16 @@ def rerank(
 # --- compositions ----------------------------------------------------------------
 
 
+def _fused(queries: DataFrame, vectors: DataFrame, k1: int, k2: int) -> DataFrame:
+    dense = dense_topk(queries.where(F.col("dense").isNotNull()), vectors, k1)
+    sparse = sparse_topk(queries.where(F.col("sparse").isNotNull()), vectors, k1)
+    return rrf([dense, sparse]).where(F.col("rank") <= k2)
+
+
+def _below(prefix: Column, path: Column) -> Column:
+    return prefix.isNull() | F.startswith(path, F.coalesce(prefix, F.lit("")))
+
+
 def fused_hits(
     queries: DataFrame,
     vectors: DataFrame,
@@ -475,26 +490,77 @@ def fused_hits(
     files: DataFrame,
     k1: int = 40,
     k2: int = 50,
-    push_prefix: bool = False,
 ) -> DataFrame:
     """Both searches, fused, cut to k2, hydrated, and only then filtered by path prefix."""
-    dense = dense_topk(queries.where(F.col("dense").isNotNull()), vectors, k1)
-    sparse = sparse_topk(queries.where(F.col("sparse").isNotNull()), vectors, k1)
-    fused = rrf([dense, sparse]).where(F.col("rank") <= k2)
-    hits = hydrate(fused, chunks, files, max_hits=queries.count() * k2)
+    hits = hydrate(_fused(queries, vectors, k1, k2), chunks, files, max_hits=queries.count() * k2)
     if "path_prefix" in queries.columns:
         prefix = queries.select("query_id", "path_prefix")
         hits = (
             hits.join(prefix, "query_id")
-            .where(
-                F.col("path_prefix").isNull()
-                | F.startswith("file_path", F.coalesce("path_prefix", F.lit("")))
-            )
+            .where(_below(F.col("path_prefix"), F.col("file_path")))
             .drop("path_prefix")
         )
     return hits
 
 
+# Queries whose hits on one chunk are scored together; bounds the size of a group.
+QUERIES_PER_GROUP = 1024
+
+
+def _scored_hits(
+    queries: DataFrame, vectors: DataFrame, chunks: DataFrame, files: DataFrame, k1: int, k2: int
+) -> DataFrame:
+    """Fused hits with their term-overlap scores.
+
+    A chunk is often a hit of many queries: its terms are cut out once and compared
+    with all of them in its row. Queries are salted, so such a row holds at most
+    about ``QUERIES_PER_GROUP`` of them even for a chunk that every query finds.
+    """
+    count = queries.count()
+    hash_terms = F.array_distinct(F.transform(terms(F.col("query_text")), lambda x: F.xxhash64(x)))
+    prefix = F.col("path_prefix") if "path_prefix" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", hash_terms.alias("wanted"), prefix.alias("prefix"))
+    salt = F.pmod(F.xxhash64("query_id"), F.lit(math.ceil(max(count, 1) / QUERIES_PER_GROUP)))
+    grouped = (
+        _fused(queries, vectors, k1, k2)
+        .join(asked, "query_id")
+        .groupBy("chunk_id", salt.alias("salt"))
+        .agg(F.collect_list(F.struct("query_id", "rank", "wanted", "prefix")).alias("hits"))
+        .drop("salt")
+    )
+    if "is_active" in chunks.columns:
+        chunks = chunks.where("is_active")
+    small = count * k2 <= MAX_BROADCAST_HITS // 10
+    paths = files.select("file_id", F.col("path").alias("file_path"))
+    rows = (
+        chunks.select("chunk_id", "file_id", "start_line", "end_line", "symbol_name", "content")
+        .join(F.broadcast(grouped) if small else grouped, "chunk_id")
+        .join(paths, "file_id", "left")
+        .withColumn("file_path", F.coalesce("file_path", F.lit("")))
+    )
+    found = F.array_distinct(F.transform(terms(F.col("content")), lambda x: F.xxhash64(x)))
+    scored = let(
+        found,
+        lambda have: F.transform(
+            F.filter("hits", lambda h: _below(h["prefix"], F.col("file_path"))),
+            lambda h: F.struct(
+                h["query_id"].alias("query_id"),
+                F.when(
+                    F.size(h["wanted"]) > 0,
+                    F.round(F.size(F.array_intersect(have, h["wanted"])) / F.size(h["wanted"]), 6),
+                )
+                .otherwise(F.lit(0.0))
+                .alias("score"),
+                h["rank"].alias("rank"),
+            ),
+        ),
+    )
+    return rows.select(
+        "chunk_id", "file_path", "start_line", "end_line", "symbol_name",
+        F.lit("reranked").alias("source"), F.col("content").alias("text"), F.inline(scored),
+    )
+
+
 def _first_n(hits: DataFrame, n: int) -> DataFrame:
     """Re-number after rows dropped out, then cut."""
     order = Window.partitionBy("query_id").orderBy(F.asc("rank"))
@@ -515,8 +581,11 @@ def hybrid_search(
     """One job for a whole table of queries; a query without hits gives no rows."""
     if not 1 <= n <= 50:
         raise ValueError("n must be between 1 and 50")
-    hits = fused_hits(queries, vectors, chunks, files, k1, k2)
-    return rerank(hits, queries, scorer, fail_open).where(F.col("rank") <= n)
+    if scorer is None:
+        ranked = _rerank_order(_scored_hits(queries, vectors, chunks, files, k1, k2))
+    else:
+        ranked = rerank(fused_hits(queries, vectors, chunks, files, k1, k2), queries, scorer, fail_open)
+    return ranked.where(F.col("rank") <= n)
 
 
 def hybrid_search_no_rerank(
