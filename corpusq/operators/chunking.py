@@ -102,6 +102,32 @@ def fill_gaps(files: DataFrame, symbols: str = "symbols", text: str = "content")
     )
 
 
+def _chunk(content: Column, span: Column, name: Column, kind: Column, stage: Column) -> Column:
+    return let(
+        content,
+        lambda text: F.struct(
+            span["start_line"].alias("start_line"),
+            span["end_line"].alias("end_line"),
+            name.alias("symbol_name"),
+            kind.alias("symbol_kind"),
+            text.alias("text"),
+            token_count(text).alias("content_tokens"),
+            stage.alias("source_stage"),
+        ),
+    )
+
+
+def markdown_chunks(ls: Column, max_tokens: int, min_tokens: int) -> Column:
+    """Chunks of one prose file as an array."""
+    return F.transform(
+        spans.markdown_spans(ls, max_tokens, min_tokens),
+        lambda p: _chunk(
+            spans.span_text(ls, p["start_line"], p["end_line"]),
+            p, p["symbol_name"], F.lit("markdown_section"), F.lit("semantic"),
+        ),
+    )
+
+
 def chunk_markdown(
     files: DataFrame,
     max_tokens: int = MAX_TOKENS,
@@ -109,91 +135,84 @@ def chunk_markdown(
     text: str = "content",
 ) -> DataFrame:
     """Chunk rows of prose files: section, paragraph, then line boundaries."""
+    return _inline(
+        files, text, _over_lines(text, lambda ls: markdown_chunks(ls, max_tokens, min_tokens))
+    )
 
-    def body(ls: Column) -> Column:
-        return F.transform(
-            spans.markdown_spans(ls, max_tokens, min_tokens),
-            lambda p: let(
-                spans.span_text(ls, p["start_line"], p["end_line"]),
-                lambda content: F.struct(
-                    p["start_line"].alias("start_line"),
-                    p["end_line"].alias("end_line"),
-                    p["symbol_name"].alias("symbol_name"),
-                    F.lit("markdown_section").alias("symbol_kind"),
-                    content.alias("text"),
-                    token_count(content).alias("content_tokens"),
-                    F.lit("semantic").alias("source_stage"),
-                ),
-            ),
-        )
 
-    return _inline(files, text, _over_lines(text, body))
+MAX_DEPTH = 3  # nesting levels followed below the outermost symbols
 
 
-def _split_level(
-    pieces: Column,
-    children: Column,
-    ls: Column,
-    tokens: Column,
-    max_tokens: int,
-    min_tokens: int,
-    level: int,
+def split_oversize(
+    pieces: Column, symbols: Column, tokens: Column, max_tokens: int, min_tokens: int
 ) -> Column:
-    """Cut pieces over the budget at the child spans one nesting level down."""
-    shape = "array<struct<start_line:int,end_line:int,kind:string,name:string>>"
+    """Pieces over the budget are cut at the child spans, one nesting level at a time.
 
-    def as_piece(span: Column, p: Column) -> Column:
-        return F.struct(
-            span["start_line"].alias("start_line"),
-            span["end_line"].alias("end_line"),
-            p["kind"].alias("kind"),
-            p["name"].alias("name"),
-        )
+    What is still too long after the deepest level is cut at line boundaries; so is
+    a gap between symbols, which has no children.
+    """
+
+    def windows(p: Column) -> Column:
+        return spans.line_windows(tokens, p["start_line"], p["end_line"], max_tokens, min_tokens)
+
+    def whole(p: Column) -> Column:
+        return F.array(F.struct(p["start_line"].alias("start_line"), p["end_line"].alias("end_line")))
 
     def cut(p: Column) -> Column:
         start, end = p["start_line"], p["end_line"]
         inside = F.filter(
-            children,
-            lambda c: (c["depth"] == level) & (c["start_line"] >= start) & (c["end_line"] <= end)
-            & ((c["start_line"] > start) | (c["end_line"] < end)),
+            symbols,
+            lambda c: (c["depth"] == level) & (c["start_line"] >= start) & (c["end_line"] <= end),
+        )
+        fits = spans.span_tokens(tokens, start, end) <= max_tokens
+        by_children = let(
+            inside,
+            lambda cs: F.when(
+                F.size(cs) > 0,
+                spans.pack_units(spans.child_units(cs, start, end), tokens, max_tokens, end),
+            ).otherwise(windows(p) if level == MAX_DEPTH else whole(p)),
+        )
+        return F.transform(
+            F.when(fits, whole(p)).when(p["kind"] == "module", windows(p)).otherwise(by_children),
+            lambda s: F.struct(
+                s["start_line"].alias("start_line"),
+                s["end_line"].alias("end_line"),
+                p["kind"].alias("kind"),
+                p["name"].alias("name"),
+            ),
         )
 
-        def by_children(cs: Column) -> Column:
-            packed = spans.pack_units(spans.child_units(cs, start, end), tokens, max_tokens, end)
-            windows = spans.line_windows(tokens, start, end, max_tokens, min_tokens)
-            return F.when(F.size(cs) > 0, packed).otherwise(
-                windows if level >= MAX_DEPTH else F.array(F.struct(start.alias("start_line"), end.alias("end_line")))
-            )
-
-        over = spans.span_tokens(tokens, start, end) > max_tokens
-        whole = F.array(F.struct(start.alias("start_line"), end.alias("end_line")))
-        # A module gap has no children: it goes straight to line windows.
-        cuts = F.when(~over, whole).when(
-            p["kind"] == "module", spans.line_windows(tokens, start, end, max_tokens, min_tokens)
-        ).otherwise(let(inside, by_children))
-        return F.transform(cuts, lambda span: as_piece(span, p))
-
-    return F.flatten(F.transform(pieces, cut)).cast(shape)
+    # ``cut`` reads the level that is current when its expression is built.
+    for level in range(1, MAX_DEPTH + 1):
+        pieces = F.flatten(F.transform(pieces, cut))
+    return pieces
 
 
-MAX_DEPTH = 3  # nesting levels followed below the outermost symbols
+def code_chunks(
+    ls: Column, symbols: Column, max_tokens: int, min_tokens: int, target: int
+) -> Column:
+    """Chunks of one code file as an array."""
 
+    def body(ss: Column, tokens: Column) -> Column:
+        pieces = spans.fill_gaps(spans.outermost_spans(ss), ls)
+        cut = split_oversize(pieces, ss, tokens, max_tokens, min_tokens)
 
-def split_oversize(files: DataFrame, max_tokens: int, min_tokens: int) -> DataFrame:
-    """Rows with ``lines``, ``tokens``, ``pieces`` and ``symbols``: pieces that fit.
+        def content(m: Column) -> Column:
+            return F.array_join(
+                F.transform(
+                    m["parts"], lambda p: spans.span_text(ls, p["start_line"], p["end_line"])
+                ),
+                "",
+            )
 
-    Each nesting level is one projection; what is still too long after the deepest
-    level is cut at line boundaries.
-    """
-    for level in range(1, MAX_DEPTH + 1):
-        files = files.withColumn(
-            "pieces",
-            _split_level(
-                F.col("pieces"), F.col("symbols"), F.col("lines"), F.col("tokens"),
-                max_tokens, min_tokens, level,
-            ),
+        return F.transform(
+            spans.merge_small(cut, tokens, target),
+            lambda m: _chunk(content(m), m, m["name"], m["kind"], m["source_stage"]),
         )
-    return files
+
+    return let(
+        F.sort_array(symbols), lambda ss: let(spans.line_tokens(ls), lambda ts: body(ss, ts))
+    )
 
 
 def chunk_code(
@@ -211,42 +230,10 @@ def chunk_code(
     the budget, then small neighbours of one kind are merged; a merged chunk leaves
     out the blank lines between its parts.
     """
-    others = [c for c in files.columns if c not in (text, symbols)]
-    # The line array is computed once per file and kept as a column through an
-    # explode of one element, which the optimizer does not fold away.
-    prepared = (
-        files.withColumn("lines", F.explode(F.array(spans.split_lines(F.col(text)))))
-        .withColumn("symbols", F.sort_array(symbols))
-        .withColumn("tokens", spans.line_tokens(F.col("lines")))
-        .withColumn("pieces", spans.fill_gaps(spans.outermost_spans(F.col("symbols")), F.col("lines")))
-        .select(*others, F.inline(F.array(F.struct("lines", "tokens", "pieces", "symbols"))))
-    )
-    cut = split_oversize(prepared, max_tokens, min_tokens)
-
-    def content(m: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                m["parts"], lambda p: spans.span_text(F.col("lines"), p["start_line"], p["end_line"])
-            ),
-            "",
-        )
-
-    merged = F.transform(
-        spans.merge_small(F.col("pieces"), F.col("tokens"), target),
-        lambda m: let(
-            content(m),
-            lambda body: F.struct(
-                m["start_line"].alias("start_line"),
-                m["end_line"].alias("end_line"),
-                m["name"].alias("symbol_name"),
-                m["kind"].alias("symbol_kind"),
-                body.alias("text"),
-                token_count(body).alias("content_tokens"),
-                m["source_stage"].alias("source_stage"),
-            ),
-        ),
+    array = _over_lines(
+        text, lambda ls: code_chunks(ls, F.col(symbols), max_tokens, min_tokens, target)
     )
-    return cut.select(*others, F.inline(merged))
+    return _inline(files, text, array).drop(symbols)
 
 
 def merge_small(pieces: DataFrame, target: int = MERGE_TARGET) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusq.functions.spans import split_lines
+from corpusq.functions.text import let
 from corpusq.operators import chunking, outline
 from corpusq.operators.embedding import EncoderFactory, embed_batch
 from corpusq.session import cut_lineage
@@ -150,22 +152,24 @@ def make_chunks(
     changed: DataFrame, max_tokens: int = 512, min_tokens: int = 64, target: int = 256
 ) -> DataFrame:
     """Chunk rows of new and changed files (decoded text in ``content``)."""
-    base = changed.select("file_id", "repository_id", "path", "language", "content")
-    prose = chunking.chunk_markdown(base.where("language = 'markdown'"), max_tokens, min_tokens)
-    code = outline.symbol_outline(base.where("language <> 'markdown' AND language IS NOT NULL"))
-    pieces = chunking.chunk_code(code, max_tokens, min_tokens, target)
-    modules = F.transform(
-        F.coalesce(F.col("_imports"), F.array().cast(outline.IMPORT)), lambda e: e["module"]
-    )
-    imports = (
-        base.where("language <> 'markdown'")
-        .withColumn("_imports", outline.imports_of(F.col("content"), F.col("language")))
-        .select("file_id", modules.alias("imports"))
-    )
-    candidates = prose.withColumn("imports", F.array().cast("array<string>")).unionByName(
-        pieces.join(imports, "file_id", "left")
+    text, language = F.col("content"), F.col("language")
+
+    def pieces(ls: Column) -> Column:
+        prose = chunking.markdown_chunks(ls, max_tokens, min_tokens)
+        code = let(
+            outline.symbols_of(ls, language),
+            lambda symbols: chunking.code_chunks(ls, symbols, max_tokens, min_tokens, target),
+        )
+        return F.when(language == "markdown", prose).when(language.isNotNull(), code)
+
+    modules = F.transform(outline.imports_of(text, language), lambda e: e["module"])
+    # Prose and code in one projection: the files are read and cut once.
+    rows = (
+        changed.withColumn("imports", F.coalesce(modules, F.array().cast("array<string>")))
+        .withColumn("_pieces", let(split_lines(text), pieces))
+        .select("file_id", "repository_id", "path", "language", "imports", F.inline("_pieces"))
     )
-    return candidates.select(
+    return rows.select(
         F.sha2(
             F.concat_ws(":", "repository_id", "path", "start_line", "end_line", F.sha2("text", 256)), 256
         ).alias("chunk_id"),
@@ -179,7 +183,7 @@ def make_chunks(
         "end_line",
         F.col("text").alias("content"),
         "content_tokens",
-        F.when(F.col("language") == "markdown", F.lit("prose")).otherwise(F.lit("code")).alias("chunk_type"),
+        F.when(language == "markdown", F.lit("prose")).otherwise(F.lit("code")).alias("chunk_type"),
         "imports",
     )
 
@@ -209,7 +213,7 @@ def index_files(
         "file_id", F.coalesce("file_id", F.sha2(F.concat_ws(":", "repository_id", "path"), 256))
     )
     texts = source.detect_language(source.decode_text(todo))
-    chunks = make_chunks(texts, **budget)
+    chunks = cut_lineage(make_chunks(texts, **budget))
     embedded, entries = embed_batch(
         chunks.withColumnRenamed("content", "text"), factory, tables.cache, model_id, now
     )

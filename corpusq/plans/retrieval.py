@@ -44,7 +44,7 @@ def sparse_topk(spark, sf):
 )
 def weights(spark, sf):
     return (
-        t.documents(spark, sf)
+        t.texts(spark, sf)
         .select("doc_id", F.inline(lexical_weights(F.col("text"))))
         .withColumn("weight", F.round("weight", 6))
     )
