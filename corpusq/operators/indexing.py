@@ -11,7 +11,7 @@ from corpusq.functions.spans import split_lines
 from corpusq.functions.text import let
 from corpusq.operators import chunking, outline
 from corpusq.operators.embedding import EncoderFactory, embed_batch
-from corpusq.session import cut_lineage
+from corpusq.session import cut_lineage, small_side
 from corpusq.sources import files as source
 
 
@@ -29,11 +29,17 @@ def detect_changes(known: DataFrame, scanned: DataFrame) -> DataFrame:
     )
 
 
-def supersede(rows: DataFrame, changed_files: DataFrame) -> DataFrame:
-    """Rows of changed files turn inactive. Call it on chunks and on vectors alike."""
+def supersede(
+    rows: DataFrame, changed_files: DataFrame, max_files: int | None = None
+) -> DataFrame:
+    """Rows of changed files turn inactive. Call it on chunks and on vectors alike.
+
+    With ``max_files``, a proven bound, few changed files are broadcast and the big
+    tables stay where they are.
+    """
     hit = changed_files.select("file_id").distinct().withColumn("_hit", F.lit(True))
     return (
-        rows.join(hit, "file_id", "left")
+        rows.join(small_side(hit, max_files), "file_id", "left")
         .withColumn("is_active", F.col("is_active") & F.col("_hit").isNull())
         .drop("_hit")
     )
@@ -242,11 +248,15 @@ def index_files(
         "dense", "sparse", F.col("model_id").alias("embedding_version"), F.lit(True).alias("is_active"),
     )
 
+    # Both are counted on what the checkpoints hold, so no file is read again.
+    file_count = changes.where("change <> 'unchanged'").count()
+    chunk_count = embedded.count()
+
     def renewed(old: DataFrame, new: DataFrame) -> DataFrame:
         # An id comes back when a file returns to an earlier text: the new row wins.
-        return supersede(old, replaced).join(new.select("chunk_id"), "chunk_id", "left_anti").select(
-            *old.columns
-        ).unionByName(new)
+        ids = small_side(new.select("chunk_id"), chunk_count)
+        kept = supersede(old, replaced, file_count).join(ids, "chunk_id", "left_anti")
+        return kept.select(*old.columns).unionByName(new)
 
     state = IndexTables(
         files=kept_files.select(*rows.columns).unionByName(rows),

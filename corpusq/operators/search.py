@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusq.functions.text import let, term_overlap, terms
-from corpusq.session import cut_lineage
+from corpusq.session import cut_lineage, small_side
 
 # Bounds of one in-memory block. Queries beyond the bound are never broadcast.
 MAX_BROADCAST_NUMBERS = 8_000_000  # numbers over all query vectors (64 MB as doubles)
@@ -368,9 +368,7 @@ MAX_BROADCAST_HITS = 1_000_000
 
 def read_by_ids(table: DataFrame, ids: DataFrame, key: str, max_ids: int | None = None) -> DataFrame:
     """Rows of ``table`` whose key occurs in ``ids``; broadcast only within a proven bound."""
-    wanted = ids.select(key)
-    small = max_ids is not None and max_ids <= MAX_BROADCAST_HITS
-    return table.join(F.broadcast(wanted) if small else wanted, key, "left_semi")
+    return table.join(small_side(ids.select(key), max_ids), key, "left_semi")
 
 
 def hydrate(

@@ -65,3 +65,15 @@ def spread(df, *keys: str):
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+# Rows of keys that may be sent to every executor; beyond it both sides are shuffled.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def small_side(df, max_rows: int | None):
+    """Broadcast a narrow side whose number of rows is proven; otherwise leave the
+    choice to Spark."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if max_rows is not None and max_rows <= MAX_BROADCAST_KEYS else df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusq.operators.filters import tenant_predicate
+from corpusq.session import small_side
 
 
 def append_chunks(chunks: DataFrame, path: str, partition: str = "repository_id") -> None:
@@ -43,8 +44,14 @@ def upsert_files(current: DataFrame, incoming: DataFrame) -> DataFrame:
     ).select(*current.columns)
 
 
-def upsert_vectors(current: DataFrame, incoming: DataFrame, workspace_id) -> DataFrame:
-    """Replace by chunk id. One row of another workspace fails the whole batch."""
+def upsert_vectors(
+    current: DataFrame, incoming: DataFrame, workspace_id, max_ids: int | None = None
+) -> DataFrame:
+    """Replace by chunk id. One row of another workspace fails the whole batch.
+
+    With ``max_ids``, a proven bound of the incoming rows, a small batch is broadcast
+    and the table is not shuffled.
+    """
     own = F.col("workspace_id") == F.lit(workspace_id)
     checked = incoming.withColumn(
         "workspace_id",
@@ -52,7 +59,8 @@ def upsert_vectors(current: DataFrame, incoming: DataFrame, workspace_id) -> Dat
             F.raise_error(F.lit("batch holds rows of another workspace"))
         ),
     )
-    return current.join(checked.select("chunk_id"), "chunk_id", "left_anti").unionByName(checked)
+    ids = small_side(incoming.select("chunk_id"), max_ids)
+    return current.join(ids, "chunk_id", "left_anti").unionByName(checked)
 
 
 def delete_by_filter(
@@ -63,13 +71,15 @@ def delete_by_filter(
     return df.where(~F.coalesce(doomed, F.lit(False)))
 
 
-def delete_cascade(ids: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+def delete_cascade(
+    ids: DataFrame, max_ids: int | None = None, **tables: DataFrame
+) -> dict[str, DataFrame]:
     """Remove repositories and everything that hangs on them.
 
     ``ids`` holds repository_id. ``tables`` may be repositories, files, chunks,
     jobs, vectors; all of them carry repository_id.
     """
-    gone = ids.select("repository_id").distinct()
+    gone = small_side(ids.select("repository_id").distinct(), max_ids)
     return {name: df.join(gone, "repository_id", "left_anti") for name, df in tables.items()}
 
 
