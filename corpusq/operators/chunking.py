@@ -6,6 +6,8 @@ so a corpus is chunked without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -256,12 +258,12 @@ def count_with(tokenizer_factory, df: DataFrame, text: str, out: str = "content_
     """
 
     @F.pandas_udf("int")
-    def count(batches):
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = tokenizer_factory()
         for texts in batches:
             yield pd.Series(counter(texts.fillna("").tolist()), dtype="int32")
 
-    return df.withColumn(out, F.when(F.col(text) == "", F.lit(0)).otherwise(count(text)))
+    return df.withColumn(out, F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(count(text)))
 
 
 def assemble_chunks(candidates: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
