@@ -212,8 +212,10 @@ def index_files(
     """
     hashed = source.content_hash(scanned)
     changes = cut_lineage(detect_changes(tables.files.where("NOT is_deleted"), hashed))
-    todo = hashed.join(
-        changes.where("change IN ('new', 'changed')").select("repository_id", "path", "file_id"),
+    todo = scanned.join(
+        changes.where("change IN ('new', 'changed')").select(
+            "repository_id", "path", "file_id", F.col("new_hash").alias("content_hash")
+        ),
         ["repository_id", "path"],
     ).withColumn(
         "file_id", F.coalesce("file_id", F.sha2(F.concat_ws(":", "repository_id", "path"), 256))
@@ -226,9 +228,15 @@ def index_files(
     embedded = cut_lineage(embedded.withColumnRenamed("text", "content"))
     good, failed = isolate_failures(embedded)
 
-    rows = source.detect_language(todo).join(failed.select("file_id"), "file_id", "left_anti").select(
-        "file_id", "repository_id", "path", "language",
-        F.col("length").alias("size_bytes"), "content_hash", F.lit(False).alias("is_deleted"),
+    # Fixed now, with the hash that was compared: a file that changes on disk later,
+    # even during this run, differs from its row and is taken up by the next run.
+    rows = cut_lineage(
+        source.detect_language(todo)
+        .join(failed.select("file_id"), "file_id", "left_anti")
+        .select(
+            "file_id", "repository_id", "path", "language",
+            F.col("length").alias("size_bytes"), "content_hash", F.lit(False).alias("is_deleted"),
+        )
     )
     deleted = changes.where("change = 'deleted'").select("file_id")
     replaced = rows.select("file_id").unionByName(deleted)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.plugins import REGISTRY, LanguageRegistry
+from corpusq.session import cut_lineage
 
 # Size cap of one file, cap of one repository, directories never entered.
 MAX_FILE_BYTES = 1_000_000
@@ -15,6 +21,50 @@ MAX_REPOSITORY_MB = 500
 EXCLUDED_DIRS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", "target"]
 
 
+LISTED = "path string, is_dir boolean, length long"
+
+
+def list_files(
+    spark: SparkSession, root: str, max_bytes: int, excluded_dirs: list[str]
+) -> DataFrame:
+    """Files below ``root`` (path, length), listed level by level in Spark tasks.
+
+    Excluded directories are never entered; symbolic links and what cannot be read
+    are skipped. Each round lists all directories of one depth side by side.
+    """
+    skip = set(excluded_dirs)
+
+    def list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["path"]:
+                fs, inner = pafs.FileSystem.from_uri(folder)
+                prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
+                local = isinstance(fs, pafs.LocalFileSystem)
+                try:
+                    found = fs.get_file_info(pafs.FileSelector(inner))
+                except OSError:
+                    continue
+                rows = [
+                    (prefix + f.path, f.type == pafs.FileType.Directory, f.size or 0)
+                    for f in found
+                    if f.type in (pafs.FileType.Directory, pafs.FileType.File)
+                    and not (local and os.path.islink(f.path))
+                    and not (f.type == pafs.FileType.Directory and f.base_name in skip)
+                    and (f.type == pafs.FileType.Directory or f.size <= max_bytes)
+                ]
+                yield pd.DataFrame(rows, columns=["path", "is_dir", "length"])
+
+    level = spark.createDataFrame([(root,)], "path string")
+    levels: list[DataFrame] = []
+    cores = spark.sparkContext.defaultParallelism
+    while True:
+        listed = cut_lineage(level.mapInPandas(list_dirs, LISTED))
+        levels.append(listed.where("NOT is_dir").select("path", "length"))
+        level = listed.where("is_dir").select("path").repartition(cores, "path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
 def scan_corpus(
     spark: SparkSession,
     root: str,
@@ -23,20 +73,53 @@ def scan_corpus(
 ) -> DataFrame:
     """Files below ``root``: path (relative), content, length.
 
+    Names that begin with a dot or an underscore count, which Spark's own file
+    listing would hide. Contents are read where the tasks run.
+    """
+    root = os.path.abspath(root) if "://" not in root else root.rstrip("/")
+    listed = list_files(spark, root, max_bytes, excluded_dirs)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                fs, inner = pafs.FileSystem.from_uri(path)
+                try:
+                    with fs.open_input_stream(inner) as stream:
+                        content = stream.read()
+                except OSError:
+                    continue
+                yield pd.DataFrame(
+                    {"path": [path[len(root) + 1 :]], "content": [content], "length": [length]}
+                )
+
+    cores = spark.sparkContext.defaultParallelism
+    spread_out = listed.repartition(max(cores, spark_partitions(spark)), "path")
+    return spread_out.mapInPandas(read, "path string, content binary, length long")
+
+
+def spark_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def scan_corpus_hadoop(
+    spark: SparkSession,
+    root: str,
+    max_bytes: int = MAX_FILE_BYTES,
+    excluded_dirs: list[str] = EXCLUDED_DIRS,
+) -> DataFrame:
+    """The same through Spark's binary file source, for stores only Hadoop can reach.
+
     The length filter reaches the source, which skips the content of larger files.
-    A Hadoop listing cannot tell symbolic links from files.
+    Such a listing follows links and hides names that begin with a dot or underscore.
     """
-    root = root.rstrip("/")
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(root)
+        .load(root.rstrip("/"))
         .where(F.col("length") <= max_bytes)
     )
-    plain_root = re.sub(r"^[a-z0-9]+:/*", "/", root)
-    relative = F.regexp_replace(
-        "path", r"^[a-z0-9]+:/*(?=/)|^" + re.escape(plain_root) + "/", ""
-    )
+    plain_root = re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/"))
+    relative = F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", "")
     relative = F.regexp_replace(relative, "^" + re.escape(plain_root) + "/", "")
     parts = F.split(relative, "/")
     excluded = F.array(*[F.lit(d) for d in excluded_dirs])
@@ -62,7 +145,9 @@ def rule_pattern(rule: str) -> tuple[str, bool] | None:
     anchored = "/" in rule.rstrip("/")
     out = ""
     while body:
-        if body.startswith("**/"):
+        if body.startswith("/**/"):
+            out, body = out + "/(?:.*/)?", body[4:]
+        elif body.startswith("**/"):
             out, body = out + "(?:.*/)?", body[3:]
         elif body == "**" or body.startswith("/**"):
             out, body = out + ("/.*" if body.startswith("/") else ".*"), body[3 if body.startswith("/") else 2:]
