@@ -204,7 +204,8 @@ def _cache(spark, sf):
     )
 
 
-NOW = F.lit("2050-01-01").cast("timestamp")
+def _now():
+    return F.lit("2050-01-01").cast("timestamp")
 
 
 @query(
@@ -213,7 +214,7 @@ NOW = F.lit("2050-01-01").cast("timestamp")
 )
 def read_cache(spark, sf):
     keys = t.documents(spark, sf).select(cache_key(F.col("text"), "model").alias("cache_key"))
-    return store.read_cache(keys, _cache(spark, sf), NOW).select("cache_key", "doc_id")
+    return store.read_cache(keys, _cache(spark, sf), _now()).select("cache_key", "doc_id")
 
 
 @query(
@@ -223,7 +224,7 @@ def read_cache(spark, sf):
 )
 def plan_batch(spark, sf):
     d = t.documents(spark, sf).select("doc_id", "text")
-    return embedding.plan_batch(d, _cache(spark, sf), "model", NOW).select("doc_id", "cache_key", "hit")
+    return embedding.plan_batch(d, _cache(spark, sf), "model", _now()).select("doc_id", "cache_key", "hit")
 
 
 @query("e1_embed_batch")
