@@ -101,7 +101,18 @@ def summary_due(spark, sf):
     return turns.summary_due(messages(spark, sf), 3)
 
 
-@query("a4_summarize")
+SQL_SUMMARY_PROMPT = f"""
+prompts AS (
+  SELECT conversation_id, concat_ws(chr(10) || chr(10), '{turns.INSTRUCTIONS["summarize"]}', 'Summary: ' || summary, history) AS prompt
+  FROM conv LEFT JOIN windows USING (conversation_id))"""
+
+
+@query(
+    "a4_summarize",
+    f"""WITH {SQL_CONV},{SQL_WINDOW},{SQL_SUMMARY_PROMPT}
+SELECT conversation_id, CASE WHEN is_deleted THEN summary ELSE length(prompt) || ' characters' END AS summary, is_deleted
+FROM conv JOIN prompts USING (conversation_id)""",
+)
 def summarize(spark, sf):
     """With a stand-in completer that answers with the length of its prompt."""
 
@@ -262,7 +273,13 @@ def build_prompt(spark, sf):
     )
 
 
-@query("a11_complete")
+@query(
+    "a11_complete",
+    f"""WITH {SQL_CONV},{SQL_WINDOW},{SQL_SUMMARY_PROMPT}
+SELECT conversation_id, right(prompt, 40) AS text, len(regexp_extract_all(prompt, '\\S+'))::BIGINT AS prompt_tokens,
+       len(regexp_extract_all(right(prompt, 40), '\\S+'))::BIGINT AS completion_tokens, 'stop' AS finish_reason, NULL::VARCHAR AS error
+FROM prompts""",
+)
 def complete(spark, sf):
     """With a stand-in completer; every prompt is the summary prompt of a conversation."""
 
@@ -276,7 +293,7 @@ def complete(spark, sf):
         ]
 
     prompts = turns.build_prompt(
-        turns.context_window(messages(spark, sf), conversations(spark, sf)), "summarize"
+        turns.context_window(messages(spark, sf), conversations(spark, sf), 4), "summarize"
     ).select("conversation_id", "prompt")
     return turns.complete(prompts, completer).drop("prompt")
 

@@ -183,8 +183,9 @@ def versions(spark, sf):
 
 SQL_CACHE = """
 keyed AS (
-  SELECT doc_id, text, sha256('model:' || regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS cache_key
-  FROM documents),
+  SELECT doc_id, text, plain, sha256(plain) AS cache_key FROM (
+    SELECT doc_id, text, 'model:' || regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS plain
+    FROM documents)),
 cache AS (
   SELECT cache_key, doc_id AS written, doc_id % 3 <> 0 AS live,
          row_number() OVER (PARTITION BY cache_key ORDER BY doc_id DESC) AS n
@@ -194,7 +195,7 @@ cache AS (
 def _cache(spark, sf):
     """Every second document was embedded, at an hour given by its number; a third of
     the entries are past their time."""
-    d = t.documents(spark, sf).where("doc_id % 2 = 0")
+    d = t.texts(spark, sf).where("doc_id % 2 = 0")
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
     return d.select(
         cache_key(F.col("text"), "model").alias("cache_key"),
@@ -213,7 +214,7 @@ def _now():
     f"WITH {SQL_CACHE} SELECT cache_key, written AS doc_id FROM cache WHERE n = 1 AND live",
 )
 def read_cache(spark, sf):
-    keys = t.documents(spark, sf).select(cache_key(F.col("text"), "model").alias("cache_key"))
+    keys = t.texts(spark, sf).select(cache_key(F.col("text"), "model").alias("cache_key"))
     return store.read_cache(keys, _cache(spark, sf), _now()).select("cache_key", "doc_id")
 
 
@@ -223,25 +224,50 @@ def read_cache(spark, sf):
   cache_key IN (SELECT cache_key FROM cache WHERE n = 1 AND live) AS hit FROM keyed""",
 )
 def plan_batch(spark, sf):
-    d = t.documents(spark, sf).select("doc_id", "text")
+    d = t.texts(spark, sf).select("doc_id", "text")
     return embedding.plan_batch(d, _cache(spark, sf), "model", _now()).select("doc_id", "cache_key", "hit")
 
 
-@query("e1_embed_batch")
+def _sql_encoded() -> str:
+    return (
+        t.sql_weights("documents", "doc_id", "text", "term_weights")
+        + """,
+hashed AS (SELECT doc_id, weight, ('0x' || left(md5(term), 15))::BIGINT AS h FROM term_weights),
+places AS (
+  SELECT doc_id, h % 64 AS place, sum(CASE WHEN (h // 64) % 2 = 1 THEN weight ELSE -weight END) AS x
+  FROM hashed GROUP BY ALL),
+norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM places GROUP BY doc_id),
+encoded AS (
+  SELECT d.doc_id, coalesce(round((x / norm)::FLOAT::DOUBLE, 6), 0) AS first,
+         (SELECT count(*) FROM hashed w WHERE w.doc_id = d.doc_id)::INTEGER AS terms
+  FROM documents d LEFT JOIN norms USING (doc_id) LEFT JOIN places p ON p.doc_id = d.doc_id AND place = 0)"""
+    )
+
+
+@query(
+    "e1_embed_batch",
+    f"""WITH {SQL_CACHE},{_sql_encoded()}
+SELECT doc_id, sha256('hashed-64:' || substr(plain, 7)) AS cache_key, first, terms, 'hashed-64' AS model_id
+FROM keyed JOIN encoded USING (doc_id)""",
+)
 def embed(spark, sf):
     d = t.texts(spark, sf).select("doc_id", "text")
     empty = spark.createDataFrame([], indexing.CACHE)
     rows, _ = embedding.embed_batch(d, hashed_encoder(), empty, "hashed-64")
     return rows.select(
-        "doc_id", "cache_key", F.size("dense").alias("dim"), F.size("sparse.ids").alias("terms"), "error"
+        "doc_id", "cache_key", _first("dense"), F.size("sparse.ids").alias("terms"), "model_id"
     )
 
 
-@query("e2_encode")
+def _first(dense: str):
+    return F.round(F.get(dense, F.lit(0)).cast("double"), 6).alias("first")
+
+
+@query("e2_encode", f"WITH {_sql_encoded()} SELECT doc_id, first, terms, 'hashed-64' AS model_id FROM encoded")
 def encode(spark, sf):
     d = t.texts(spark, sf).select("doc_id", "text")
     rows = embedding.encode(d, hashed_encoder(), "hashed-64")
-    return rows.select("doc_id", F.get("dense", F.lit(0)).alias("first"), F.size("sparse.ids").alias("terms"), "model_id")
+    return rows.select("doc_id", _first("dense"), F.size("sparse.ids").alias("terms"), "model_id")
 
 
 @query(
@@ -428,7 +454,7 @@ def redact(spark, sf):
     f"WITH {SQL_CACHE} SELECT doc_id, cache_key FROM keyed",
 )
 def keys(spark, sf):
-    return t.documents(spark, sf).select("doc_id", cache_key(F.col("text"), "model").alias("cache_key"))
+    return t.texts(spark, sf).select("doc_id", cache_key(F.col("text"), "model").alias("cache_key"))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusq.operators import metrics, search
 from corpusq.plans import tables as t
+from corpusq.plans.chunks import sql_markdown
 from corpusq.plans.indexing import progress_messages
 from corpusq.plans.registry import query
 from corpusq.session import checkpoint_root
@@ -96,7 +97,16 @@ def rate_limit_aligned(spark, sf):
     )
 
 
-@query("st2_index_stream")
+@query(
+    "st2_index_stream",
+    f"""WITH RECURSIVE md AS (
+  SELECT lang || '/' || source || '/' || doc_id || '.md' AS file_id, text FROM documents),
+{sql_markdown("dummy AS (SELECT 1)", 128, 32).strip()},
+counts AS (SELECT file_id, count(*) AS chunks FROM markdown_chunks GROUP BY file_id)
+SELECT source AS repository_id, lang || '/' || source || '/' || doc_id || '.md' AS path, 'new' AS status,
+       coalesce(chunks, 0) AS chunks
+FROM documents LEFT JOIN counts ON file_id = lang || '/' || source || '/' || doc_id || '.md'""",
+)
 def index_stream(spark, sf):
     """All documents arrive as a stream of files; the results of the run are read back."""
     from corpusq.functions.encoders import hashed_encoder
@@ -121,7 +131,8 @@ def index_stream(spark, sf):
         results.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     start(
-        arriving, lambda: indexing.empty_tables(spark), save, hashed_encoder(), "hashed-64", "main", run
+        arriving, lambda: indexing.empty_tables(spark), save, hashed_encoder(), "hashed-64", "main", run,
+        max_tokens=128, min_tokens=32,
     ).awaitTermination()
     return spark.read.parquet(out).select("repository_id", "path", "status", "chunks")
 
