@@ -256,13 +256,15 @@ def chunk_markdown(spark, sf):
     )
 
 
-# --- spans of code: symbols by rule, one opening at every third line ------------------
+# --- spans of code: symbols by rule, one opening at every long line -------------------
+
+WIDE = 250
 
 
 def files_with_symbols(spark, sf):
     d = t.texts(spark, sf)
     lines = F.split("text", "\n")
-    symbols = F.filter(
+    marked = F.filter(
         F.transform(
             lines,
             lambda line, n: F.struct(
@@ -270,18 +272,23 @@ def files_with_symbols(spark, sf):
                 F.least(n + 1 + F.length(line) % 9, F.size(lines)).alias("end_line"),
                 F.when((n + 1) % 2 == 0, F.lit("function")).otherwise(F.lit("class")).alias("kind"),
                 F.concat(F.lit("s"), (n + 1).cast("string")).alias("name"),
+                (F.length(line) > WIDE).alias("wide"),
             ),
         ),
-        lambda s: s["start_line"] % 3 == 0,
+        lambda s: s["wide"],
+    )
+    symbols = F.transform(
+        marked,
+        lambda s: F.struct(*[s[c].alias(c) for c in ("start_line", "end_line", "kind", "name")]),
     )
-    # Every second line of the text is blank, so gaps of blank lines occur.
+    # Every fourth line of the text is blank, so gaps of blank lines occur.
     spaced = F.array_join(
         F.transform(lines, lambda line, n: F.when((n + 1) % 4 == 1, F.lit("")).otherwise(line)), "\n"
     )
     return d.select(F.col("doc_id").alias("file_id"), symbols.alias("symbols"), spaced.alias("content"))
 
 
-SQL_SYMBOLS = """
+SQL_SYMBOLS = f"""
 src AS (
   SELECT doc_id AS file_id, len(string_split(text, chr(10))) AS n,
          unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i
@@ -292,7 +299,7 @@ spaced AS (
 symbols AS (
   SELECT file_id, i AS s, least(i + length(l) % 9, n) AS e,
          CASE WHEN i % 2 = 0 THEN 'function' ELSE 'class' END AS kind, 's' || i AS name
-  FROM src WHERE i % 3 = 0),
+  FROM src WHERE length(l) > {WIDE}),
 outermost AS (
   SELECT * FROM (
     SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before

@@ -403,7 +403,7 @@ def usage(spark, sf):
   SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i
   FROM documents),
 spans AS (
-  SELECT doc_id, ls, i AS s, least(i + length(ls[i]) % 5, len(ls)) AS e FROM src WHERE i % 3 = 1),
+  SELECT doc_id, ls, i AS s, least(i + length(ls[i]) % 5, len(ls)) AS e FROM src WHERE length(ls[i]) > 250),
 flagged AS (
   SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
   FROM spans),
@@ -415,9 +415,9 @@ SELECT doc_id AS query_id, min(s) AS start_line, max(e) AS end_line, min(s) AS r
 FROM islands GROUP BY doc_id, g""",
 )
 def merge_overlaps(spark, sf):
-    """Spans opening at every third line of a document, as hits of one query."""
+    """Spans opening at the long lines of a document, as hits of one query."""
     d = t.documents(spark, sf).withColumn("ls", F.split("text", "\n"))
-    spans = d.select("doc_id", "ls", F.posexplode("ls").alias("n", "line")).where("n % 3 = 0")
+    spans = d.select("doc_id", "ls", F.posexplode("ls").alias("n", "line")).where("length(line) > 250")
     end = F.least(F.col("n") + 1 + F.length("line") % 5, F.size("ls"))
     context = spans.select(
         F.col("doc_id").alias("query_id"),

@@ -16,16 +16,16 @@ from corpusq.session import checkpoint_root
 from corpusq.sources import files as source
 from corpusq.sources import tables as store
 
-# The earlier snapshot: every tenth document was not there yet, every seventh had
-# another text, and for every eleventh there was one more file that is gone now.
+# The earlier snapshot: one source was not there yet, French documents had another
+# text, and beside every Spanish one lay a file that is gone now.
 SQL_KNOWN = """
 known AS (
   SELECT doc_id AS file_id, source AS repository_id, lang || '/' || source || '/' || doc_id || '.md' AS path,
-         sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' old' ELSE text END) AS content_hash
-  FROM documents WHERE doc_id % 10 <> 0
+         sha256(CASE WHEN lang = 'fr' THEN text || ' old' ELSE text END) AS content_hash
+  FROM documents WHERE source <> 'src7'
   UNION ALL
   SELECT doc_id + 1000000000, source, lang || '/' || source || '/gone' || doc_id || '.md', sha256(text)
-  FROM documents WHERE doc_id % 11 = 0),
+  FROM documents WHERE lang = 'es'),
 scanned AS (
   SELECT doc_id AS file_id, source AS repository_id, lang || '/' || source || '/' || doc_id || '.md' AS path,
          sha256(text) AS content_hash, text, n_chars
@@ -46,9 +46,9 @@ def scanned(spark, sf):
 
 def known(spark, sf):
     f = t.files(spark, sf)
-    old = F.when(F.col("file_id") % 7 == 0, F.concat("content", F.lit(" old"))).otherwise(F.col("content"))
-    here = f.where("file_id % 10 <> 0").withColumn("content", old)
-    gone = f.where("file_id % 11 = 0").select(
+    old = F.when(F.col("workspace_id") == "fr", F.concat("content", F.lit(" old"))).otherwise(F.col("content"))
+    here = f.where("repository_id <> 'src7'").withColumn("content", old)
+    gone = f.where("workspace_id = 'es'").select(
         (F.col("file_id") + 1000000000).alias("file_id"), "repository_id", "workspace_id",
         F.concat_ws("/", "workspace_id", "repository_id", F.concat(F.lit("gone"), F.col("file_id").cast("string"), F.lit(".md"))).alias("path"),
         "content", "size_bytes",
@@ -83,13 +83,13 @@ def ignore(spark, sf):
 
 @query(
     "s3_decode_text",
-    "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 5 <> 0",
+    "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE lang <> 'de'",
 )
 def decode(spark, sf):
-    """Every fifth document ends in a byte that no UTF-8 text holds."""
+    """German documents end in a byte that no UTF-8 text holds."""
     raw = t.documents(spark, sf).select(
         "doc_id",
-        F.when(F.col("doc_id") % 5 == 0, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF"))))
+        F.when(F.col("lang") == "de", F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF"))))
         .otherwise(F.col("text").cast("binary"))
         .alias("content"),
     )
@@ -183,25 +183,25 @@ def versions(spark, sf):
 
 SQL_CACHE = """
 keyed AS (
-  SELECT doc_id, text, plain, sha256(plain) AS cache_key FROM (
-    SELECT doc_id, text, 'model:' || regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS plain
+  SELECT doc_id, lang, source, text, plain, sha256(plain) AS cache_key FROM (
+    SELECT doc_id, lang, source, text, 'model:' || regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS plain
     FROM documents)),
 cache AS (
-  SELECT cache_key, doc_id AS written, doc_id % 3 <> 0 AS live,
+  SELECT cache_key, doc_id AS written, source <> 'src3' AS live,
          row_number() OVER (PARTITION BY cache_key ORDER BY doc_id DESC) AS n
-  FROM keyed WHERE doc_id % 2 = 0)"""
+  FROM keyed WHERE lang <> 'en')"""
 
 
 def _cache(spark, sf):
-    """Every second document was embedded, at an hour given by its number; a third of
-    the entries are past their time."""
-    d = t.texts(spark, sf).where("doc_id % 2 = 0")
+    """All but the English documents were embedded, at a time given by their number;
+    the entries of one source are past their time."""
+    d = t.texts(spark, sf).where("lang <> 'en'")
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
     return d.select(
         cache_key(F.col("text"), "model").alias("cache_key"),
         "doc_id",
         at.alias("written_at"),
-        F.when(F.col("doc_id") % 3 == 0, at).otherwise(F.lit("2100-01-01").cast("timestamp")).alias("expires_at"),
+        F.when(F.col("source") == "src3", at).otherwise(F.lit("2100-01-01").cast("timestamp")).alias("expires_at"),
     )
 
 
