@@ -8,7 +8,7 @@ the batch form is a chain; it is cut into time buckets that are solved side by s
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -62,26 +62,44 @@ def rate_limit(
        true arrival state goes back down to every bucket.
     3. Per key and bucket: windows from the known arrival state.
 
-    No group ever holds more than one bucket of events of one key, or
-    ``FAN_OUT`` step functions.
+    Keys are grouped by slots of a hash, so quiet keys do not cost a group each, and
+    every group ends with its bucket, so no key is ever held whole. Keys must not be
+    null.
     """
     if bucket_seconds < seconds:
         raise ValueError("a bucket must not be shorter than the window")
     width, span = seconds * 1_000_000, bucket_seconds * 1_000_000
+    slots = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Quiet keys share a group with others of their slot; a hot key is cut by bucket.
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("_slot")
     base = events.select(*keys, event_id, ts).withColumn("_t", _micros(ts))
     base = base.withColumn("_b", F.floor(F.col("_t") / span))
     fields = [T.StructField(k, events.schema[k].dataType) for k in keys]
-    step_type = T.StructType(
-        fields + [T.StructField(n, T.LongType()) for n in ("_b", "_entry", "_leave")]
-    )
-
-    def key_frame(pdf: pd.DataFrame, n: int, **columns) -> pd.DataFrame:
-        head = {k: [pdf[k].iloc[0]] * n for k in keys}
-        return pd.DataFrame(head | columns)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy())
-        bucket = int(pdf["_b"].iloc[0])
+    def table(*names: str) -> T.StructType:
+        return T.StructType(fields + [T.StructField(n, T.LongType()) for n in names])
+
+    def per_key(core: Callable[[dict], dict]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        """Run ``core`` on the columns of each key in a group, as arrays."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            edges = np.append(np.flatnonzero(np.diff(code[order], prepend=-1)), len(order))
+            columns = {c: pdf[c].to_numpy()[order] for c in pdf.columns if c not in keys}
+            outs = [
+                core({c: v[low:high] for c, v in columns.items()})
+                for low, high in zip(edges[:-1], edges[1:], strict=True)
+            ]
+            sizes = [len(o["_b"]) for o in outs]
+            head = pdf[keys].iloc[np.repeat(order[edges[:-1]], sizes)].reset_index(drop=True)
+            return head.assign(**{c: np.concatenate([o[c] for o in outs]) for c in outs[0]})
+
+        return run
+
+    def solve(rows: dict) -> dict:
+        t = np.sort(rows["_t"])
+        bucket = rows["_b"][0]
         following = np.searchsorted(t, t + width, side="left")
         last = np.where(following < len(t), following, np.arange(len(t)))
         while True:
@@ -91,25 +109,31 @@ def rate_limit(
             last = further
         count = min(len(t), np.searchsorted(t, bucket * span + width, side="left") + 1)
         entry, leave = _reduced(t[:count], t[last[:count]] + width)
-        return key_frame(pdf, len(entry), _b=bucket, _entry=entry, _leave=leave)
+        return {"_b": np.full(len(entry), bucket), "_entry": entry, "_leave": leave}
 
+    steps_type = table("_b", "_entry", "_leave")
     # Read by several levels below, and small: only hits of a bucket's first window.
-    solved = base.select(*keys, "_b", "_t").groupBy(*keys, "_b").applyInPandas(solve, step_type)
+    solved = (
+        base.select(*keys, "_b", "_t")
+        .groupBy(slot, "_b")
+        .applyInPandas(per_key(solve), steps_type)
+    )
     steps = [cut_lineage(solved)]
     low, high = steps[0].agg(F.min("_b"), F.max("_b")).first()
     buckets = 1 if low is None else high - low + 1
     levels = max(1, math.ceil(math.log(buckets, FAN_OUT)))
 
-    def buckets_of(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        pdf = pdf.sort_values(["_b", "_entry"], kind="stable")
+    def buckets_of(rows: dict) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        order = np.lexsort((rows["_entry"], rows["_b"]))
+        b, entry, leave = (rows[c][order] for c in ("_b", "_entry", "_leave"))
+        edges = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
         return [
-            (int(b), part["_entry"].to_numpy(), part["_leave"].to_numpy())
-            for b, part in pdf.groupby("_b", sort=True)
+            (int(b[i]), entry[i:j], leave[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)
         ]
 
-    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = buckets_of(pdf)
-        _, entry, free = parts[0]
+    def join_up(rows: dict) -> dict:
+        parts = buckets_of(rows)
+        first, entry, free = parts[0]
         for n, (_, e, leave) in enumerate(parts[1:]):
             free = _pass_through(free, e, leave)
             if n == 0:
@@ -117,39 +141,34 @@ def rate_limit(
                 # window starts with the first hit of the second.
                 entry, free = np.append(entry, e[0]), np.append(free, leave[0])
         entry, free = _reduced(entry, free)
-        return key_frame(pdf, len(entry), _b=parts[0][0] // FAN_OUT, _entry=entry, _leave=free)
+        return {"_b": np.full(len(entry), first // FAN_OUT), "_entry": entry, "_leave": free}
 
+    parent = F.floor(F.col("_b") / FAN_OUT).alias("_p")
     for _ in range(levels):
-        parent = F.floor(F.col("_b") / FAN_OUT).alias("_p")
-        steps.append(steps[-1].groupBy(*keys, parent).applyInPandas(join_up, step_type))
+        steps.append(steps[-1].groupBy(slot, parent).applyInPandas(per_key(join_up), steps_type))
 
-    arrival_type = T.StructType(fields + [T.StructField(n, T.LongType()) for n in ("_b", "_free")])
-    start = np.iinfo(np.int64).min
+    never = np.iinfo(np.int64).min
 
-    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = np.array([pdf["_free"].iloc[0] if "_free" in pdf else start], dtype=np.int64)
-        rows = []
-        for b, entry, leave in buckets_of(pdf):
-            rows.append((b, int(free[0])))
+    def hand_down(rows: dict) -> dict:
+        free = rows["_free"][:1] if "_free" in rows else np.array([never], dtype=np.int64)
+        b, arrivals = [], []
+        for bucket, entry, leave in buckets_of(rows):
+            b.append(bucket)
+            arrivals.append(free)
             free = _pass_through(free, entry, leave)
-        return key_frame(pdf, len(rows), _b=[r[0] for r in rows], _free=[r[1] for r in rows])
+        return {"_b": np.array(b), "_free": np.concatenate(arrivals)}
 
     # The top level has at most two buckets per key.
-    arrival = steps[-1].groupBy(*keys).applyInPandas(hand_down, arrival_type)
+    arrival_type = table("_b", "_free")
+    arrival = steps[-1].groupBy(slot).applyInPandas(per_key(hand_down), arrival_type)
     for level in reversed(range(levels)):
         above = arrival.withColumnRenamed("_b", "_p")
-        below = steps[level].withColumn("_p", F.floor(F.col("_b") / FAN_OUT))
-        arrival = below.join(above, [*keys, "_p"]).groupBy(*keys, "_p").applyInPandas(hand_down, arrival_type)
-
-    opened_type = T.StructType(
-        [*fields, T.StructField(event_id, events.schema[event_id].dataType),
-         T.StructField("_t", T.LongType()), T.StructField("_start", T.LongType())]
-    )
+        below = steps[level].withColumn("_p", parent).join(above, [*keys, "_p"])
+        arrival = below.groupBy(slot, "_p").applyInPandas(per_key(hand_down), arrival_type)
 
-    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t", kind="stable")
-        t = pdf["_t"].to_numpy()
-        free = int(pdf["_free"].iloc[0])
+    def windows(rows: dict) -> dict:
+        order = np.argsort(rows["_t"], kind="stable")
+        t, free = rows["_t"][order], int(rows["_free"][0])
         begin = np.empty(len(t), dtype=np.int64)
         at = int(np.searchsorted(t, free, side="left"))
         if at:  # hits covered by a window of an earlier bucket
@@ -158,13 +177,14 @@ def rate_limit(
             end = int(np.searchsorted(t, t[at] + width, side="left"))
             begin[at:end] = t[at]
             at = end
-        return pdf.assign(_start=begin)[[*keys, event_id, "_t", "_start"]]
+        return {event_id: rows[event_id][order], "_b": rows["_b"], "_t": t, "_start": begin}
 
+    opened_type = table("_b", "_t", "_start").add(event_id, events.schema[event_id].dataType)
     opened = (
         base.select(*keys, event_id, "_t", "_b")
         .join(arrival, [*keys, "_b"])
-        .groupBy(*keys, "_b")
-        .applyInPandas(windows, opened_type)
+        .groupBy(slot, "_b")
+        .applyInPandas(per_key(windows), opened_type)
     )
     in_window = Window.partitionBy(*keys, "_start").orderBy("_t", event_id)
     counted = opened.withColumn("hit", F.row_number().over(in_window))
