@@ -194,6 +194,14 @@ def make_chunks(
     )
 
 
+def _mark_deleted(files: DataFrame, deleted: DataFrame) -> DataFrame:
+    return (
+        files.join(deleted.withColumn("_gone", F.lit(True)), "file_id", "left")
+        .withColumn("is_deleted", F.col("is_deleted") | F.col("_gone").isNotNull())
+        .select(*files.columns)
+    )
+
+
 def index_files(
     scanned: DataFrame,
     tables: IndexTables,
@@ -212,6 +220,21 @@ def index_files(
     """
     hashed = source.content_hash(scanned)
     changes = cut_lineage(detect_changes(tables.files.where("NOT is_deleted"), hashed))
+    counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+    deleted = changes.where("change = 'deleted'").select("file_id")
+    if not counts.get("new") and not counts.get("changed"):
+        # Nothing to read, cut or embed: only the rows of deleted files flip.
+        gone = counts.get("deleted", 0)
+        state = IndexTables(
+            _mark_deleted(tables.files, deleted),
+            supersede(tables.chunks, deleted, gone).select(*tables.chunks.columns),
+            supersede(tables.vectors, deleted, gone).select(*tables.vectors.columns),
+            tables.cache,
+        )
+        return state, changes.select(
+            "file_id", "repository_id", "path", F.col("change").alias("status"),
+            F.lit(0).cast("long").alias("chunks"), F.lit(None).cast("string").alias("error"),
+        )
     todo = scanned.join(
         changes.where("change IN ('new', 'changed')").select(
             "repository_id", "path", "file_id", F.col("new_hash").alias("content_hash")
@@ -238,13 +261,9 @@ def index_files(
             F.col("length").alias("size_bytes"), "content_hash", F.lit(False).alias("is_deleted"),
         )
     )
-    deleted = changes.where("change = 'deleted'").select("file_id")
     replaced = rows.select("file_id").unionByName(deleted)
-    kept_files = (
-        tables.files.join(rows.select("file_id"), "file_id", "left_anti")
-        .join(deleted.withColumn("_gone", F.lit(True)), "file_id", "left")
-        .withColumn("is_deleted", F.col("is_deleted") | F.col("_gone").isNotNull())
-        .drop("_gone")
+    kept_files = _mark_deleted(
+        tables.files.join(rows.select("file_id"), "file_id", "left_anti"), deleted
     )
     new_chunks = good.select(
         "chunk_id", "file_id", "repository_id", "symbol_name", "symbol_kind", "start_line", "end_line",
@@ -257,7 +276,7 @@ def index_files(
     )
 
     # Both are counted on what the checkpoints hold, so no file is read again.
-    file_count = changes.where("change <> 'unchanged'").count()
+    file_count = sum(n for change, n in counts.items() if change != "unchanged")
     chunk_count = embedded.count()
 
     def renewed(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -272,12 +291,12 @@ def index_files(
         vectors=renewed(tables.vectors, new_vectors),
         cache=tables.cache.unionByName(entries.select(*tables.cache.columns)),
     )
-    counts = good.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
+    made = good.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
     results = (
         changes.withColumn(
             "file_id", F.coalesce("file_id", F.sha2(F.concat_ws(":", "repository_id", "path"), 256))
         )
-        .join(counts, "file_id", "left")
+        .join(made, "file_id", "left")
         .join(failed, "file_id", "left")
         .select(
             "file_id", "repository_id", "path",

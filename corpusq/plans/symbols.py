@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusq.operators import chunking, outline
 from corpusq.plans import tables as t
-from corpusq.plans.chunks import TOKENS, sql_lines
+from corpusq.plans.chunks import SQL_GAPS, TOKENS, sql_greedy, sql_lines, sql_tail_fix
 from corpusq.plans.registry import query
 
 # What line i of a document becomes, by i mod 11; the line itself stays as a comment.
@@ -255,22 +255,88 @@ def format_blame(spark, sf):
 MAX, MIN, TARGET = 60, 10, 40
 
 
-@query("c13_chunk_code")
-def chunk_code(spark, sf):
+def sql_code_chunks(target: int) -> str:
+    """Chunks of the made-up code: classes hold methods, and nothing nests deeper."""
+    return f"""WITH RECURSIVE {SQL_CODE},
+outermost AS (SELECT file_id, s, e, kind, name FROM symbols WHERE depth = 0),
+{SQL_GAPS},
+sized AS (
+  SELECT f.file_id, f.s, f.e, f.kind, sum(l.tok) AS tok
+  FROM filled f JOIN lines l ON l.file_id = f.file_id AND l.line_no BETWEEN f.s AND f.e GROUP BY ALL),
+kids AS (
+  SELECT z.file_id, z.s AS g, z.e AS ge, c.s AS cs, row_number() OVER w AS k, lead(c.s) OVER w AS following
+  FROM sized z JOIN symbols c ON c.file_id = z.file_id AND c.depth = 1 AND c.s >= z.s AND c.e <= z.e
+  WHERE z.tok > {MAX} AND z.kind <> 'module' WINDOW w AS (PARTITION BY z.file_id, z.s ORDER BY c.s)),
+kid_spans AS (
+  SELECT file_id, g, k, CASE WHEN k = 1 THEN g ELSE cs END AS s, coalesce(following - 1, ge) AS e FROM kids),
+units AS (
+  SELECT u.file_id, g, k, u.s, u.e, sum(l.tok) AS tok
+  FROM kid_spans u JOIN lines l ON l.file_id = u.file_id AND l.line_no BETWEEN u.s AND u.e GROUP BY ALL),
+{sql_greedy('units', 'packed', MAX, ['file_id', 'g'])},
+long AS (
+  SELECT file_id, s, e FROM sized z WHERE tok > {MAX}
+    AND NOT EXISTS (SELECT 1 FROM kids WHERE kids.file_id = z.file_id AND kids.g = z.s)
+  UNION ALL SELECT file_id, s, e FROM packed WHERE tok > {MAX}),
+long_lines AS (
+  SELECT p.file_id, p.s AS g, row_number() OVER (PARTITION BY p.file_id, p.s ORDER BY l.line_no) AS k,
+         l.line_no AS s, l.line_no AS e, l.tok
+  FROM long p JOIN lines l ON l.file_id = p.file_id AND l.line_no BETWEEN p.s AND p.e),
+{sql_greedy('long_lines', 'windows', MAX, ['file_id', 'g'])},
+{sql_tail_fix('windows', 'fixed', MIN, ['file_id', 'g'])},
+pieces AS (
+  SELECT file_id, s, e, tok FROM sized WHERE tok <= {MAX}
+  UNION ALL SELECT file_id, s, e, tok FROM packed WHERE tok <= {MAX}
+  UNION ALL SELECT file_id, s, e, tok FROM fixed),
+named AS (
+  SELECT p.*, f.kind, f.name, row_number() OVER (PARTITION BY p.file_id ORDER BY p.s) AS k
+  FROM pieces p JOIN filled f ON f.file_id = p.file_id AND p.s BETWEEN f.s AND f.e),
+walk AS (
+  SELECT file_id, k, s, e, tok, kind, name, 1 AS piece, tok AS total FROM named WHERE k = 1
+  UNION ALL
+  SELECT u.file_id, u.k, u.s, u.e, u.tok, u.kind, u.name,
+         CASE WHEN u.kind <> r.kind OR r.total + u.tok > {target} THEN r.piece + 1 ELSE r.piece END,
+         CASE WHEN u.kind <> r.kind OR r.total + u.tok > {target} THEN u.tok ELSE r.total + u.tok END
+  FROM walk r JOIN named u ON u.file_id = r.file_id AND u.k = r.k + 1),
+joined AS (
+  SELECT file_id, piece, min(s) AS start_line, max(e) AS end_line, min(kind) AS symbol_kind,
+         arg_min(name, k) AS symbol_name, CASE WHEN count(*) > 1 THEN 'merged' ELSE 'ast' END AS source_stage,
+         sum(tok)::BIGINT AS content_tokens
+  FROM walk GROUP BY file_id, piece),
+code_chunks AS (
+  SELECT j.file_id, start_line, end_line, symbol_kind, symbol_name, source_stage, content_tokens,
+         md5(string_agg(l.line, '' ORDER BY l.line_no)) AS text_md5
+  FROM joined j JOIN walk w ON w.file_id = j.file_id AND w.piece = j.piece
+  JOIN lines l ON l.file_id = w.file_id AND l.line_no BETWEEN w.s AND w.e GROUP BY ALL)"""
+
+
+def _code_rows(spark, sf, target, *columns):
     files = outline.symbol_outline(code_files(spark, sf))
-    rows = chunking.chunk_code(files, MAX, MIN, TARGET)
+    rows = chunking.chunk_code(files, MAX, MIN, target)
     return rows.select(
-        "file_id", "start_line", "end_line", "symbol_kind", "symbol_name", "source_stage",
-        F.md5("text").alias("text_md5"), "content_tokens",
+        "file_id",
+        *[F.col(c).cast("long").alias(c) for c in ("start_line", "end_line", "content_tokens")],
+        *columns,
+    )
+
+
+@query(
+    "c13_chunk_code",
+    sql_code_chunks(TARGET)
+    + " SELECT file_id, start_line, end_line, content_tokens, symbol_kind, symbol_name, source_stage, text_md5 FROM code_chunks",
+)
+def chunk_code(spark, sf):
+    return _code_rows(
+        spark, sf, TARGET, "symbol_kind", "symbol_name", "source_stage", F.md5("text").alias("text_md5")
     )
 
 
-@query("c9_split_oversize")
+@query(
+    "c9_split_oversize",
+    sql_code_chunks(0) + " SELECT file_id, start_line, end_line, content_tokens, symbol_kind, symbol_name FROM code_chunks",
+)
 def split_oversize(spark, sf):
     """As c13 with a merge target of nothing: the pieces before small ones are merged."""
-    files = outline.symbol_outline(code_files(spark, sf))
-    rows = chunking.chunk_code(files, MAX, MIN, 0)
-    return rows.select("file_id", "start_line", "end_line", "symbol_kind", "symbol_name", "content_tokens")
+    return _code_rows(spark, sf, 0, "symbol_kind", "symbol_name")
 
 
 @query(
