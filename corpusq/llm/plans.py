@@ -7,12 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import chat_format, exact_dedup
+from corpusq.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing
 from corpusq.llm.common import table
 
 LOWER_KEY = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        "line_dedup.n_lines",
+        "line_dedup.n_dropped",
+        F.sha2("line_dedup.text", 256).alias("kept_sha256"),
+    )
+
+
+OP2_SQL = """
+WITH line AS (
+  SELECT doc_id, l.line, l.pos,
+         translate(trim(l.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+       LATERAL (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS pos) l
+), owner AS (
+  SELECT key, min(doc_id) AS first FROM line WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), judged AS (
+  SELECT line.*, first IS NOT NULL AND first <> doc_id AS gone FROM line LEFT JOIN owner USING (key)
+)
+SELECT doc_id,
+       count(*) AS n_lines,
+       CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -75,11 +113,40 @@ SELECT conv_id,
 FROM safe GROUP BY conv_id
 """
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path)
+    decoded = byte_bpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_packing": op10_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op9_chat_format": op9_chat_format,
 }
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op9_chat_format": OP9_SQL,
 }
