@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing
+from corpusq.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality, topk_search
 from corpusq.llm.common import table
 
 LOWER_KEY = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,6 +113,40 @@ SELECT conv_id,
 FROM safe GROUP BY conv_id
 """
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([q.w[i] * c.w[i] FOR i IN range(1, len(q.w) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.AdditiveModel:
+    return quality.fit(docs, table(spark, sf_dir, "labels"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = quality.scorer(quality_model(spark, docs, sf_dir))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -140,12 +174,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op5_topk_search": op5_topk_search,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_packing": op10_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op9_chat_format": op9_chat_format,
 }
 ORACLE: dict[str, str] = {
+    "op5_topk_search": OP5_SQL,
     "op2_line_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op9_chat_format": OP9_SQL,
