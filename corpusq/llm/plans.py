@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality, topk_search
+from corpusq.llm import byte_bpe, chat_format, exact_dedup, html_extract, line_dedup, packing, quality, topk_search
 from corpusq.llm.common import table
 
 LOWER_KEY = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,6 +113,29 @@ SELECT conv_id,
 FROM safe GROUP BY conv_id
 """
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = html_extract.extract(pages, html_extract.fit(pages))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+# The markup of the given pages is simple enough for SQL: one article, whose only inline element is <b>.
+OP4_SQL = r"""
+WITH a AS (
+  SELECT page_id, url,
+         regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages
+), t AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS raw FROM a
+), d AS (
+  SELECT page_id, url,
+         trim(regexp_replace(regexp_replace(regexp_replace(
+           replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"', 'g'), '&amp;?', '&', 'g'),
+           '[\s]+', ' ', 'g')) AS text FROM t
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -174,6 +197,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_topk_search": op5_topk_search,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
@@ -182,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
 }
 ORACLE: dict[str, str] = {
+    "op4_html_extract": OP4_SQL,
     "op5_topk_search": OP5_SQL,
     "op2_line_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
