@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import byte_bpe, chat_format, exact_dedup, html_extract, line_dedup, packing, quality, topk_search
+from corpusq.llm import byte_bpe, chat_format, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, topk_search
 from corpusq.llm.common import table
 
 LOWER_KEY = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -170,6 +170,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -200,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extract": op4_html_extract,
     "op5_topk_search": op5_topk_search,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_ngram_join": op7_ngram_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_packing": op10_packing,
     "op3_exact_dedup": op3_exact_dedup,
