@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import byte_bpe, chat_format, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, topk_search
+from corpusq.llm import byte_bpe, chat_format, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, suffix_dedup, topk_search
 from corpusq.llm.common import table
 
 LOWER_KEY = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -20,6 +20,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(
+            "spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"]
+        ).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select(
@@ -200,6 +213,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op4_html_extract": op4_html_extract,
     "op5_topk_search": op5_topk_search,
