@@ -233,9 +233,12 @@ def remove_repeats(
     carry: list[str] | None = None,
     per_block: int = 200_000,
     collection: int = 20_000,
+    as_text: bool = False,
 ) -> DataFrame:
     """One row per document: the id, ``carry`` columns, n_bytes, spans (start, end), kept (binary).
 
+    With ``as_text``, kept is a string; bytes of characters that were cut through are left out.
+
     A text is its UTF-8 bytes. Bytes covered by a string of ``length`` bytes that also starts
     earlier are removed: in a smaller id, or before in the same document; overlaps count, and
     the input is judged, not what is left. ``spans`` are the maximal removed runs.
@@ -396,7 +399,7 @@ def remove_repeats(
             joined.schema["own"],
             T.StructField("n_bytes", T.LongType()),
             T.StructField("spans", span),
-            T.StructField("kept", T.BinaryType()),
+            T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
         ]
     )
 
@@ -417,10 +420,12 @@ def remove_repeats(
                     sizes.append(len(raw))
                     spans.append([{"start": a, "end": b} for a, b in merged])
                     kept.append(b"".join(rest))
+                    if as_text:
+                        kept[-1] = kept[-1].decode("utf-8", "ignore")
                     held += len(raw)
                     at += 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(own, at - own), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                    [batch.column(0).slice(own, at - own), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string() if as_text else pa.binary())],
                     names=result.names,
                 )
 
