@@ -92,10 +92,14 @@ def boundaries(classes: np.ndarray, width: int = 256) -> np.ndarray:
     grid = np.full(rows * width, DOC, np.uint8)
     grid[:n] = classes
     grid = np.ascontiguousarray(grid.reshape(rows, width).T)
-    # The function of each block of code points: where it leads from every state.
-    leads = np.tile(np.arange(len(step), dtype=np.uint8), (rows, 1))
+    # The function of each block of code points: where it leads from every state. States are
+    # held as the start of their row in the flat table.
+    states, kinds = step.shape
+    flat = (step * kinds).reshape(-1)
+    leads = np.repeat(np.arange(0, states * kinds, kinds, dtype=np.uint8)[:, None], rows, axis=1)
     for column in grid:
-        leads = step[leads, column[:, None]]
+        leads = flat[leads + column]
+    leads = np.ascontiguousarray(leads.T) // np.uint8(kinds)
     # Composition is associative: after log2 rounds row i holds the function of blocks 0..i.
     reach = 1
     while reach < rows:
@@ -104,12 +108,13 @@ def boundaries(classes: np.ndarray, width: int = 256) -> np.ndarray:
     state = np.zeros(rows, np.uint8)
     state[1:] = leads[:-1, START]
     before = np.empty_like(grid)
+    state *= np.uint8(kinds)
     for i, column in enumerate(grid):
-        before[i] = state
-        state = step[state, column]
-    before, grid = before.T.reshape(-1)[:n], grid.T.reshape(-1)[:n]
-    starts = here[before, grid]
-    starts[:-1] |= back[before, grid][1:]
+        before[i] = state + column
+        state = flat[before[i]]
+    cell = before.T.reshape(-1)[:n]
+    starts = here.reshape(-1)[cell]
+    starts[:-1] |= back.reshape(-1)[cell][1:]
     return starts
 
 
@@ -127,17 +132,35 @@ class Vocabulary:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(words), np.uint8)
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> bytes:
         """Ids of a piece as little-endian 32-bit integers: lowest rank first, leftmost first."""
-        ids = [self.ranks[piece]] if piece in self.ranks else self._merge(piece)
-        packed = np.array(ids, "<u4").tobytes()
+        packed = self.old.get(piece)
+        if packed is None:
+            merge = self._merge if len(piece) > 64 else self._merge_short
+            ids = [self.ranks[piece]] if piece in self.ranks else merge(piece)
+            packed = np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
             if len(self.cache) >= MAX_CACHED:
-                self.cache.clear()
+                # Pieces not seen since the last change of generations are forgotten.
+                self.old, self.cache = self.cache, {}
             self.cache[piece] = packed
         return packed
 
+    def _merge_short(self, piece: bytes) -> list[int]:
+        rank, none = self.ranks.get, 1 << 60
+        cuts = list(range(len(piece) + 1))
+        pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            del cuts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(piece[cuts[i] : cuts[i + 2]], none)
+            if i:
+                pairs[i - 1] = rank(piece[cuts[i - 1] : cuts[i + 1]], none)
+        return [self.ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def _merge(self, piece: bytes) -> list[int]:
         import heapq
 
@@ -178,10 +201,13 @@ class Vocabulary:
         starts = np.delete(boundaries(classes), marks)
         # A piece that follows the mark of a document starts there by itself.
         cuts = [*at[np.flatnonzero(starts)].tolist(), len(raw)]
-        cache, merge = self.cache, self.merge
-        packed = [
-            cache.get(p) or merge(p) for p in (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
-        ]
+        pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for piece in set(pieces) - self.cache.keys():
+            self.merge(piece)
+        try:
+            packed = list(map(self.cache.__getitem__, pieces))
+        except KeyError:  # a long piece is not kept, or the generation changed
+            packed = [self.cache.get(p) or self.merge(p) for p in pieces]
         ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
         ends = np.cumsum(self.lengths[ids])
         begins = ends - self.lengths[ids]

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,31 +16,42 @@ from pyspark.sql import types as T
 MAX_CACHED = 500_000
 
 
-class Words(dict):
-    """Ids of words as little-endian integers, kept; the tokenizer sees a word once.
+class Words:
+    """Ids of words as little-endian integers, kept; the tokenizer sees a word once in a while.
 
     Its white space is dropped and nothing in it looks across white space, so a text has the
-    ids of its words in turn.
+    ids of its words in turn. New words of many documents are encoded in one call.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
-        packed = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= MAX_CACHED:
-                self.clear()
-            self[word] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > MAX_CACHED:
+            # Words not seen since the last change of generations are forgotten.
+            self.old, self.known = self.known, {"": b""}
+            new = words - self.known.keys()
+        self.known |= {w: self.old[w] for w in new & self.old.keys()}
+        unseen = list(new - self.old.keys())
+        for at in range(0, len(unseen), 20_000):
+            part = unseen[at : at + 20_000]
+            sizes = np.array([len(w) + 1 for w in part])
+            found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            begins = np.array([o[0] for o in found.offsets], np.int64)
+            cuts = np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes)]))
+            self.known |= {w: ids[a:b].tobytes() for w, a, b in zip(part, cuts, cuts[1:], strict=False)}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -126,20 +138,18 @@ def pack(
         known = words(tokenizer_path)
         names = [f.name for f in tokens]
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            held = 0
-            for i in range(batch.num_rows):
-                ids = known.encode(batch.column(2)[i].as_py()) + end
-                doc, group, count = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(ids) // 4
-                for at in range(0, len(ids), step):
-                    for column, value in zip(rows, (doc, group, at // 4, ids[at : at + step], count), strict=True):
-                        column.append(value)
-                held += len(ids)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays(_typed(rows, batch.schema.field(0).type), names=names)
-                    rows, held = [[], [], [], [], []], 0
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays(_typed(rows, batch.schema.field(0).type), names=names)
+            key_type = batch.schema.field(0).type
+            for part in _parts(batch, 1 << 19):
+                rows: list[list] = [[], [], [], [], []]
+                encoded = known.encode(part.column(2).to_pylist())
+                owners = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoded, strict=True)
+                for doc, group, ids in owners:
+                    ids += end
+                    for at in range(0, len(ids), step):
+                        row = (doc, group, at // 4, ids[at : at + step], len(ids) // 4)
+                        for column, value in zip(rows, row, strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(_typed(rows, key_type), names=names)
 
     result = T.StructType(
         [
@@ -181,6 +191,17 @@ def pack(
     return source.mapInArrow(tokenise, tokens).groupBy("group").applyInArrow(place, result)
 
 
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of the last column."""
+    sizes = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _typed(rows: list[list], key: pa.DataType) -> list[pa.Array]:
     kinds = [key, pa.int64(), pa.int64(), pa.binary(), pa.int64()]
     return [pa.array(values, kind) for values, kind in zip(rows, kinds, strict=True)]
