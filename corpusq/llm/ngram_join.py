@@ -161,28 +161,61 @@ class Lists:
         return self.key[head][ok], self.key[ok]
 
     def rest(self, roots: np.ndarray, percent: int, cells: int = 1 << 21):
-        """All pairs of sets of different components, without those of ``star``; in blocks of bounded size."""
-        low = np.minimum.reduceat(roots, self.starts) if len(roots) else roots
-        high = np.maximum.reduceat(roots, self.starts) if len(roots) else roots
-        for start, length in zip(
-            self.starts[low != high].tolist(), self.lengths[low != high].tolist(), strict=True
-        ):
-            step = max(1, cells // length)
-            for at in range(start + 1, start + length, step):
-                a = np.arange(at, min(at + step, start + length))[:, None]
-                b = np.arange(at, start + length)[None, :]
-                ok = (a < b) & (roots[a] != roots[b])
-                ok &= may_link(self.size[a], self.place[a], self.size[b], self.place[b], percent)
-                row, column = np.nonzero(ok)
-                yield self.key[a[row, 0]], self.key[b[0, column]]
+        """All pairs of sets of different components, without those of ``star``; in blocks of bounded size.
+
+        Within an n-gram, sets are sorted by size, so a set looks only at the run of smaller
+        ones that its size and its place leave possible.
+        """
+        if not len(roots):
+            return
+        several = np.repeat(
+            np.minimum.reduceat(roots, self.starts) != np.maximum.reduceat(roots, self.starts), self.lengths
+        )
+        several[self.starts] = False  # the first sets have met all others
+        which = np.repeat(np.arange(len(self.starts)), self.lengths)[several]
+        key, size, place, root = self.key[several], self.size[several], self.place[several], roots[several]
+        order = np.lexsort((size, which))
+        which, key, root = which[order], key[order], root[order]
+        size, place = size[order].astype(np.int64), place[order].astype(np.int64)
+        wide = np.int64(1) << 32
+        rows = which * wide + size
+        # percent * larger <= 100 * smaller, and the larger one's own part of may_link.
+        least = -(-percent * size // 100)
+        most = np.minimum((100 + percent) * (size - place) // percent - size, size)
+        low = np.searchsorted(rows, which * wide + least)
+        high = np.minimum(np.searchsorted(rows, which * wide + np.maximum(most, 0), side="right"), np.arange(len(rows)))
+        many = np.maximum(high - low, 0)
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(many):
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + cells, side="right")))
+            counts = many[at:stop]
+            a = np.repeat(np.arange(at, stop), counts)
+            b = np.arange(len(a)) - np.repeat(ends[at:stop] - counts - done, counts) + np.repeat(low[at:stop], counts)
+            ok = root[a] != root[b]
+            ok &= may_link(size[a], place[a], size[b], place[b], percent)
+            yield key[a[ok]], key[b[ok]]
+            at = stop
 
 
 def _ordered(pairs) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs with the smaller key first."""
-    kept = np.zeros((0, 2), np.int64)
+    kept, waiting, held = np.zeros((0, 2), np.int64), [], 0
+
+    def merge() -> np.ndarray:
+        both = np.concatenate([kept, *waiting])
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        new = np.ones(len(both), bool)
+        new[1:] = (both[1:] != both[:-1]).any(axis=1)
+        return both[new]
+
     for a, b in pairs:
-        both = np.column_stack([np.minimum(a, b), np.maximum(a, b)]).astype(np.int64)
-        kept = np.unique(np.concatenate([kept, np.unique(both, axis=0)]), axis=0)
+        waiting.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]).astype(np.int64))
+        held += len(a)
+        if held > max(1 << 20, len(kept)):
+            kept, waiting, held = merge(), [], 0
+    kept = merge()
     return kept[:, 0], kept[:, 1]
 
 
