@@ -342,8 +342,7 @@ def main_text(page: Page, keep: list[bool]) -> str:
 def fit(pages: DataFrame, html_col: str = "html", max_pages: int = 400) -> BoostedTrees:
     """Train on nodes whose names tell what they are, of at most ``max_pages`` pages.
 
-    The sample is the pages of smallest hash of the whole html. Each row is also used with
-    its telling names hidden, so that pages without them are judged by shape and text.
+    The sample is the pages of smallest hash of the whole html.
     """
     source = F.col(html_col).cast("string").alias("html")
     sample = pages.select(source).where(F.col("html").isNotNull()).orderBy(F.xxhash64("html"), "html").limit(max_pages)
@@ -361,10 +360,39 @@ def fit(pages: DataFrame, html_col: str = "html", max_pages: int = 400) -> Boost
         return boost(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(got["x"]), got["y"].to_numpy(np.float64)
     order = np.lexsort((*x.T, y))
-    x, y = x[order], y[order]
-    hidden = x.copy()
-    hidden[:, NAMES] = 0
-    return boost(np.concatenate([x, hidden]), np.concatenate([y, y]))
+    return boost(*transplanted(x[order], y[order]))
+
+
+def transplanted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training rows, and copies of them moved to where a page could also have them.
+
+    Copies without telling names leave shape and text to decide. Boilerplate moved into an
+    article stays boilerplate. Text of an article moved into boilerplate (comments, notices,
+    sidebars) becomes boilerplate, whatever its shape. Containers may be named by words only.
+    """
+    column = {f: i for i, f in enumerate(FEATURES)}
+
+    def copy(rows: np.ndarray, **values: float) -> np.ndarray:
+        out = x[rows].copy()
+        for name, value in values.items():
+            out[:, column[name]] = value
+        return out
+
+    every = np.ones(len(x), bool)
+    inside = (y == 1) & (x[:, column["content_above"]] > 0)
+    outside = (y == 0) & (x[:, column["boilerplate_above"]] > 0)
+    parts = [
+        (x, y),
+        (copy(every, **{FEATURES[j]: 0 for j in NAMES}), y),
+        (copy(outside, content_above=1), y[outside]),
+        (copy(outside, content_above=2), y[outside]),
+    ]
+    for above in (0, 1):
+        parts.append((copy(inside, content_above=above, content_tag=0, boilerplate_above=1, boilerplate_share=1), np.zeros(inside.sum())))
+        parts.append((copy(inside, content_above=above, content_tag=0, boilerplate_above=1, boilerplate_words=1, boilerplate_share=1), np.zeros(inside.sum())))
+    named = inside & (x[:, column["content_tag"]] > 0)
+    parts.append((copy(named, content_tag=0, content_words=1), y[named]))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def extract(pages: DataFrame, model: BoostedTrees, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

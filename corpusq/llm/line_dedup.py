@@ -24,6 +24,8 @@ SLOTS = 4
 KICKS = 500
 SPREAD = 1_540_483_477  # odd multiplier between a fingerprint and its other bucket
 KEYS_PER_SHARD = 12_000
+# The input row while other columns are joined to it.
+ROW = "_corpusq_line_dedup_row"
 FILTER_SCHEMA = "shard long, buckets long, filter binary"
 
 
@@ -275,24 +277,24 @@ def dedup_lines(
     maybe = lines.join(filters, "shard").where(_may_hold()).drop("shard", "buckets", "filter")
     owners = index.counts.where("docs > 1").select("k1", "k2", "owner")
     doomed = maybe.join(owners, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-    drops = doomed.groupBy("doc_id", "same").agg(F.collect_set("pos").alias("drop")).select(
-        F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), "drop"
+    drops = doomed.groupBy("doc_id", "same").agg(F.collect_set("pos").alias("_drop")).select(
+        F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), "_drop"
     )
-    text = F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit(""))
-    rows = docs.drop(result_col).select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col(f"{ROW}.`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.drop(result_col).select(F.struct("*").alias(ROW))
     joined = rows.join(
         drops,
-        F.col(f"row.{id_col}").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_same")),
+        F.col(f"{ROW}.`{id_col}`").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_same")),
         "left",
     )
     lines_of = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("drop"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("_drop"))
     rebuilt = F.array_join(F.transform(kept, lambda i: F.get(lines_of, i)), "\n")
     return joined.select(
-        "row.*",
+        f"{ROW}.*",
         F.struct(
             F.size(lines_of).cast("long").alias("n_lines"),
-            F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
-            F.when(F.col("drop").isNull(), text).otherwise(rebuilt).alias("text"),
+            F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+            F.when(F.col("_drop").isNull(), text).otherwise(rebuilt).alias("text"),
         ).alias(result_col),
     )
