@@ -150,7 +150,8 @@ def common_prefixes(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     ends = np.cumsum(lengths)
     symbol = text[ends - 1]
     bwt, lcp = symbol.copy(), np.zeros(m, np.uint8)
-    owner, size = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+    # Segment and length of each suffix, in one column.
+    suffix = np.arange(m, dtype=np.uint32) << 8
     alive, at = np.arange(m), np.arange(m)
     for r in range(1, int(lengths.max(initial=0)) + 1):
         n = len(bwt)
@@ -180,19 +181,19 @@ def common_prefixes(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
         old = np.ones(n + len(at), bool)
         old[place] = False
         columns = []
-        for column, values in ((bwt, follow), (lcp, 0), (owner, alive), (size, r)):
+        for column, values in ((bwt, follow), (lcp, 0), (suffix, (alive << 8 | r).astype(np.uint32))):
             wider = np.empty(len(old), column.dtype)
             wider[old] = column
             wider[place] = values
             columns.append(wider)
-        bwt, lcp, owner, size = columns
+        bwt, lcp, suffix = columns
         # Neighbours whose first symbols differ, and those after the last symbol, share nothing.
         lcp[place] = 0
         after = place + 1
         lcp[after[after < len(lcp)]] = 0
         lcp[touched] = np.minimum(least, 254) + 1
         alive, at = alive[left], place[left]
-    return lcp, owner, size
+    return lcp, (suffix >> 8).astype(np.int64), (suffix & 0xFF).astype(np.int64)
 
 
 def later_strings(segments: list[bytes], rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +207,7 @@ def later_strings(segments: list[bytes], rank: np.ndarray, length: int) -> tuple
     runs = np.diff(np.append(heads, len(lcp)))
     several = np.repeat(runs > 1, runs)
     run = np.repeat(np.arange(len(heads)), runs)[several]
-    owner, size = owner[several], size[several].astype(np.int64)
+    owner, size = owner[several], size[several]
     offset = np.array([len(s) for s in segments], np.int64)[owner] - size
     key = rank[owner] * 256 + offset
     if not len(key):
@@ -229,10 +230,10 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = 100,
-    gram: int = 16,
+    gram: int = 40,
     carry: list[str] | None = None,
     per_block: int = 200_000,
-    collection: int = 20_000,
+    collection: int = 5_000,
     as_text: bool = False,
 ) -> DataFrame:
     """One row per document: the id, ``carry`` columns, n_bytes, spans (start, end), kept (binary).
