@@ -26,8 +26,6 @@ BASE = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 BYTE_WORDS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 CHUNK = 4 << 20
-# Never a byte of UTF-8: ends a segment, after every other symbol.
-END = 0xFF
 LOW = np.uint64(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
 ENTRY = [("fp", np.uint32), ("seg", np.uint64), ("doc", np.int64), ("same", np.int32), ("start", np.uint32), ("count", np.uint16)]
@@ -140,59 +138,65 @@ class Entries:
 def common_prefixes(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(common prefix with the one before, segment, length) of all suffixes of all segments, in order.
 
-    Round r inserts the suffix of length r of every segment that has one. Its place follows
-    from the transform of the shorter suffixes; its common prefixes with its neighbours are
-    one more than the least common prefix between the two suffixes they extend.
+    Round r inserts the suffix of length r of every segment that has one, by its first symbol
+    and then in the order of what it extends: ``follow`` holds, for every suffix, the place of
+    the suffix without its first symbol, and rises within each symbol of the transform. Its
+    common prefix with a neighbour of the same symbol is one more than the least common prefix
+    between the two suffixes they extend. Each round reads the columns in order and writes
+    them anew, wider by one entry per segment.
     """
     lengths = np.array([len(s) for s in segments], np.int64)
     m = len(segments)
     text = np.frombuffer(b"".join(segments), np.uint8)
     ends = np.cumsum(lengths)
-    symbol = text[ends - 1]
-    bwt, lcp = symbol.copy(), np.zeros(m, np.uint8)
+    # The suffixes of length 0 come last, as their symbol is the largest.
+    lcp, follow = np.zeros(m, np.uint8), np.zeros(m, np.int32)
     # Segment and length of each suffix, in one column.
     suffix = np.arange(m, dtype=np.uint32) << 8
-    alive, at = np.arange(m), np.arange(m)
+    counts = np.zeros(256, np.int64)
+    alive, at = np.flatnonzero(lengths > 0), np.flatnonzero(lengths > 0).astype(np.int32)
     for r in range(1, int(lengths.max(initial=0)) + 1):
-        n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        counts = np.bincount(bwt, minlength=256)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        # Where the extended suffixes go: by first symbol, then in the order of what they extend.
-        symbols = bwt[at]
+        symbols = text[ends[alive] - r]
         by_symbol = np.lexsort((at, symbols))
+        fresh = np.bincount(symbols, minlength=256)
+        edges = np.concatenate([[0], np.cumsum(fresh)])
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        sorted_at = at[by_symbol]
+        sorted_place = np.arange(len(at))
+        for c in np.flatnonzero(fresh).tolist():
+            rows = slice(edges[c], edges[c + 1])
+            sorted_place[rows] += starts[c] + np.searchsorted(follow[starts[c] : starts[c + 1]], sorted_at[rows])
         place = np.empty(len(at), np.int64)
-        edges = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=256))])
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = by_symbol[edges[c] : edges[c + 1]]
-            place[rows] = bounds[c] + np.searchsorted(order[bounds[c] : bounds[c + 1]], at[rows])
-        total = int(bounds[END])
-        touched = np.unique(np.concatenate([place, place + 1]))
-        touched = touched[(touched > 0) & (touched < total)]
-        touched = touched[bwt[order[touched]] == bwt[order[touched - 1]]]
+        place[by_symbol] = sorted_place
+        counts += fresh
+        old = np.ones(len(lcp) + len(at), bool)
+        old[place] = False
+        order = np.empty(len(old), np.int32)
+        order[old], order[place] = follow, at
+        # Common prefixes change at new suffixes and after them, within one symbol.
+        touched = np.zeros(len(old) + 1, bool)
+        touched[place] = touched[place + 1] = True
+        touched[np.concatenate([[0], np.cumsum(counts)])] = False
+        touched[counts.sum() :] = False
+        touched = np.flatnonzero(touched)
         low, high = order[touched - 1] + 1, order[touched] + 1
         by_low = np.argsort(low, kind="stable")
         cuts = np.column_stack([low[by_low], high[by_low]]).reshape(-1)
         least = np.empty(len(touched), np.uint8)
         if len(touched):
             least[by_low] = np.minimum.reduceat(np.append(lcp, np.uint8(255)), cuts)[::2]
-        left = lengths[alive] > r
-        follow = np.where(left, text[np.maximum(ends[alive] - r - 1, 0)], END).astype(np.uint8)
-        old = np.ones(n + len(at), bool)
-        old[place] = False
-        columns = []
-        for column, values in ((bwt, follow), (lcp, 0), (suffix, (alive << 8 | r).astype(np.uint32))):
-            wider = np.empty(len(old), column.dtype)
-            wider[old] = column
-            wider[place] = values
-            columns.append(wider)
-        bwt, lcp, suffix = columns
-        # Neighbours whose first symbols differ, and those after the last symbol, share nothing.
-        lcp[place] = 0
+        wider_lcp, wider_suffix = np.empty(len(old), np.uint8), np.empty(len(old), np.uint32)
+        wider_lcp[old], wider_suffix[old] = lcp, suffix
+        wider_suffix[place] = (alive << 8 | r).astype(np.uint32)
+        wider_lcp[place] = 0
         after = place + 1
-        lcp[after[after < len(lcp)]] = 0
-        lcp[touched] = np.minimum(least, 254) + 1
-        alive, at = alive[left], place[left]
+        wider_lcp[after[after < len(old)]] = 0
+        wider_lcp[touched] = np.minimum(least, 254) + 1
+        lcp, suffix = wider_lcp, wider_suffix
+        # Places as they are after this round.
+        follow = np.flatnonzero(old).astype(np.int32)[order]
+        left = lengths[alive] > r
+        alive, at = alive[left], place[left].astype(np.int32)
     return lcp, (suffix >> 8).astype(np.int64), (suffix & 0xFF).astype(np.int64)
 
 
