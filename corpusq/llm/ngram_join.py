@@ -443,24 +443,43 @@ def _verified(
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in text_blocks(batches):
             found = shingles(data, offsets)
+            bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32())
+            # Shortened hashes, distinct: enough to bound an overlap.
+            short = [np.unique(s.astype(np.uint16)) for s in found]
+            short_bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in short])]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([set_key(s)[0] for s in found], pa.int64()),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32()),
-                        pa.array(np.concatenate(found).view(np.int64)),
-                    ),
+                    pa.array([len(s) for s in found], pa.int32()),
+                    pa.ListArray.from_arrays(short_bounds, pa.array(np.concatenate(short).view(np.int16))),
+                    pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(found).view(np.int64))),
                 ],
-                names=["key", "grams"],
+                names=["key", "n", "short", "grams"],
             )
 
-    grams = staged(texts.mapInArrow(sets, "key long, grams array<long>"), "candidate-sets").dropDuplicates(["key"])
-    left = grams.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
-    right = grams.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
-    counted = pairs.join(left, "a").join(right, "b").select(
-        "a",
-        "b",
-        F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap"),
-        (F.size("grams_a") + F.size("grams_b")).alias("sizes"),
-    )
-    return counted.where(100 * F.col("overlap") >= percent * (F.col("sizes") - F.col("overlap"))).select("a", "b")
+    held = staged(texts.mapInArrow(sets, "key long, n int, short array<short>, grams array<long>"), "candidate-sets")
+
+    def overlaps(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        """Pairs with the size of what their sets share in ``column``, both sizes, and what shortening lost."""
+        sides = [
+            table.select(
+                F.col("key").alias(c),
+                F.col(column).alias(f"set_{c}"),
+                F.col("n").alias(f"n_{c}"),
+            )
+            for c in ("a", "b")
+        ]
+        joined = rows.join(sides[0], "a").join(sides[1], "b")
+        lost = F.least(F.col("n_a") - F.size("set_a"), F.col("n_b") - F.size("set_b"))
+        return joined.select(
+            "a",
+            "b",
+            (F.size(F.array_intersect("set_a", "set_b")) + lost).alias("overlap"),
+            (F.col("n_a") + F.col("n_b")).alias("sizes"),
+        ).where(100 * F.col("overlap") >= percent * (F.col("sizes") - F.col("overlap"))).select("a", "b")
+
+    maybe = cut_lineage(overlaps(pairs, held, "short").distinct())
+    few = maybe.select(F.col("a").alias("key")).union(maybe.select("b")).distinct()
+    if 2 * maybe.count() <= broadcast_rows:
+        few = F.broadcast(few)
+    return overlaps(maybe, held.join(few, "key", "left_semi"), "grams").distinct()
