@@ -215,7 +215,7 @@ def redact_fields(df: DataFrame, keys: list[str] = SENSITIVE_KEYS) -> DataFrame:
     )
 
 
-def validate_dense(df: DataFrame, dim: int, column: str = "dense", strict: bool = True) -> DataFrame:
+def validate_dense(df: DataFrame, dim: int | Column, column: str = "dense", strict: bool = True) -> DataFrame:
     """Strict: fail the job on a wrong dimension or a non-finite value.
 
     Lenient: keep the row and say in ``dense_problem`` what is wrong, so that the

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from corpusq.functions.spans import split_lines
 from corpusq.functions.text import let
 from corpusq.operators import chunking, outline
 from corpusq.operators.embedding import EncoderFactory, embed_batch
+from corpusq.operators.filters import latest_per_key, validate_dense
 from corpusq.session import cut_lineage, small_side
 from corpusq.sources import files as source
 
@@ -202,6 +204,37 @@ def _mark_deleted(files: DataFrame, deleted: DataFrame) -> DataFrame:
     )
 
 
+def _newest(scanned: DataFrame) -> DataFrame:
+    """One row per (repository_id, path): the newest arrival, where arrivals have a time."""
+    if "arrived_at" not in scanned.columns:
+        return scanned
+    keys = ["repository_id", "path"]
+    order = [F.desc("arrived_at"), F.desc(F.sha2(F.col("content").cast("binary"), 256))]
+    return latest_per_key(scanned, keys, order).drop("rank", "arrived_at")
+
+
+def unread_paths(known: DataFrame, problems: DataFrame) -> DataFrame:
+    """Known files a scan could not speak for: (repository_id, path, error).
+
+    ``problems`` has files that could not be read and folders (``is_dir``) that could not be
+    listed; a folder stands for all that is below it, the empty path for the repository.
+    """
+    keys = ["repository_id", "path"]
+    parts = F.split("path", "/")
+    above = F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+    )
+    folders = problems.where("is_dir").select("repository_id", F.col("path").alias("_folder"), "problem")
+    files = problems.where("NOT is_dir").select(*keys, "problem")
+    below = known.select(*keys, F.explode(above).alias("_folder")).join(folders, ["repository_id", "_folder"])
+    return (
+        below.select(*keys, "problem")
+        .unionByName(known.select(*keys).join(files, keys))
+        .groupBy(*keys)
+        .agg(F.min("problem").alias("error"))
+    )
+
+
 def index_files(
     scanned: DataFrame,
     tables: IndexTables,
@@ -209,19 +242,65 @@ def index_files(
     model_id: str,
     workspace_id: Column,
     now: Column | None = None,
+    repositories: list[str] | None = None,
+    read: Callable[[DataFrame], DataFrame] | None = None,
+    dim: int | None = None,
     **budget: int,
 ) -> tuple[IndexTables, DataFrame]:
     """One run over scanned files (repository_id, path, content binary, length).
 
-    Gives the next state and one result row per file (status, chunks). Unchanged
-    files skip all later work; files gone from the scan turn deleted; a file whose
-    embedding failed keeps its old row, chunks and vectors, so the next run tries
-    it again. What several results read is written once to the checkpoint folder.
+    The scan speaks for ``repositories`` (by default those it holds rows of): files of others
+    are not looked at, files gone from these turn deleted. Rows may carry ``problem`` (and
+    ``is_dir``): such files, and all known ones below such a folder, are ``failed`` and keep
+    their state. With ``arrived_at``, the newest row of a path counts. With ``read``, rows have
+    no content yet: all files are read once to compare hashes, and only new and changed ones
+    again.
+
+    Gives the next state and one result row per file (status, chunks, error). Unchanged files
+    skip all later work; a file whose embedding failed, or whose vectors are not finite or not
+    of ``dim`` numbers, keeps its old row, chunks and vectors, so the next run tries it again.
+    Files without a language or not UTF-8 are kept as known but ``skipped``. What several
+    results read is written once to the checkpoint folder.
     """
-    hashed = source.content_hash(scanned)
-    changes = cut_lineage(detect_changes(tables.files.where("NOT is_deleted"), hashed))
+    keys = ["repository_id", "path"]
+    for name, kind in (("problem", "string"), ("is_dir", "boolean")):
+        if name not in scanned.columns:
+            scanned = scanned.withColumn(name, F.lit(None if name == "problem" else False).cast(kind))
+    scanned = _newest(scanned)
+    contents = read(scanned) if read else scanned
+    # All that later steps need of a file but its text.
+    seen = cut_lineage(
+        source.detect_language(source.content_hash(contents))
+        .withColumn("is_text", F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False)))
+        .select(*keys, "length", "content_hash", "language", "is_text", "problem", "is_dir")
+    )
+    spark = seen.sparkSession
+    scope = (
+        seen.select("repository_id").distinct()
+        if repositories is None
+        else spark.createDataFrame([(r,) for r in repositories], "repository_id string")
+    )
+    known = tables.files.where("NOT is_deleted").join(scope, "repository_id", "left_semi")
+    found = seen.where("problem IS NULL")
+    problems = seen.where("problem IS NOT NULL")
+    changes = detect_changes(known, found).withColumn("error", F.lit(None).cast("string"))
+    if not problems.isEmpty():
+        unread = unread_paths(known, problems)
+        fresh = problems.where("NOT is_dir").join(known.select(keys), keys, "left_anti")
+        changes = (
+            changes.drop("error")
+            .join(unread, keys, "left")
+            .withColumn("error", F.when(F.col("change") == "deleted", F.col("error")))
+            .withColumn("change", F.when(F.col("error").isNotNull(), F.lit("failed")).otherwise(F.col("change")))
+            .unionByName(
+                fresh.select(*keys, F.lit("failed").alias("change"), F.col("problem").alias("error")),
+                allowMissingColumns=True,
+            )
+        )
+    changes = cut_lineage(changes)
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     deleted = changes.where("change = 'deleted'").select("file_id")
+    named = F.coalesce("file_id", F.sha2(F.concat_ws(":", "repository_id", "path"), 256))
     if not counts.get("new") and not counts.get("changed"):
         # Nothing to read, cut or embed: only the rows of deleted files flip.
         gone = counts.get("deleted", 0)
@@ -232,31 +311,32 @@ def index_files(
             tables.cache,
         )
         return state, changes.select(
-            "file_id", "repository_id", "path", F.col("change").alias("status"),
-            F.lit(0).cast("long").alias("chunks"), F.lit(None).cast("string").alias("error"),
+            named.alias("file_id"), "repository_id", "path", F.col("change").alias("status"),
+            F.lit(0).cast("long").alias("chunks"), "error",
         )
-    todo = scanned.join(
-        changes.where("change IN ('new', 'changed')").select(
-            "repository_id", "path", "file_id", F.col("new_hash").alias("content_hash")
-        ),
-        ["repository_id", "path"],
-    ).withColumn(
-        "file_id", F.coalesce("file_id", F.sha2(F.concat_ws(":", "repository_id", "path"), 256))
-    )
-    texts = source.detect_language(source.decode_text(todo))
-    chunks = cut_lineage(make_chunks(texts, **budget))
+    wanted = changes.where("change IN ('new', 'changed')").select(*keys, named.alias("file_id"))
+    taken = cut_lineage(found.join(wanted, keys))
+    readable = taken.where("is_text AND language IS NOT NULL").select(*keys, "file_id", "language")
+    if read:
+        again = read(scanned.join(readable, keys)).where("problem IS NULL")
+    else:
+        again = scanned.join(readable, keys)
+    chunks = cut_lineage(make_chunks(source.decode_text(again), **budget))
     embedded, entries = embed_batch(
         chunks.withColumnRenamed("content", "text"), factory, tables.cache, model_id, now
     )
-    embedded = cut_lineage(embedded.withColumnRenamed("text", "content"))
+    checked = validate_dense(embedded, dim if dim is not None else F.size("dense"), strict=False)
+    embedded = cut_lineage(
+        checked.withColumn("error", F.coalesce("error", F.concat(F.lit("bad dense vector: "), "dense_problem")))
+        .drop("dense_problem")
+        .withColumnRenamed("text", "content")
+    )
     good, failed = isolate_failures(embedded)
 
-    # Fixed now, with the hash that was compared: a file that changes on disk later,
-    # even during this run, differs from its row and is taken up by the next run.
+    # The hash that was compared stays with the row: a file that changes on disk later,
+    # even during this run, differs from it and is taken up by the next run.
     rows = cut_lineage(
-        source.detect_language(todo)
-        .join(failed.select("file_id"), "file_id", "left_anti")
-        .select(
+        taken.join(failed.select("file_id"), "file_id", "left_anti").select(
             "file_id", "repository_id", "path", "language",
             F.col("length").alias("size_bytes"), "content_hash", F.lit(False).alias("is_deleted"),
         )
@@ -276,7 +356,7 @@ def index_files(
     )
 
     # Both are counted on what the checkpoints hold, so no file is read again.
-    file_count = sum(n for change, n in counts.items() if change != "unchanged")
+    file_count = sum(counts.get(change, 0) for change in ("new", "changed", "deleted"))
     chunk_count = embedded.count()
 
     def renewed(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -292,17 +372,20 @@ def index_files(
         cache=tables.cache.unionByName(entries.select(*tables.cache.columns)),
     )
     made = good.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
+    skipped = taken.where("NOT is_text OR language IS NULL").select("file_id", F.lit(True).alias("_skipped"))
     results = (
-        changes.withColumn(
-            "file_id", F.coalesce("file_id", F.sha2(F.concat_ws(":", "repository_id", "path"), 256))
-        )
+        changes.withColumn("file_id", named)
         .join(made, "file_id", "left")
-        .join(failed, "file_id", "left")
+        .join(failed.select("file_id", F.col("error").alias("_failure")), "file_id", "left")
+        .join(skipped, "file_id", "left")
         .select(
             "file_id", "repository_id", "path",
-            F.when(F.col("error").isNotNull(), F.lit("failed")).otherwise(F.col("change")).alias("status"),
+            F.when(F.col("_failure").isNotNull(), F.lit("failed"))
+            .when(F.col("_skipped"), F.lit("skipped"))
+            .otherwise(F.col("change"))
+            .alias("status"),
             F.coalesce("chunks", F.lit(0)).alias("chunks"),
-            "error",
+            F.coalesce("_failure", "error").alias("error"),
         )
     )
     return state, results
@@ -317,13 +400,28 @@ def index_corpus(
     model_id: str,
     workspace_id: str,
     ignore_rules: list[str] | None = None,
-    max_mb: int = source.MAX_REPOSITORY_MB,
+    max_mb: float | None = None,
+    max_bytes: int | None = None,
     **budget: int,
 ) -> tuple[IndexTables, DataFrame]:
-    """Scan a folder and bring the tables up to date with it."""
-    scanned = source.scan_corpus(spark, root)
+    """Scan a folder and bring the tables up to date with it; other repositories stay as they are.
+
+    Sizes come from the listing. A repository over ``max_mb``, if that is given, keeps its
+    state and gives one failed row; so do files over ``max_bytes``.
+    """
+    listed = source.list_files(spark, root, max_bytes=max_bytes)
     if ignore_rules:
-        scanned = source.apply_ignore_rules(scanned, ignore_rules)
-    scanned = scanned.withColumn("repository_id", F.lit(repository_id))
-    accepted, _ = source.check_corpus_size(scanned, max_mb)
-    return index_files(accepted, tables, factory, model_id, F.lit(workspace_id), **budget)
+        listed = source.apply_ignore_rules(listed, ignore_rules)
+    listed = listed.withColumn("repository_id", F.lit(repository_id))
+    if max_mb is not None:
+        rejected = source.check_corpus_size(listed, max_mb)[1].first()
+        if rejected is not None:
+            message = f"repository of {rejected['total_bytes']} bytes is over {max_mb} MB"
+            row = [(None, repository_id, None, "failed", 0, message)]
+            return tables, spark.createDataFrame(
+                row, "file_id string, repository_id string, path string, status string, chunks long, error string"
+            )
+    return index_files(
+        listed, tables, factory, model_id, F.lit(workspace_id), repositories=[repository_id],
+        read=lambda files: source.read_files(files, root), **budget,
+    )

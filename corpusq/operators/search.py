@@ -420,14 +420,15 @@ def rerank(
     queries: DataFrame,
     scorer: Scorer | None = None,
     fail_open: bool = True,
-    max_length: int = 512,
+    max_length: int | None = None,
     batch_size: int = 16,
 ) -> DataFrame:
     """Score each (query, text) pair and sort again; all rows are returned.
 
     Without a scorer the share of query terms found in the whole text is used, in
-    the JVM. A scorer is called with lists of queries and (cut) texts; if it fails
-    for any row of a query, that query keeps its fused order, scores and source.
+    the JVM. A scorer is called with lists of queries and whole texts, cut to four
+    characters for each of ``max_length`` tokens only if that is given; if it fails for
+    any row of a query, that query keeps its fused order, scores and source.
     """
     pairs = hits.join(queries.select("query_id", "query_text"), "query_id")
     if scorer is None:
@@ -454,7 +455,9 @@ def rerank(
                     errors += [str(exc) or type(exc).__name__] * len(q)
             yield pd.DataFrame({"value": values, "error": errors})
 
-    cut = F.substring(F.coalesce("text", F.lit("")), 1, max_length * 4)
+    cut = F.coalesce("text", F.lit(""))
+    if max_length is not None:
+        cut = F.substring(cut, 1, max_length * 4)
     whole = Window.partitionBy("query_id")
     scored = (
         pairs.withColumn("pair", score("query_text", cut))

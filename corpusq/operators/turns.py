@@ -358,11 +358,14 @@ def tool_audit(calls: DataFrame, cap: int = 3) -> DataFrame:
     """First ``cap`` tool calls of each turn, with the turn's counts of calls and errors kept."""
     order = Window.partitionBy("turn_id").orderBy("seq")
     kept = calls.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
-    return kept.groupBy("turn_id").agg(
+    trail = kept.groupBy("turn_id").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "tool_name"))).alias("trail")
+    )
+    totals = calls.groupBy("turn_id").agg(
         F.count(F.lit(1)).alias("calls"),
         F.sum(F.col("error").isNotNull().cast("long")).alias("errors"),
-        F.sort_array(F.collect_list(F.struct("seq", "tool_name"))).alias("trail"),
     )
+    return totals.join(trail, "turn_id")
 
 
 def token_usage(log: DataFrame, by: list[str] | None = None) -> DataFrame:

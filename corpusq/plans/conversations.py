@@ -369,8 +369,9 @@ def reconstruct(spark, sf):
     """WITH calls AS (
   SELECT user_id AS turn_id, event_type AS tool_name, event_type = 'error' AS failed,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
-SELECT turn_id, count(*) AS calls, sum(failed::INT)::BIGINT AS errors, string_agg(tool_name, ',' ORDER BY n) AS trail
-FROM calls WHERE n <= 3 GROUP BY turn_id""",
+SELECT turn_id, count(*) AS calls, sum(failed::INT)::BIGINT AS errors,
+       string_agg(tool_name, ',' ORDER BY n) FILTER (n <= 3) AS trail
+FROM calls GROUP BY turn_id""",
 )
 def audit(spark, sf):
     calls = t.table(spark, sf, "events").select(

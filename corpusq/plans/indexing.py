@@ -575,6 +575,58 @@ def index_corpus(spark, sf):
     return results.select("repository_id", "path", "status", F.col("chunks").cast("long").alias("chunks"))
 
 
+def _one_run(rows, tables, repositories):
+    return indexing.index_files(
+        rows, tables, hashed_encoder(), "hashed-64", F.lit("main"), repositories=repositories,
+        max_tokens=128, min_tokens=32,
+    )
+
+
+@query(
+    "j7_two_repositories",
+    """SELECT source AS repository_id, lang || '/' || source || '/' || doc_id || '.md' AS path,
+       NOT (source = 'src1' AND lang = 'en') AS is_live,
+       CASE WHEN source = 'src1' AND lang = 'en' THEN 'deleted' WHEN source = 'src1' THEN 'unchanged' END AS status
+FROM documents WHERE source IN ('src0', 'src1')""",
+)
+def two_repositories(spark, sf):
+    """Two repositories, one after the other; then the second again without its English files."""
+    files = scanned(spark, sf).drop("content_hash")
+    tables = indexing.empty_tables(spark)
+    for name in ("src0", "src1"):
+        tables, _ = _one_run(files.where(F.col("repository_id") == name), tables, [name])
+    second = files.where("repository_id = 'src1' AND NOT startswith(path, 'en/')")
+    tables, results = _one_run(second, tables, ["src1"])
+    return tables.files.select("repository_id", "path", (~F.col("is_deleted")).alias("is_live")).join(
+        results.select("repository_id", "path", "status"), ["repository_id", "path"], "left"
+    )
+
+
+@query(
+    "j7_failed_reads",
+    """SELECT source AS repository_id, lang || '/' || source || '/' || doc_id || '.md' AS path,
+       CASE WHEN lang = 'de' THEN 'failed' WHEN doc_id % 5 = 0 THEN 'failed'
+            WHEN lang = 'es' THEN 'deleted' ELSE 'unchanged' END AS status,
+       lang <> 'es' OR doc_id % 5 = 0 AS is_live FROM documents""",
+)
+def failed_reads(spark, sf):
+    """A second scan cannot list the German folders nor read some files, and misses the Spanish ones."""
+    files = scanned(spark, sf).drop("content_hash")
+    tables, _ = _one_run(files, indexing.empty_tables(spark), None)
+    number = F.regexp_extract("path", r"/(\d+)\.md$", 1).cast("long")
+    again = files.where("NOT startswith(path, 'de/') AND (NOT startswith(path, 'es/') OR " + "cast(regexp_extract(path, '/([0-9]+)[.]md$', 1) as long) % 5 = 0)")
+    unread = F.when(number % 5 == 0, F.lit("cannot be read"))
+    again = again.withColumn("problem", unread).withColumn("is_dir", F.lit(False))
+    folders = files.where("startswith(path, 'de/')").select("repository_id").distinct().select(
+        "repository_id", F.concat(F.lit("de/"), "repository_id").alias("path"), F.lit(None).cast("binary").alias("content"),
+        F.lit(0).cast("long").alias("length"), F.lit("cannot be listed").alias("problem"), F.lit(True).alias("is_dir"),
+    )
+    tables, results = _one_run(again.unionByName(folders), tables, None)
+    return tables.files.select("repository_id", "path", (~F.col("is_deleted")).alias("is_live")).join(
+        results.select("repository_id", "path", "status"), ["repository_id", "path"]
+    )
+
+
 @query(
     "j8_find_orphans",
     """SELECT doc_id AS chunk_id, 'chunk' AS side FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)

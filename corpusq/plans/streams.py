@@ -11,7 +11,7 @@ from corpusq.plans import tables as t
 from corpusq.plans.chunks import sql_markdown
 from corpusq.plans.indexing import progress_messages
 from corpusq.plans.registry import query
-from corpusq.session import checkpoint_root
+from corpusq.session import checkpoint_root, cut_lineage
 from corpusq.streaming import events as ev
 from corpusq.streaming import rate_limit as rl
 
@@ -137,6 +137,48 @@ def index_stream(spark, sf):
     return spark.read.parquet(out).select("repository_id", "path", "status", "chunks")
 
 
+@query(
+    "st2_index_stream_repeats",
+    """SELECT source AS repository_id, lang || '/' || source || '/' || doc_id || '.md' AS path,
+       sha256(text) AS content_hash, 1 AS copies FROM documents""",
+)
+def index_stream_repeats(spark, sf):
+    """Every path arrives twice, first with an old text; files arrive in several micro-batches
+    and the state is carried from one to the next."""
+    from corpusq.functions.encoders import hashed_encoder
+    from corpusq.operators import indexing
+    from corpusq.streaming.index import index_stream as start
+
+    run = uuid.uuid4().hex
+    root = f"{checkpoint_root(spark)}/arrivals-{run}"
+    docs = t.table(spark, sf, "documents").select(
+        F.col("source").alias("repository_id"),
+        F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"),
+        F.col("text").cast("binary").alias("content"),
+        F.col("n_chars").alias("length"),
+    )
+    old = docs.withColumn("content", F.concat(F.encode(F.lit("# Draft\n"), "utf-8"), "content"))
+    both = old.withColumn("arrived_at", F.lit(1)).unionByName(docs.withColumn("arrived_at", F.lit(2)))
+    both.repartition(3, "path").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 1)
+    state = {"tables": indexing.empty_tables(spark), "last": -1}
+
+    def save(tables, results, number):
+        if number > state["last"]:
+            for part in ("files", "chunks", "vectors", "cache"):
+                setattr(tables, part, cut_lineage(getattr(tables, part)))
+            state.update(tables=tables, last=number)
+
+    start(
+        stream.parquet(f"{root}/in"), lambda: state["tables"], save, hashed_encoder(), "hashed-64", "main", run,
+        max_tokens=128, min_tokens=32,
+    ).awaitTermination()
+    files = state["tables"].files
+    return files.groupBy("repository_id", "path").agg(
+        F.max("content_hash").alias("content_hash"), F.count(F.lit(1)).cast("int").alias("copies")
+    )
+
+
 _PROGRESS_SQL = """
 WITH ends AS (SELECT user_id, min(event_id) AS stop FROM events WHERE event_type = 'purchase' GROUP BY user_id)
 SELECT e.user_id AS job_id, event_id, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'progress' END AS kind,

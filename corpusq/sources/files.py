@@ -11,27 +11,29 @@ import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusq.plugins import REGISTRY, LanguageRegistry
 from corpusq.session import cut_lineage
 
-# Size cap of one file, cap of one repository, directories never entered.
-MAX_FILE_BYTES = 1_000_000
-MAX_REPOSITORY_MB = 500
+# Fixed value: directories never entered.
 EXCLUDED_DIRS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", "target"]
 
 
-LISTED = "path string, is_dir boolean, length long"
+LISTED = "path string, is_dir boolean, length long, problem string"
 
 
 def list_files(
-    spark: SparkSession, root: str, max_bytes: int, excluded_dirs: list[str]
+    spark: SparkSession, root: str, excluded_dirs: list[str] = EXCLUDED_DIRS, max_bytes: int | None = None
 ) -> DataFrame:
-    """Files below ``root`` (path, length), listed level by level in Spark tasks.
+    """Files below ``root``: path (relative), length, problem, is_dir; no content is read.
 
-    Excluded directories are never entered; symbolic links and what cannot be read
-    are skipped. Each round lists all directories of one depth side by side.
+    Directories are listed level by level in Spark tasks; excluded ones are never entered and
+    symbolic links are skipped. A directory that cannot be listed is a row with ``is_dir`` and
+    its ``problem``; a file over ``max_bytes`` (no limit unless asked for) is a row with a
+    problem too, so that nothing that is there is taken for gone.
     """
+    root = os.path.abspath(root) if "://" not in root else root.rstrip("/")
     skip = set(excluded_dirs)
 
     def list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,59 +44,82 @@ def list_files(
                 local = isinstance(fs, pafs.LocalFileSystem)
                 try:
                     found = fs.get_file_info(pafs.FileSelector(inner))
-                except OSError:
+                except OSError as exc:
+                    rows = [(folder, True, None, f"cannot be listed: {exc}")]
+                    yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "problem"])
                     continue
                 rows = [
-                    (prefix + f.path, f.type == pafs.FileType.Directory, f.size or 0)
+                    (
+                        prefix + f.path,
+                        f.type == pafs.FileType.Directory,
+                        f.size or 0,
+                        f"over {max_bytes} bytes"
+                        if max_bytes is not None and f.type == pafs.FileType.File and f.size > max_bytes
+                        else None,
+                    )
                     for f in found
                     if f.type in (pafs.FileType.Directory, pafs.FileType.File)
                     and not (local and os.path.islink(f.path))
                     and not (f.type == pafs.FileType.Directory and f.base_name in skip)
-                    and (f.type == pafs.FileType.Directory or f.size <= max_bytes)
                 ]
-                yield pd.DataFrame(rows, columns=["path", "is_dir", "length"])
+                yield pd.DataFrame(rows, columns=["path", "is_dir", "length", "problem"])
 
     level = spark.createDataFrame([(root,)], "path string")
     levels: list[DataFrame] = []
     cores = spark.sparkContext.defaultParallelism
     while True:
         listed = cut_lineage(level.mapInPandas(list_dirs, LISTED))
-        levels.append(listed.where("NOT is_dir").select("path", "length"))
-        level = listed.where("is_dir").select("path").repartition(cores, "path")
+        levels.append(listed.where("NOT is_dir OR problem IS NOT NULL"))
+        level = listed.where("is_dir AND problem IS NULL").select("path").repartition(cores, "path")
         if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
+            break
+    relative = F.expr(f"substring(path, {len(root) + 2})")
+    return reduce(DataFrame.unionByName, levels).withColumn("path", relative)
+
+
+def read_files(listed: DataFrame, root: str) -> DataFrame:
+    """``listed`` with ``content``, read where the tasks run; other columns are kept.
+
+    A file that cannot be read has a null content and says so in ``problem``; rows that
+    already have a problem are passed through unread.
+    """
+    root = os.path.abspath(root) if "://" not in root else root.rstrip("/")
+    schema = T.StructType([*listed.drop("content").schema.fields, T.StructField("content", T.BinaryType())])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # One file at a time: a batch of contents need not fit into memory.
+            for i in range(len(batch)):
+                row = batch.iloc[i : i + 1].copy()
+                content, problem = None, row["problem"].iloc[0]
+                if problem is None:
+                    fs, inner = pafs.FileSystem.from_uri(f"{root}/{row['path'].iloc[0]}")
+                    try:
+                        with fs.open_input_stream(inner) as stream:
+                            content = stream.read()
+                    except OSError as exc:
+                        problem = f"cannot be read: {exc}"
+                yield row.assign(problem=[problem], content=[content])
+
+    spark = listed.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    spread_out = listed.drop("content").repartition(max(cores, spark_partitions(spark)), "path")
+    return spread_out.mapInPandas(read, schema)
 
 
 def scan_corpus(
     spark: SparkSession,
     root: str,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     excluded_dirs: list[str] = EXCLUDED_DIRS,
 ) -> DataFrame:
-    """Files below ``root``: path (relative), content, length.
+    """Files below ``root``: path (relative), content, length, problem.
 
     Names that begin with a dot or an underscore count, which Spark's own file
-    listing would hide. Contents are read where the tasks run.
+    listing would hide. What could not be listed or read is a row with its problem.
     """
-    root = os.path.abspath(root) if "://" not in root else root.rstrip("/")
-    listed = list_files(spark, root, max_bytes, excluded_dirs)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, length in zip(batch["path"], batch["length"], strict=True):
-                fs, inner = pafs.FileSystem.from_uri(path)
-                try:
-                    with fs.open_input_stream(inner) as stream:
-                        content = stream.read()
-                except OSError:
-                    continue
-                yield pd.DataFrame(
-                    {"path": [path[len(root) + 1 :]], "content": [content], "length": [length]}
-                )
-
-    cores = spark.sparkContext.defaultParallelism
-    spread_out = listed.repartition(max(cores, spark_partitions(spark)), "path")
-    return spread_out.mapInPandas(read, "path string, content binary, length long")
+    listed = list_files(spark, root, excluded_dirs, max_bytes)
+    return read_files(listed, root).select("path", "content", "length", "problem", "is_dir")
 
 
 def spark_partitions(spark: SparkSession) -> int:
@@ -104,20 +129,22 @@ def spark_partitions(spark: SparkSession) -> int:
 def scan_corpus_hadoop(
     spark: SparkSession,
     root: str,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     excluded_dirs: list[str] = EXCLUDED_DIRS,
 ) -> DataFrame:
     """The same through Spark's binary file source, for stores only Hadoop can reach.
 
-    The length filter reaches the source, which skips the content of larger files.
-    Such a listing follows links and hides names that begin with a dot or underscore.
+    A length filter, if asked for, reaches the source, which skips the content of larger
+    files. A failed read stops the job. Such a listing follows links and hides names that
+    begin with a dot or underscore.
     """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root.rstrip("/"))
-        .where(F.col("length") <= max_bytes)
     )
+    if max_bytes is not None:
+        listed = listed.where(F.col("length") <= max_bytes)
     plain_root = re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/"))
     relative = F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", "")
     relative = F.regexp_replace(relative, "^" + re.escape(plain_root) + "/", "")
@@ -216,7 +243,7 @@ def detect_language(files: DataFrame, path: str = "path", content: str = "conten
 
 
 def check_corpus_size(
-    files: DataFrame, max_mb: int = MAX_REPOSITORY_MB, size: str = "length"
+    files: DataFrame, max_mb: float, size: str = "length"
 ) -> tuple[DataFrame, DataFrame]:
     """(files of repositories within the cap, rejected repositories with their bytes).
 

@@ -32,8 +32,10 @@ def scan(spark, root, **kwargs):
 
 
 def test_scan_prunes_directories_rules_and_size(spark, repo):
-    paths = {r.path for r in scan(spark, repo, max_bytes=1000).collect()}
-    assert paths == {"main.py", "README.md", ".gitignore", "src/bin.py"}
+    rows = scan(spark, repo, max_bytes=1000).collect()
+    assert {r.path for r in rows if not r.problem} == {"main.py", "README.md", ".gitignore", "src/bin.py"}
+    assert {r.path: r.problem for r in rows if r.problem} == {"src/huge.py": "over 1000 bytes"}
+    assert {r.length for r in scan(spark, repo).collect() if r.path == "src/huge.py"} == {2000}
     assert "src/bin.py" not in {r.path for r in source.decode_text(scan(spark, repo)).collect()}
 
 
@@ -51,14 +53,15 @@ def test_first_run_unchanged_rerun_and_supersession(spark, repo):
     tables, results = run(spark, repo, indexing.empty_tables(spark))
     first = statuses(results)
     assert first["README.md"] == ("new", 2) and first["main.py"] == ("new", 2)
-    assert first[".gitignore"] == ("new", 0) and first["src/bin.py"] == ("new", 0)
+    assert first[".gitignore"] == ("skipped", 0) and first["src/bin.py"] == ("skipped", 0)
+    assert first["src/huge.py"] == ("failed", 0)
     assert tables.chunks.where("is_active").count() == tables.vectors.where("is_active").count() == 4
 
     def refuse():
         raise AssertionError("the encoder must not be built")
 
     again, results = run(spark, repo, tables, refuse)
-    assert {s for s, _ in statuses(results).values()} == {"unchanged"}
+    assert {s for p, (s, _) in statuses(results).items() if p != "src/huge.py"} == {"unchanged"}
     assert again.chunks.count() == 4
 
     (repo / "README.md").write_text("# Title\n\nSome words.\n\n## More\n\nChanged.\n")
@@ -92,6 +95,99 @@ def test_a_failing_file_is_isolated_and_tried_again(spark, repo):
     assert statuses(results)["main.py"][0] == "unchanged"
 
 
+def rows_of(spark, *rows):
+    """Scanned rows (repository, path, text or None, problem, is_dir)."""
+    data = [(r, p, t.encode() if t is not None else None, len(t or ""), e, d) for r, p, t, e, d in rows]
+    schema = "repository_id string, path string, content binary, length long, problem string, is_dir boolean"
+    return spark.createDataFrame(data, schema)
+
+
+def index(spark, tables, *rows, **options):
+    return indexing.index_files(rows_of(spark, *rows), tables, hashed_encoder(16), "m", F.lit("w"), **options)
+
+
+def test_a_run_speaks_for_its_repositories_only(spark):
+    tables, _ = index(spark, indexing.empty_tables(spark), ("a", "one.md", "# One\n\nText.\n", None, False))
+    tables, results = index(spark, tables, ("b", "two.md", "# Two\n\nText.\n", None, False))
+    assert statuses(results) == {"two.md": ("new", 1)}
+    assert tables.files.where("is_deleted").count() == 0 and tables.chunks.where("is_active").count() == 2
+    # A repository without any file left is named by the caller.
+    tables, results = index(spark, tables, repositories=["a"])
+    assert statuses(results) == {"one.md": ("deleted", 0)}
+    assert [r.repository_id for r in tables.chunks.where("is_active").collect()] == ["b"]
+
+
+def test_what_cannot_be_read_keeps_its_state(spark):
+    text = "# Words\n\nText.\n"
+    paths = ["a.md", "in/b.md", "in/deep/c.md", "other/d.md", "e.md"]
+    tables, _ = index(spark, indexing.empty_tables(spark), *[("r", p, text, None, False) for p in paths])
+    after, results = index(
+        spark, tables,
+        ("r", "a.md", None, "cannot be read: x", False), ("r", "in", None, "cannot be listed: y", True),
+        ("r", "e.md", text, None, False), ("r", "new.md", None, "cannot be read: z", False),
+    )
+    got = {r.path: (r.status, r.error) for r in results.collect()}
+    assert got == {
+        "a.md": ("failed", "cannot be read: x"), "in/b.md": ("failed", "cannot be listed: y"),
+        "in/deep/c.md": ("failed", "cannot be listed: y"), "other/d.md": ("deleted", None),
+        "e.md": ("unchanged", None), "new.md": ("failed", "cannot be read: z"),
+    }
+    assert {r.path for r in after.files.where("NOT is_deleted").collect()} == set(paths) - {"other/d.md"}
+    assert after.chunks.where("is_active").count() == 4
+
+
+def test_newest_arrival_of_a_path_counts(spark):
+    rows = rows_of(spark, ("r", "a.md", "# Old\n", None, False), ("r", "a.md", "# New\n", None, False))
+    timed = rows.withColumn("arrived_at", F.when(F.col("content") == F.lit(b"# New\n"), 2).otherwise(1))
+    tables, results = indexing.index_files(timed, indexing.empty_tables(spark), hashed_encoder(16), "m", F.lit("w"))
+    assert tables.files.count() == results.count() == 1
+    assert [r.content for r in tables.chunks.where("is_active").collect()] == ["# New\n"]
+
+
+def test_bad_vectors_fail_their_file(spark):
+    def factory():
+        encode = hashed_encoder(16)()
+
+        def broken(texts):
+            dense, *rest = encode(texts)
+            return [d if "Good" in t else [float("nan")] * 16 for d, t in zip(dense, texts, strict=True)], *rest
+
+        return broken
+
+    rows = rows_of(spark, ("r", "a.md", "# Good\n", None, False), ("r", "b.md", "# Bad\n", None, False))
+    tables, results = indexing.index_files(rows, indexing.empty_tables(spark), factory, "m", F.lit("w"))
+    assert {r.path: (r.status, r.error) for r in results.collect()} == {
+        "a.md": ("new", None), "b.md": ("failed", "bad dense vector: not finite"),
+    }
+    assert tables.vectors.count() == 1
+
+
+def test_corpus_run_reads_changed_files_again_only(spark, repo, monkeypatch):
+    reads = spark.sparkContext.accumulator(0)
+    plain = source.read_files
+
+    def counted(listed, root):
+        def count(batches):
+            for batch in batches:
+                reads.add(len(batch))
+                yield batch
+
+        return plain(listed.mapInPandas(count, listed.schema), root)
+
+    monkeypatch.setattr(source, "read_files", counted)
+    start = indexing.empty_tables(spark)
+    tables, _ = indexing.index_corpus(spark, str(repo), "r", start, hashed_encoder(16), "m", "w")
+    first = reads.value
+    # Six files for their hashes; the texts of the readable ones once more.
+    assert first <= 6 + 4
+    (repo / "README.md").write_text("# Title\n\nOther.\n")
+    _, results = indexing.index_corpus(spark, str(repo), "r", tables, hashed_encoder(16), "m", "w")
+    assert statuses(results)["README.md"] == ("changed", 1)
+    assert reads.value - first == 6 + 1
+    same, results = indexing.index_corpus(spark, str(repo), "r", tables, hashed_encoder(16), "m", "w", max_mb=0)
+    assert same is tables and [(r.status, r.path) for r in results.collect()] == [("failed", None)]
+
+
 def test_cache_is_asked_first_and_duplicates_encode_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
