@@ -37,22 +37,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_blocks(
-    batches: Iterable[pa.RecordBatch], max_bytes: int = 1 << 20
+    batches: Iterable[pa.RecordBatch], max_bytes: int = 1 << 19
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches whose last column is a text into blocks of about ``max_bytes`` of text.
 
     Yields the rows, their UTF-8 bytes in one array, and the offsets of the rows in it. A
-    single text longer than the bound makes a block of its own.
+    single text longer than the bound makes a block of its own. Nothing is copied.
     """
     for batch in batches:
-        col = pc.fill_null(batch.column(batch.num_columns - 1).cast(pa.large_string()), "")
-        if isinstance(col, pa.ChunkedArray):
-            col = col.combine_chunks()
+        col = batch.column(batch.num_columns - 1)
+        if col.null_count:
+            col = pc.fill_null(col, "")
         n = len(col)
         if not n:
             continue
         buffers = col.buffers()
-        offsets = np.frombuffer(buffers[1], np.int64)[col.offset : col.offset + n + 1]
+        kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+        offsets = np.frombuffer(buffers[1], kind)[col.offset : col.offset + n + 1].astype(np.int64)
         data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
         at = 0
         while at < n:

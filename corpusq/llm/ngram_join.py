@@ -6,6 +6,7 @@ import hashlib
 import math
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,25 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+KEPT = 5 << 18
 STEPS = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
+    if n <= KEPT:
+        return _kept_powers(base)[:n]
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+@lru_cache(maxsize=2)
+def _kept_powers(base: np.uint64) -> np.ndarray:
+    out = np.full(KEPT, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts of a block, and the first word of each text.
 
@@ -84,7 +95,7 @@ class FrequentCounter:
     so a hash of more than (stream / capacity) occurrences is always held.
     """
 
-    def __init__(self, capacity: int = 1 << 18, buffer: int = 1 << 21):
+    def __init__(self, capacity: int = 1 << 17, buffer: int = 1 << 19):
         self.capacity, self.buffer = capacity, buffer
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.waiting: list[np.ndarray] = []
@@ -160,7 +171,7 @@ class Lists:
         ok &= head != np.arange(len(head))
         return self.key[head][ok], self.key[ok]
 
-    def rest(self, roots: np.ndarray, percent: int, cells: int = 1 << 21):
+    def rest(self, roots: np.ndarray, percent: int, cells: int = 1 << 19):
         """All pairs of sets of different components, without those of ``star``; in blocks of bounded size.
 
         Within an n-gram, sets are sorted by size, so a set looks only at the run of smaller
@@ -213,7 +224,7 @@ def _ordered(pairs) -> tuple[np.ndarray, np.ndarray]:
     for a, b in pairs:
         waiting.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]).astype(np.int64))
         held += len(a)
-        if held > max(1 << 20, len(kept)):
+        if held > max(1 << 19, len(kept)):
             kept, waiting, held = merge(), [], 0
     kept = merge()
     return kept[:, 0], kept[:, 1]
@@ -315,7 +326,7 @@ def ngram_join(
         return np.where(sorted_often[at] == hashes, ranks[at], -1)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in text_blocks(batches, 4 << 20):
+        for _, data, offsets in text_blocks(batches, 1 << 20):
             sets: dict[int, np.ndarray] = {}
             for s in shingles(data, offsets):
                 if len(s):

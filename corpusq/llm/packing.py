@@ -13,45 +13,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CACHED = 500_000
+MAX_CACHED = 400_000
 
 
-class Words:
+def byte_characters() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves,
+    the others in order from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Words(dict):
     """Ids of words as little-endian integers, kept; the tokenizer sees a word once in a while.
 
     Its white space is dropped and nothing in it looks across white space, so a text has the
-    ids of its words in turn. New words of many documents are encoded in one call.
+    ids of its words in turn. Where the file's steps before the merges are those known here
+    (NFC, white space, lower case; a split by pattern; bytes as characters), words of Latin
+    letters go to its merges at once. All others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > MAX_CACHED:
-            # Words not seen since the last change of generations are forgotten.
-            self.old, self.known = self.known, {"": b""}
-            new = words - self.known.keys()
-        self.known |= {w: self.old[w] for w in new & self.old.keys()}
-        unseen = list(new - self.old.keys())
-        for at in range(0, len(unseen), 20_000):
-            part = unseen[at : at + 20_000]
-            sizes = np.array([len(w) + 1 for w in part])
-            found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            begins = np.array([o[0] for o in found.offsets], np.int64)
-            cuts = np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes)]))
-            self.known |= {w: ids[a:b].tobytes() for w, a, b in zip(part, cuts, cuts[1:], strict=False)}
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        self.special = [t["content"] for t in steps.get("added_tokens") or []]
+        before = (steps.get("normalizer") or {}).get("normalizers") or []
+        parts = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        known = [n["type"] for n in before] == ["NFC", "Replace", "Lowercase"] and [
+            (p["type"], p.get("invert"), p.get("behavior"), p.get("add_prefix_space"), p.get("use_regex")) for p in parts
+        ] == [("Split", True, "Removed", None, None), ("ByteLevel", None, None, False, False)]
+        self.split = regex.compile(parts[0]["pattern"]["Regex"]).findall if known else None
+        self.shown = byte_characters()
+        # None of these changes under NFC or counts as white space.
+        self.plain = regex.compile("[!-~\u00c0-\u024f]+").fullmatch
+
+    def __missing__(self, word: str) -> bytes:
+        if self.split and self.plain(word) and not any(s in word for s in self.special):
+            ids = []
+            for piece in self.split(word.lower()):
+                if not piece.isascii():
+                    piece = "".join(map(self.shown.__getitem__, piece.encode()))
+                ids += [t.id for t in self.tokenizer.model.tokenize(piece)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        packed = np.array(ids, "<u4").tobytes()
+        if len(word) <= 64:
+            if len(self) >= MAX_CACHED:
+                self.clear()
+                self[""] = b""
+            self[word] = packed
+        return packed
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
 
 @lru_cache(maxsize=2)

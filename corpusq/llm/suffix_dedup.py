@@ -25,7 +25,7 @@ from corpusq.llm.common import mix, staged, text_blocks
 BASE = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 BYTE_WORDS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 LOW = np.uint64(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
 ENTRY = [("fp", np.uint32), ("seg", np.uint64), ("doc", np.int64), ("same", np.int32), ("start", np.uint32), ("count", np.uint16)]
@@ -45,7 +45,7 @@ class Rolling:
     """Hashes of any substring of some bytes from running sums."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(1 << max(21, int(len(data) + 1).bit_length()))
+        up, self.down = _powers(1 << max(20, int(len(data) + 1).bit_length()))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTE_WORDS[data] * up[: len(data)], out=self.sums[1:])
 
@@ -290,7 +290,7 @@ def remove_repeats(
                     )
                 )
                 size += len(owner)
-            if size > 1 << 19:
+            if size > 1 << 18:
                 yield _deal(Entries.concat(held), blocks)
                 held, size = [], 0
         if size:
