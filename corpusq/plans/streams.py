@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusq.operators import metrics, search
+from corpusq.operators import filters, metrics, search
 from corpusq.plans import tables as t
 from corpusq.plans.chunks import sql_markdown
 from corpusq.plans.indexing import progress_messages
@@ -80,7 +80,7 @@ def rate_limit_stream(spark, sf):
     return _limited(
         replay(
             spark, sf, "events",
-            lambda s: rl.rate_limit_stream(s, ["event_type"], "ts", "event_id", LIMIT, HOUR),
+            lambda s: rl.rate_limit_stream(s, ["event_type"], "ts", "event_id", LIMIT, HOUR, delay="10 minutes"),
         )
     )
 
@@ -220,7 +220,9 @@ def idle(spark, sf):
 
 @query("st4_idle_timeouts_stream")
 def idle_stream(spark, sf):
-    df = replay(spark, sf, "events", lambda s: ev.idle_timeouts_stream(s, "user_id", "ts", IDLE))
+    df = replay(
+        spark, sf, "events", lambda s: ev.idle_timeouts_stream(s, "user_id", "ts", IDLE, delay="10 minutes")
+    )
     return df.withColumn("timed_out_at", F.unix_micros("timed_out_at"))
 
 
@@ -312,17 +314,40 @@ def histogram(spark, sf):
     return metrics.duration_histogram(log).withColumn("sum", F.round("sum", 4))
 
 
-@query("m1_duration_histogram_stream")
+def replay_updates(spark, sf, name, build, keys):
+    """The same in update mode: every change of a result row is written, the newest one counts."""
+    folder = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{sf}/{name}.parquet"
+    out = build(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/{name}.parquet*"))
+
+    def write(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/{number}")
+
+    out.writeStream.outputMode("update").foreachBatch(write).option(
+        "checkpointLocation", f"{folder}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(out.schema.add("batch", "long")).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return filters.latest_per_key(rows, keys, [F.desc("batch")]).drop("batch", "rank")
+
+
+@query(
+    "m1_duration_histogram_stream",
+    f"""SELECT epoch_us(date_trunc('day', ts)) AS "window", event_type AS stage, le::DOUBLE AS le,
+       sum((value <= le::DOUBLE)::INT)::BIGINT AS cumulative, count(*) AS count, round(sum(value), 4) AS sum
+FROM events, (VALUES {_BOUNDS}) b(le) GROUP BY ALL""",
+)
 def histogram_stream(spark, sf):
+    """By day. Update mode delivers the last day too, which append mode would hold back."""
+
     def build(stream):
         log = stream.select(
             F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").alias("duration")
         ).withWatermark("ts", "10 minutes")
-        return metrics.duration_histogram(log, window=F.window("ts", "1 day")).withColumn(
-            "window", F.col("window.start")
+        return metrics.duration_histogram(log, window=F.window("ts", "1 day")).withColumns(
+            {"window": F.unix_micros("window.start"), "sum": F.round("sum", 4)}
         )
 
-    return replay(spark, sf, "events", build)
+    return replay_updates(spark, sf, "events", build, ["window", "stage", "le"])
 
 
 @query(

@@ -72,8 +72,15 @@ def idle_timeouts(
     )
 
 
-def idle_timeouts_stream(events: DataFrame, key: str, ts: str, seconds: int = 30) -> DataFrame:
-    """The same on a stream, driven by event time. State: last event, and closed."""
+def idle_timeouts_stream(
+    events: DataFrame, key: str, ts: str, seconds: int = 30, *, delay: str
+) -> DataFrame:
+    """The same on a stream, driven by event time. State: last event, and closed.
+
+    ``delay`` is how late an event may come (an interval such as "2 hours"). Spark leaves out
+    rows behind that watermark and counts them in the progress of the query as
+    numRowsDroppedByWatermark; choose it from the source's own delays.
+    """
     out = T.StructType(
         [T.StructField(key, events.schema[key].dataType), T.StructField("_at", T.LongType())]
     )
@@ -102,7 +109,7 @@ def idle_timeouts_stream(events: DataFrame, key: str, ts: str, seconds: int = 30
 
     return (
         events.withColumn("_event_time", F.col(ts).cast("timestamp"))
-        .withWatermark("_event_time", "10 minutes")
+        .withWatermark("_event_time", delay)
         .select(key, F.unix_micros("_event_time").alias("_t"), "_event_time")
         .groupBy(key)
         .applyInPandasWithState(

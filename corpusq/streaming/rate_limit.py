@@ -221,12 +221,15 @@ def rate_limit_aligned(
 
 
 def rate_limit_stream(
-    events: DataFrame, keys: list[str], ts: str, event_id: str, max_hits: int, seconds: int = WINDOW_SECONDS
+    events: DataFrame, keys: list[str], ts: str, event_id: str, max_hits: int,
+    seconds: int = WINDOW_SECONDS, *, delay: str,
 ) -> DataFrame:
     """The same decisions on a stream. State per key: window start and hits so far.
 
-    Hits are taken in time order inside a micro-batch; micro-batches are expected
-    in order. A key's state is dropped once its window is over.
+    Hits are taken in time order inside a micro-batch; a hit that comes later is counted in
+    the window that is open then. A key's state is dropped once its window is over. ``delay``
+    is how late a hit may come (an interval such as "2 hours"): Spark leaves out rows behind
+    that watermark and counts them in the query's progress as numRowsDroppedByWatermark.
     """
     width = seconds * 1_000_000
     fields = [T.StructField(k, events.schema[k].dataType) for k in keys]
@@ -254,7 +257,7 @@ def rate_limit_stream(
 
     numbered = (
         events.withColumn("_event_time", F.col(ts).cast("timestamp"))
-        .withWatermark("_event_time", "10 minutes")
+        .withWatermark("_event_time", delay)
         .withColumn("_t", F.unix_micros("_event_time"))
         .groupBy(*keys)
         .applyInPandasWithState(

@@ -81,7 +81,7 @@ def test_stream_gives_the_batch_decisions(spark, tmp_path):
     times = sorted([("a", rng.random() * 500) for _ in range(80)] + [("b", rng.random() * 500) for _ in range(20)], key=lambda x: x[1])
     df = hits(spark, times)
     parts = [df.where(F.col("event_id").between(25 * n, 25 * n + 24)) for n in range(4)]
-    rows = stream_rows(spark, tmp_path, parts, lambda s: rl.rate_limit_stream(s, ["path"], "ts", "event_id", 4))
+    rows = stream_rows(spark, tmp_path, parts, lambda s: rl.rate_limit_stream(s, ["path"], "ts", "event_id", 4, delay="10 minutes"))
     want = rl.rate_limit(df, ["path"], "ts", "event_id", 4).collect()
     assert {(r.event_id, r.hit, r.allowed) for r in rows} == {(r.event_id, r.hit, r.allowed) for r in want}
 
@@ -112,7 +112,7 @@ def test_idle_streams_time_out_once(spark, tmp_path):
     rows = ev.idle_timeouts(df, "path", "ts", 30, until=F.lit(at(300)), bucket_seconds=20).collect()
     assert {(r.path, r.timed_out_at) for r in rows} == {("a", at(40)), ("b", at(90)), ("c", at(30))}
     parts = [df.where("path <> 'z'"), hits(spark, [("later", 2000)]), hits(spark, [("later", 2001)])]
-    rows = stream_rows(spark, tmp_path, parts, lambda s: ev.idle_timeouts_stream(s, "path", "ts", 30))
+    rows = stream_rows(spark, tmp_path, parts, lambda s: ev.idle_timeouts_stream(s, "path", "ts", 30, delay="10 minutes"))
     got = {(r.path, r.timed_out_at) for r in rows}
     assert {("a", at(40)), ("b", at(90)), ("c", at(30))} <= got
 
