@@ -43,7 +43,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Passages of 100 bytes or more that also start earlier go; the rest is joined."""
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
     cleaned = suffix_dedup.remove_repeats(docs, carry=carry, as_text=True)
-    return _with_text(cleaned, F.col("kept"), docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return cleaned.select(*[new.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-# A trained model and a tokenizer are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
+# A trained model and a tokenizer are beyond SQL; tests/llm/test_llm_pipeline.py has a plain version of each stage.
 ORACLE_SQL = None
 
 

@@ -240,7 +240,9 @@ def remove_repeats(
     collection: int = 5_000,
     as_text: bool = False,
 ) -> DataFrame:
-    """One row per document: the id, ``carry`` columns, n_bytes, spans (start, end), kept (binary).
+    """One row per document: the id, n_bytes, spans (start, end), kept (binary).
+
+    Columns named in ``carry`` come along in a struct ``carried``, whatever their names.
 
     With ``as_text``, kept is a string; bytes of characters that were cut through are left out.
 
@@ -260,7 +262,7 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(
         *_identity(id_col, text),
-        F.struct(F.col(id_col), *[F.col(c) for c in carry]).alias("own"),
+        F.struct(F.col(id_col).alias("id"), *[F.struct(*carry).alias("carried")] * bool(carry)).alias("own"),
         text.alias("text"),
     )
     # Equal rows are one document for the search.
@@ -434,7 +436,8 @@ def remove_repeats(
                     names=result.names,
                 )
 
-    return joined.mapInArrow(remove, result).select("own.*", "n_bytes", "spans", "kept")
+    carried = [F.col("own.carried").alias("carried")] * bool(carry)
+    return joined.mapInArrow(remove, result).select(F.col("own.id").alias(id_col), *carried, "n_bytes", "spans", "kept")
 
 
 def _deal(own: Entries, blocks: int) -> pa.RecordBatch:

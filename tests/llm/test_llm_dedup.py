@@ -127,10 +127,10 @@ def test_suffix_dedup(spark, options):
     want = plain_repeats(in_order(spark, rows))
     docs = hostile.documents(spark)
     # The text is carried to tell rows of one id apart.
-    got = suffix_dedup.remove_repeats(docs.withColumn("copy", F.col("text")), carry=["copy", "n"], **options).collect()
+    got = suffix_dedup.remove_repeats(docs.withColumn("copy", F.col("text")), carry=["copy", "n", "kept"], **options).collect()
     assert len(got) == len(rows)
     for r in got:
-        size, spans, kept = want[r["doc_id"], r["copy"] or ""]
+        size, spans, kept = want[r["doc_id"], r["carried"]["copy"] or ""]
         assert (r["n_bytes"], [tuple(s) for s in r["spans"]]) == (size, spans)
         assert r["kept"] == (kept.decode("utf-8", "ignore") if options.get("as_text") else kept)
     assert suffix_dedup.remove_repeats(hostile.documents(spark, [])).count() == 0
