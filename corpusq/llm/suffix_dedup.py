@@ -322,7 +322,9 @@ def remove_repeats(
         strings = np.concatenate([again.count, done.fp]).astype(np.int64)
         start = np.concatenate([removed.start, open_.start]).astype(np.int64)
         reach = np.concatenate([strings, open_.count]).astype(np.int64) + length - 1
-        split = np.where(number > collection, -(-number // collection), 1)
+        # So many parts that the single strings of an anchor fit into collections.
+        strings_of = number * (length - gram + 1)
+        split = np.where(number > collection, -(-strings_of // collection), 1)
         return pa.table(
             {
                 "doc": pa.array(np.concatenate([removed.doc, open_.doc])),
