@@ -28,7 +28,7 @@ BYTE_WORDS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) |
 CHUNK = 1 << 20
 LOW = np.uint64(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
-ENTRY = [("fp", np.uint32), ("seg", np.uint64), ("doc", np.int64), ("same", np.int32), ("start", np.uint32), ("count", np.uint16)]
+ENTRY = [("fp", np.uint32), ("seg", np.uint64), ("doc", np.int64), ("same", np.int64), ("start", np.uint32), ("count", np.uint16)]
 
 
 @lru_cache(maxsize=1)
@@ -128,8 +128,13 @@ class Entries:
         return cls({k: np.concatenate([p.columns[k] for p in parts]) for k in parts[0].columns})
 
     def in_order(self) -> tuple[Entries, np.ndarray]:
-        """Sorted by anchor, segment and order of documents; and which are the first of their segment."""
+        """Sorted by anchor, segment and order of documents, each place once; and which are the first of their segment."""
         own = self.take(np.lexsort((self.start, self.same, self.doc, self.seg, self.fp, self.block)))
+        # Equal rows are one document: what each of them tells of a place counts once.
+        place = [own.columns[k] for k in ("block", "fp", "seg", "doc", "same", "start")]
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = np.logical_or.reduce([column[1:] != column[:-1] for column in place])
+        own = own.take(fresh)
         first = np.ones(len(own), bool)
         first[1:] = (own.seg[1:] != own.seg[:-1]) | (own.fp[1:] != own.fp[:-1]) | (own.block[1:] != own.block[:-1])
         return own, first
@@ -222,10 +227,11 @@ def later_strings(segments: list[bytes], rank: np.ndarray, length: int) -> tuple
 
 
 def _identity(id_col: str, text: Column) -> list[Column]:
-    """Documents in order: null ids last; rows with one id are told apart, and ordered, by their text's hash."""
+    """Documents in order: null ids last; rows with one id are told apart, and ordered, by their text's hashes."""
+    high = F.shiftleft(F.hash(text).cast("long"), 32)
     return [
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.hash(text).alias("same"),
+        high.bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(int(LOW)))).alias("same"),
     ]
 
 
@@ -265,7 +271,7 @@ def remove_repeats(
         F.struct(F.col(id_col).alias("id"), *[F.struct(*carry).alias("carried")] * bool(carry)).alias("own"),
         text.alias("text"),
     )
-    # Equal rows are one document for the search.
+    # Equal rows are one document for the search: their places count once, and their text is cut once.
     source = keyed.select("doc", "same", "text")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total * 2 / (length - gram + 2) / per_block))
@@ -298,7 +304,7 @@ def remove_repeats(
         if size:
             yield _deal(Entries.concat(held), blocks)
 
-    found = "doc long, same int, start long, end long, anchor long, split int"
+    found = "doc long, same long, start long, end long, anchor long, split int"
 
     def settle(rows: pa.Table) -> pa.Table:
         """Repeats of equal segments are removed; the first ones of anchors with several go on."""
@@ -346,7 +352,7 @@ def remove_repeats(
     requests = asked.groupBy("doc", "same").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "anchor", "split"))).alias("wanted")
     )
-    cut_type = "part long, doc long, same int, start long, piece binary"
+    cut_type = "part long, doc long, same long, start long, piece binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,8 +403,9 @@ def remove_repeats(
             }
         )
 
-    cuts = source.join(requests, ["doc", "same"]).select("doc", "same", "text", "wanted").mapInArrow(cut, cut_type)
-    compared = cuts.groupBy("part").applyInArrow(compare, "doc long, same int, start long, end long")
+    once = source.dropDuplicates(["doc", "same"])
+    cuts = once.join(requests, ["doc", "same"]).select("doc", "same", "text", "wanted").mapInArrow(cut, cut_type)
+    compared = cuts.groupBy("part").applyInArrow(compare, "doc long, same long, start long, end long")
     gone = settled.where("split = 0").select("doc", "same", "start", "end").unionByName(compared)
     lists = gone.groupBy("doc", "same").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -469,7 +476,7 @@ def _scramble(key: int) -> int:
 
 
 def _cut_batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "doc", "same", "start", "piece"]
     )

@@ -136,6 +136,28 @@ def test_suffix_dedup(spark, options):
     assert suffix_dedup.remove_repeats(hostile.documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"collection": 1, "per_block": 40}])
+def test_suffix_dedup_keeps_the_text_of_repeated_rows(spark, options):
+    rng = random.Random(8)
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
+    alone, twice, nobody = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(3))
+    # A second document with the same passage in other surroundings sends the text to the collections too.
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    shared, later = f"{alone} {passage} left", f"other words {passage} right"
+    # A repeat inside a text still goes, in both of its rows.
+    rows = [(1, shared), (1, shared), (2, later), (2, later), (3, twice + "\n" + twice), (3, twice + "\n" + twice)]
+    rows += [(None, nobody), (None, nobody)]
+    want = plain_repeats(in_order(spark, rows))
+    for parts in (1, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = suffix_dedup.remove_repeats(docs, carry=["text"], **options).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            size, spans, kept = want[r["doc_id"], r["carried"]["text"]]
+            assert (r["n_bytes"], [tuple(s) for s in r["spans"]], r["kept"]) == (size, spans, kept)
+            assert r["kept"]
+
+
 def test_later_strings():
     rng = random.Random(3)
     for _ in range(150):
