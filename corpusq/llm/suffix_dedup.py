@@ -28,6 +28,8 @@ BYTE_WORDS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) |
 CHUNK = 1 << 20
 LOW = np.uint64(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
+HOT_ANCHORS = 100_000  # so many are dealt by segment at most; the list decides where segments go, not the result
+REMOVED, TOGETHER, SINGLY = 0, 1, 2  # what settle says of a segment: gone, to a collection, or string by string
 ENTRY = [("fp", np.uint32), ("seg", np.uint64), ("doc", np.int64), ("same", np.int64), ("start", np.uint32), ("count", np.uint16)]
 
 
@@ -245,6 +247,7 @@ def remove_repeats(
     per_block: int = 200_000,
     collection: int = 5_000,
     as_text: bool = False,
+    sample: int = 64,
 ) -> DataFrame:
     """One row per document: the id, n_bytes, spans (start, end), kept (binary).
 
@@ -260,9 +263,12 @@ def remove_repeats(
     after all others. Rows with one id and text are one document and get the same result; rows
     with one id and different texts are ordered by a hash of the text. Ids are integers. Other
     columns are not read. Very long texts are read in chunks. An empty table gives an empty
-    result. Anchors with more than ``collection`` different segments have their strings dealt
-    one by one, by the hash of the string, so that no collection grows with the corpus.
-    ``length`` is at most 128.
+    result. ``length`` is at most 128.
+
+    No group grows with the corpus. Segments are dealt by anchor; anchors that one text in
+    ``sample`` shows to have more than about ``per_block`` / 8 different segments are dealt by
+    segment. An anchor with more than ``collection`` segments has its strings compared one by
+    one: each task keeps the earliest place of a string, so few places of it meet in the end.
     """
     carry = carry or []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -277,6 +283,21 @@ def remove_repeats(
     blocks = max(1, math.ceil(total * 2 / (length - gram + 2) / per_block))
     packed = "block long, " + ", ".join(f"{name} binary" for name, _ in ENTRY)
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchor and segment of the sampled texts."""
+        for _, data, offsets in text_blocks(batches):
+            for part, bounds, _ in chunks(data, offsets, length):
+                _, _, _, fp, seg = anchors(part, bounds, length, gram)
+                pairs = np.unique(np.column_stack([fp, seg]).view(np.int64), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["fp", "seg"])
+
+    least = per_block / 8 / sample
+    hot = np.zeros(0, np.uint64)
+    if total > per_block / 8:
+        seen = source.where(F.pmod("same", F.lit(sample)) == 0).mapInArrow(look, "fp long, seg long").distinct()
+        often = seen.groupBy("fp").count().where(F.col("count") > least).orderBy(F.desc("count"), "fp").limit(HOT_ANCHORS)
+        hot = np.array([r.fp for r in often.collect()], np.int64).view(np.uint64)
+
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Entries] = []
         size = 0
@@ -287,7 +308,8 @@ def remove_repeats(
                 held.append(
                     Entries(
                         {
-                            "block": (fp % np.uint64(blocks)).astype(np.int64),
+                            # Hot anchors have blocks of their own, where only equal segments need to meet.
+                            "block": np.where(np.isin(fp, hot), np.uint64(blocks) + seg % np.uint64(blocks), fp % np.uint64(blocks)).astype(np.int64),
                             "fp": (fp >> np.uint64(32)).astype(np.uint32),
                             "seg": seg,
                             "doc": doc[owner],
@@ -304,7 +326,7 @@ def remove_repeats(
         if size:
             yield _deal(Entries.concat(held), blocks)
 
-    found = "doc long, same long, start long, end long, anchor long, split int"
+    found = "doc long, same long, start long, end long, anchor long, way int"
 
     def settle(rows: pa.Table) -> pa.Table:
         """Repeats of equal segments are removed; the first ones of anchors with several go on."""
@@ -321,16 +343,14 @@ def remove_repeats(
         again = own.take(~first)
         own = own.take(first)
         _, inverse, counts = np.unique(own.fp, return_inverse=True, return_counts=True)
-        several = counts[inverse] > 1 if len(own) else np.zeros(0, bool)
-        number = counts[inverse][several] if len(own) else np.zeros(0, np.int64)
+        number = counts[inverse] if len(own) else np.zeros(0, np.int64)
+        several = (number > 1) | (block >= blocks)
+        way = np.where((number[several] > collection) | (block >= blocks), SINGLY, TOGETHER)
         open_ = own.take(several)
         removed = Entries.concat([again, done])
         strings = np.concatenate([again.count, done.fp]).astype(np.int64)
         start = np.concatenate([removed.start, open_.start]).astype(np.int64)
         reach = np.concatenate([strings, open_.count]).astype(np.int64) + length - 1
-        # So many parts that the single strings of an anchor fit into collections.
-        strings_of = number * (length - gram + 1)
-        split = np.where(number > collection, -(-strings_of // collection), 1)
         return pa.table(
             {
                 "doc": pa.array(np.concatenate([removed.doc, open_.doc])),
@@ -340,49 +360,76 @@ def remove_repeats(
                 "anchor": pa.array(
                     np.concatenate([np.zeros(len(removed), np.int64), (open_.fp.astype(np.int64) * blocks + block) & NO_ID])
                 ),
-                "split": pa.array(np.concatenate([np.zeros(len(removed)), split]).astype(np.int32)),
+                "way": pa.array(np.concatenate([np.full(len(removed), REMOVED), way]).astype(np.int32)),
             }
         )
 
     settled = staged(
         source.mapInArrow(survey, packed).groupBy("block").applyInArrow(settle, found), "suffix-segments"
     )
-    asked = settled.where("split > 0")
-    collections = max(1, math.ceil(asked.count() / collection))
+    asked = settled.where(F.col("way") != REMOVED)
+    single = F.col("way") == SINGLY
+    segments, strings = asked.agg(
+        F.count_if(~single), F.coalesce(F.sum(F.when(single, F.col("end") - F.col("start") - length + 1)), F.lit(0))
+    ).first()
+    collections = max(1, math.ceil(segments / collection))
+    # Parts from ``collections`` on hold single strings.
+    parts = max(1, math.ceil(strings / collection))
     requests = asked.groupBy("doc", "same").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "anchor", "split"))).alias("wanted")
+        F.sort_array(F.collect_list(F.struct("start", "end", "anchor", "way"))).alias("wanted")
     )
-    cut_type = "part long, doc long, same long, start long, piece binary"
+    cut_type = "part long, doc long, same long, start long, end long, piece binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], [], [], []]
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
             for i in range(batch.num_rows):
                 raw = batch.column(2)[i].as_py().encode("utf-8")
                 doc, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 for want in batch.column(3)[i].as_py():
-                    start, end, anchor, split = want["start"], want["end"], want["anchor"], want["split"]
-                    pieces = [(start, raw[start:end], anchor)]
-                    if split > 1:
+                    start, end = want["start"], want["end"]
+                    if want["way"] == SINGLY:
                         # Each string by itself, dealt by its own hash.
-                        part = np.frombuffer(raw[start:end], np.uint8)
+                        part = np.frombuffer(raw, np.uint8, end - start, start)
                         at = np.arange(len(part) - length + 1)
-                        deal = (Rolling(part).of(at, at + length) % np.uint64(split)).tolist()
-                        pieces = [
-                            (start + j, raw[start + j : start + j + length], anchor + 1 + deal[j]) for j in range(len(at))
-                        ]
-                    for where, piece, key in pieces:
-                        for column, value in zip(out, (_scramble(key) % collections, doc, same, where, piece), strict=True):
-                            column.append(value)
+                        view = np.lib.stride_tricks.sliding_window_view(part, length)
+                        held.append((Rolling(part).of(at, at + length), at + start, doc, same, view))
+                        size += len(at)
+                        if size > 1 << 17:
+                            yield _deal_strings(held, collections, parts)
+                            held, size = [], 0
+                        continue
+                    row = (_scramble(want["anchor"]) % collections, doc, same, start, end, raw[start:end])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
                 if len(out[0]) > 20_000:
                     yield _cut_batch(out)
-                    out = [[], [], [], [], []]
-            if out[0]:
-                yield _cut_batch(out)
+                    out = [[], [], [], [], [], []]
+        if out[0]:
+            yield _cut_batch(out)
+        if held:
+            yield _deal_strings(held, collections, parts)
 
     def compare(rows: pa.Table) -> pa.Table:
-        pieces = rows["piece"].to_pylist()
         doc, same, start = (rows[c].to_numpy() for c in ("doc", "same", "start"))
+        if rows["part"][0].as_py() >= collections:
+            told = rows["piece"].is_null().to_numpy()
+            end = rows["end"].to_numpy()
+            own = np.flatnonzero(~told)
+            order, first = _earliest(rows["piece"].combine_chunks().take(pa.array(own)), doc[own], same[own], start[own])
+            who, until = _joined(*(c[own[order[~first]]] for c in (doc, same, start)), length)
+            who = np.concatenate([np.flatnonzero(told), own[order[~first]][who]])
+            return pa.table(
+                {
+                    "doc": pa.array(doc[who]),
+                    "same": pa.array(same[who]),
+                    "start": pa.array(start[who]),
+                    "end": pa.array(np.concatenate([end[told], until])),
+                }
+            )
+        pieces = rows["piece"].to_pylist()
         rank = np.empty(len(pieces), np.int64)
         rank[np.lexsort((start, same, doc))] = np.arange(len(pieces))
         owner, offset = later_strings(pieces, rank, length)
@@ -406,7 +453,7 @@ def remove_repeats(
     once = source.dropDuplicates(["doc", "same"])
     cuts = once.join(requests, ["doc", "same"]).select("doc", "same", "text", "wanted").mapInArrow(cut, cut_type)
     compared = cuts.groupBy("part").applyInArrow(compare, "doc long, same long, start long, end long")
-    gone = settled.where("split = 0").select("doc", "same", "start", "end").unionByName(compared)
+    gone = settled.where(F.col("way") == REMOVED).select("doc", "same", "start", "end").unionByName(compared)
     lists = gone.groupBy("doc", "same").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     joined = keyed.join(lists, ["doc", "same"], "left").select("own", "text", "gone")
@@ -456,7 +503,7 @@ def _deal(own: Entries, blocks: int) -> pa.RecordBatch:
     told = np.flatnonzero(~first)
     columns = {k: v.copy() for k, v in own.columns.items()}
     columns["fp"][told] = columns["count"][told]
-    columns["block"][told] = (mix(columns["doc"][told].view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+    columns["block"][told] = _anywhere(*(columns[k][told] for k in ("doc", "same", "start")), blocks)
     columns["count"][told] = 0
     order = np.argsort(columns["block"], kind="stable")
     block = columns["block"][order]
@@ -475,10 +522,62 @@ def _scramble(key: int) -> int:
     return (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 20
 
 
+def _anywhere(doc: np.ndarray, same: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """One of ``n`` numbers for each place; a document's places are not kept together."""
+    word = doc.astype(np.int64).view(np.uint64) ^ mix(same.view(np.uint64) ^ start.astype(np.uint64))
+    return (mix(word) % np.uint64(n)).astype(np.int64)
+
+
+def _earliest(pieces: pa.Array, doc: np.ndarray, same: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order, and which of them hold bytes that none before holds."""
+    order = np.lexsort((start, same, doc))
+    codes = pieces.dictionary_encode().indices.to_numpy()[order]
+    first = np.zeros(len(order), bool)
+    first[np.unique(codes, return_index=True)[1]] = True
+    return order, first
+
+
+def _joined(doc: np.ndarray, same: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, end) of the runs of neighbouring strings; rows come in order."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (same[1:] != same[:-1]) | (start[1:] != start[:-1] + 1)
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(doc)) - 1 if len(heads) else heads
+    return heads, start[tails] + length
+
+
+def _deal_strings(held: list[tuple], collections: int, parts: int) -> pa.RecordBatch:
+    """Single strings: the earliest place of each goes to its part; of the others only the bounds go on."""
+    sizes = [len(h[1]) for h in held]
+    hashes, start = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    doc, same = (np.repeat(np.array([h[k] for h in held], np.int64), sizes) for k in (2, 3))
+    rows = np.concatenate([h[4] for h in held])
+    n, length = rows.shape
+    offsets = pa.py_buffer(np.arange(0, (n + 1) * length, length, dtype=np.int32))
+    pieces = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(rows)])
+    order, first = _earliest(pieces, doc, same, start)
+    own, again = order[first], order[~first]
+    heads, end = _joined(doc[again], same[again], start[again], length)
+    again = again[heads]
+    who = np.concatenate([own, again])
+    part = np.concatenate([(hashes[own] % np.uint64(parts)).astype(np.int64), _anywhere(doc[again], same[again], start[again], parts)])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(part + collections),
+            pa.array(doc[who]),
+            pa.array(same[who]),
+            pa.array(start[who]),
+            pa.array(np.concatenate([start[own] + length, end])),
+            pa.concat_arrays([pieces.take(pa.array(own)), pa.nulls(len(again), pa.binary())]),
+        ],
+        names=["part", "doc", "same", "start", "end", "piece"],
+    )
+
+
 def _cut_batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "doc", "same", "start", "piece"]
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "doc", "same", "start", "end", "piece"]
     )
 
 

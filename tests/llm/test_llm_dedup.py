@@ -158,6 +158,65 @@ def test_suffix_dedup_keeps_the_text_of_repeated_rows(spark, options):
             assert r["kept"]
 
 
+def test_suffix_dedup_bounds_its_groups(spark, monkeypatch, tmp_path):
+    """A passage in many texts, each time in other surroundings: a few hot anchors, and edges that are all equal."""
+    rng = random.Random(9)
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = say(40)
+    rows = [(i, f"{say(25)} {passage} {say(25)}") for i in range(600)]
+    want = plain_repeats(in_order(spark, rows))
+    sizes = str(tmp_path / "sizes")
+
+    def note(kind, size):
+        with open(sizes, "a") as out:
+            out.write(f"{kind} {size}\n")
+
+    class Noting(suffix_dedup.Entries):
+        def take(self, rows):
+            if len(set(self.block.tolist())) == 1:
+                note("settle", len(self))
+            return super().take(rows)
+
+    plain = suffix_dedup.later_strings
+
+    def noting(segments, rank, length):
+        note("collection", len(segments))
+        return plain(segments, rank, length)
+
+    # What the nested functions read from their module goes to the workers as it is here.
+    monkeypatch.setattr(suffix_dedup, "Entries", Noting)
+    monkeypatch.setattr(suffix_dedup, "later_strings", noting)
+    if earliest := getattr(suffix_dedup, "_earliest", None):
+
+        def strings(pieces, *place):
+            note("strings", len(pieces))
+            return earliest(pieces, *place)
+
+        monkeypatch.setattr(suffix_dedup, "_earliest", strings)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    options = {"sample": 1} if earliest else {}
+    for r in suffix_dedup.remove_repeats(docs, per_block=100, collection=50, **options).collect():
+        size, spans, kept = want[r.doc_id, rows[r.doc_id][1]]
+        assert (r.n_bytes, [tuple(s) for s in r.spans], r.kept) == (size, spans, kept)
+    noted = defaultdict(int)
+    for kind, size in map(str.split, open(sizes)):
+        noted[kind] = max(noted[kind], int(size))
+    assert noted["settle"] and max(noted.values()) < 400, dict(noted)
+
+
+def test_equal_strings_of_a_task_go_on_once():
+    data = np.frombuffer(b"".join(bytes([i % 7]) for i in range(30)), np.uint8)
+    view = np.lib.stride_tricks.sliding_window_view(data, 10)
+    at = np.arange(len(view))
+    held = [(suffix_dedup.Rolling(data).of(at, at + 10), at, doc, 0, view) for doc in (4, 2, 3)]
+    rows = suffix_dedup._deal_strings(held, 5, 2).to_pylist()
+    # The 7 different strings go on from the first document; the rest is told as whole runs.
+    assert sorted((r["doc"], r["start"], r["piece"]) for r in rows if r["piece"]) == [(2, i, data[i : i + 10].tobytes()) for i in range(7)]
+    assert sorted((r["doc"], r["start"], r["end"]) for r in rows if not r["piece"]) == [(2, 7, 30), (3, 0, 30), (4, 0, 30)]
+    assert {r["part"] for r in rows} <= {5, 6}
+
+
 def test_later_strings():
     rng = random.Random(3)
     for _ in range(150):
