@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import byte_bpe, chat_format, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, suffix_dedup, topk_search
-from corpusq.llm.common import table
+from corpusq.llm import byte_bpe, chat_format, exact_dedup, html_extract, line_dedup, merkle, ngram_join, packing, pii, quality
+from corpusq.llm import suffix_dedup, topk_search, vector_codes
+from corpusq.llm.common import ascii_lower, table
 
 LOWER_KEY = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -212,6 +213,132 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS
+    ]
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), added)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))[0]
+
+
+def _op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Vectors of one length that the parts divide, as the given table has them."""
+    steps = [f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, w) AS n FROM kept
+), part AS (
+  SELECT n, p, w[p * (len(w) // {parts}) + 1 : (p + 1) * (len(w) // {parts})] AS w
+  FROM numbered, (SELECT unnest(range({parts})) AS p)
+), book0 AS (
+  SELECT p, n - 1 AS e, w FROM part WHERE n <= {entries}
+)"""]
+    for turn in range(rounds + 1):
+        steps.append(f"""near{turn} AS (
+  SELECT n, p, arg_min(e, d * {entries} + e) AS e, min(d) AS d
+  FROM (SELECT x.n, x.p, b.e, CAST(list_sum([(x.w[i] - b.w[i]) * (x.w[i] - b.w[i]) FOR i IN range(1, len(x.w) + 1)]) AS BIGINT) AS d
+        FROM part x JOIN book{turn} b ON x.p = b.p)
+  GROUP BY n, p
+)""")
+        if turn < rounds:
+            steps.append(f"""mean{turn} AS (
+  SELECT p, e, list(m ORDER BY i) AS w FROM (
+    SELECT a.p, a.e, i, CAST(floor(CAST(sum(x.w[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+    FROM near{turn} a JOIN part x ON a.n = x.n AND a.p = x.p, LATERAL (SELECT unnest(range(1, len(x.w) + 1)) AS i)
+    GROUP BY a.p, a.e, i
+  ) GROUP BY p, e
+), book{turn + 1} AS (
+  SELECT b.p, b.e, coalesce(m.w, b.w) AS w FROM book{turn} b LEFT JOIN mean{turn} m ON b.p = m.p AND b.e = m.e
+)""")
+    return ", ".join(steps) + f""", coded AS (
+  SELECT n, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY n
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN numbered USING (n), digest
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = {"text": F.when(hit, ascii_lower(F.col("text"))).otherwise(F.col("text"))}
+    return merkle.manifest(docs, found=found)
+
+
+def _op13_sql(fanout: int = 8, levels: int = 7) -> str:
+    """A tree of ``levels`` per language and for all of them: enough for fanout ** levels documents each."""
+
+    def leaf(text: str) -> str:
+        fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # A byte at a time, a bit at a time; decimal digits only.
+    crc = """xor(list_reduce(list_concat([4294967295], [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], CAST(range(8) AS BIGINT[])),
+        lambda x, i: xor(x // 2, 3988292384 * (x % 2)))), 4294967295)"""
+    steps = [f"""
+WITH leaf AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS k, {leaf("text")} AS leaf,
+         {leaf(f"CASE WHEN {crc} % 3 = 0 THEN {lower} ELSE text END")} AS later FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY k) AS c FROM leaf
+), a0 AS (SELECT k, p, leaf AS h, c FROM placed)"""]
+
+    def tree(name: str) -> None:
+        for i in range(levels):
+            steps.append(f"""{name}{i + 1} AS (
+  SELECT k, p // {fanout} AS p, CASE WHEN min(c) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE min(h) END AS h,
+         (min(c) + {fanout - 1}) // {fanout} AS c FROM {name}{i} GROUP BY k, p // {fanout}
+), {name}run{i} AS (
+  SELECT k, p // {fanout} AS q, list(h ORDER BY p) AS run FROM {name}{i} GROUP BY k, p // {fanout}
+)""")
+
+    def climb(name: str, source: str, out: str) -> str:
+        for i in range(levels):
+            steps.append(f"""{out}{i + 1} AS (
+  SELECT f.* EXCLUDE (x, proof, p, c, before, after), p // {fanout} AS p, (c + {fanout - 1}) // {fanout} AS c,
+         CASE WHEN c > 1 THEN sha256(before || x || after) ELSE x END AS x, proof || before || after AS proof
+  FROM (SELECT s.*, array_to_string(run[1 : s.p % {fanout}], '') AS before, array_to_string(run[s.p % {fanout} + 2 :], '') AS after
+        FROM {source if i == 0 else f"{out}{i}"} s JOIN {name}run{i} r ON s.k = r.k AND s.p // {fanout} = r.q) f
+)""")
+        return f"{out}{levels}"
+
+    tree("a")
+    steps.append(f"""heads AS (
+  SELECT k AS lang, '' AS k, h, row_number() OVER (ORDER BY k) - 1 AS p, count(*) OVER () AS c FROM a{levels}
+), b0 AS (SELECT k, p, h, c FROM heads)""")
+    tree("b")
+    steps.append("start AS (SELECT doc_id, k, leaf, p, c, later AS x, '' AS proof FROM placed)")
+    low = climb("a", "start", "low")
+    steps.append(f"""middle AS (
+  SELECT d.doc_id, d.leaf, h.h AS subroot, h.k, h.p, h.c, d.x, d.proof FROM {low} d JOIN heads h ON h.lang = d.k
+)""")
+    top = climb("b", "middle", "top")
+    return ", ".join(steps) + f"""
+SELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = b.h AS verified
+FROM {top} d, b{levels} b
+"""
+
+
+OP12_SQL = _op12_sql()
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -223,6 +350,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op9_chat_format": op9_chat_format,
+    "op11_pii": op11_pii,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE: dict[str, str] = {
     "op4_html_extract": OP4_SQL,
@@ -230,4 +360,6 @@ ORACLE: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op9_chat_format": OP9_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
