@@ -83,14 +83,6 @@ def retrieval_filter(
     return df.where(conjunction(conditions))
 
 
-def path_prefix_filter(df: DataFrame, prefix: str | Column | None) -> DataFrame:
-    """Keep paths below a prefix; apply above the fused cut, so fewer rows may remain."""
-    if prefix is None:
-        return df
-    value = prefix if isinstance(prefix, Column) else F.lit(prefix)
-    return df.where(value.isNull() | F.startswith(F.col("file_path"), F.coalesce(value, F.lit(""))))
-
-
 def url_problem(url: Column) -> Column:
     """Reason a repository address is refused, or null.
 

@@ -159,8 +159,13 @@ def empty_tables(spark: SparkSession) -> IndexTables:
 def make_chunks(
     changed: DataFrame, max_tokens: int = 512, min_tokens: int = 64, target: int = 256
 ) -> DataFrame:
-    """Chunk rows of new and changed files (decoded text in ``content``)."""
+    """Chunk rows of new and changed files (decoded text in ``content``).
+
+    With a column ``error``, a file gives at least one row: a row without lines says that the
+    file has been read, or why it has not.
+    """
     text, language = F.col("content"), F.col("language")
+    told = ["error"] if "error" in changed.columns else []
 
     def pieces(ls: Column) -> Column:
         prose = chunking.markdown_chunks(ls, max_tokens, min_tokens)
@@ -175,7 +180,10 @@ def make_chunks(
     rows = (
         changed.withColumn("imports", F.coalesce(modules, F.array().cast("array<string>")))
         .withColumn("_pieces", let(split_lines(text), pieces))
-        .select("file_id", "repository_id", "path", "language", "imports", F.inline("_pieces"))
+        .select(
+            "file_id", "repository_id", "path", "language", "imports", *told,
+            (F.inline_outer if told else F.inline)("_pieces"),
+        )
     )
     return rows.select(
         F.sha2(
@@ -193,10 +201,11 @@ def make_chunks(
         "content_tokens",
         F.when(language == "markdown", F.lit("prose")).otherwise(F.lit("code")).alias("chunk_type"),
         "imports",
+        *told,
     )
 
 
-def _mark_deleted(files: DataFrame, deleted: DataFrame) -> DataFrame:
+def mark_deleted(files: DataFrame, deleted: DataFrame) -> DataFrame:
     return (
         files.join(deleted.withColumn("_gone", F.lit(True)), "file_id", "left")
         .withColumn("is_deleted", F.col("is_deleted") | F.col("_gone").isNotNull())
@@ -235,9 +244,33 @@ def unread_paths(known: DataFrame, problems: DataFrame) -> DataFrame:
     )
 
 
-def index_files(
+@dataclass
+class Delta:
+    """What a run has found: all that the tables need, nothing of what stays as it is.
+
+    ``counts`` has the number of files per kind of change. Without new or changed files the
+    rows, chunks, vectors and entries are empty.
+    """
+
+    counts: dict[str, int]
+    deleted: DataFrame
+    rows: DataFrame
+    chunks: DataFrame
+    vectors: DataFrame
+    entries: DataFrame
+    results: DataFrame
+    chunk_count: int = 0
+
+
+def named_file() -> Column:
+    """Id of a file that has none yet."""
+    return F.sha2(F.concat_ws(":", "repository_id", "path"), 256)
+
+
+def find_delta(
     scanned: DataFrame,
-    tables: IndexTables,
+    known_files: DataFrame,
+    cache: DataFrame,
     factory: EncoderFactory,
     model_id: str,
     workspace_id: Column,
@@ -246,21 +279,11 @@ def index_files(
     read: Callable[[DataFrame], DataFrame] | None = None,
     dim: int | None = None,
     **budget: int,
-) -> tuple[IndexTables, DataFrame]:
-    """One run over scanned files (repository_id, path, content binary, length).
+) -> Delta:
+    """Compare a scan with the known files, and cut and embed what is new or changed.
 
-    The scan speaks for ``repositories`` (by default those it holds rows of): files of others
-    are not looked at, files gone from these turn deleted. Rows may carry ``problem`` (and
-    ``is_dir``): such files, and all known ones below such a folder, are ``failed`` and keep
-    their state. With ``arrived_at``, the newest row of a path counts. With ``read``, rows have
-    no content yet: all files are read once to compare hashes, and only new and changed ones
-    again.
-
-    Gives the next state and one result row per file (status, chunks, error). Unchanged files
-    skip all later work; a file whose embedding failed, or whose vectors are not finite or not
-    of ``dim`` numbers, keeps its old row, chunks and vectors, so the next run tries it again.
-    Files without a language or not UTF-8 are kept as known but ``skipped``. What several
-    results read is written once to the checkpoint folder.
+    The rules are those of ``index_files``. A file whose second reading fails, differs from the
+    first or gives nothing is ``failed``: it keeps its old row, so the next run takes it up.
     """
     keys = ["repository_id", "path"]
     for name, kind in (("problem", "string"), ("is_dir", "boolean")):
@@ -280,7 +303,7 @@ def index_files(
         if repositories is None
         else spark.createDataFrame([(r,) for r in repositories], "repository_id string")
     )
-    known = tables.files.where("NOT is_deleted").join(scope, "repository_id", "left_semi")
+    known = known_files.where("NOT is_deleted").join(scope, "repository_id", "left_semi")
     found = seen.where("problem IS NULL")
     problems = seen.where("problem IS NOT NULL")
     changes = detect_changes(known, found).withColumn("error", F.lit(None).cast("string"))
@@ -300,31 +323,35 @@ def index_files(
     changes = cut_lineage(changes)
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     deleted = changes.where("change = 'deleted'").select("file_id")
-    named = F.coalesce("file_id", F.sha2(F.concat_ws(":", "repository_id", "path"), 256))
+    named = F.coalesce("file_id", named_file())
     if not counts.get("new") and not counts.get("changed"):
-        # Nothing to read, cut or embed: only the rows of deleted files flip.
-        gone = counts.get("deleted", 0)
-        state = IndexTables(
-            _mark_deleted(tables.files, deleted),
-            supersede(tables.chunks, deleted, gone).select(*tables.chunks.columns),
-            supersede(tables.vectors, deleted, gone).select(*tables.vectors.columns),
-            tables.cache,
-        )
-        return state, changes.select(
+        results = changes.select(
             named.alias("file_id"), "repository_id", "path", F.col("change").alias("status"),
             F.lit(0).cast("long").alias("chunks"), "error",
         )
+        nothing = [spark.createDataFrame([], s) for s in (FILES, CHUNKS, VECTORS, CACHE)]
+        return Delta(counts, deleted, *nothing, results)
     wanted = changes.where("change IN ('new', 'changed')").select(*keys, named.alias("file_id"))
     taken = cut_lineage(found.join(wanted, keys))
-    readable = taken.where("is_text AND language IS NOT NULL").select(*keys, "file_id", "language")
-    if read:
-        again = read(scanned.join(readable, keys)).where("problem IS NULL")
-    else:
-        again = scanned.join(readable, keys)
-    chunks = cut_lineage(make_chunks(source.decode_text(again), **budget))
-    embedded, entries = embed_batch(
-        chunks.withColumnRenamed("content", "text"), factory, tables.cache, model_id, now
+    readable = taken.where("is_text AND language IS NOT NULL").select(
+        *keys, "file_id", "language", F.col("content_hash").alias("_first_hash")
+    )
+    again = (read(scanned.join(readable, keys)) if read else scanned.join(readable, keys)).withColumn(
+        "error",
+        F.coalesce(
+            F.col("problem"),
+            F.when(F.sha2(F.col("content").cast("binary"), 256) != F.col("_first_hash"), F.lit("changed while it was read")),
+        ),
     )
+    # A text that is not the compared one is not cut.
+    again = again.withColumn("content", F.when(F.col("error").isNull(), F.col("content").cast("binary")).otherwise(F.lit(b"")))
+    cut = cut_lineage(make_chunks(source.decode_text(again), **budget))
+    chunks = cut.where("start_line IS NOT NULL").drop("error")
+    gone = readable.select("file_id").join(cut.select("file_id").distinct(), "file_id", "left_anti")
+    unread = cut.where("error IS NOT NULL").select("file_id", "error").unionByName(
+        gone.withColumn("error", F.lit("gone while it was read"))
+    )
+    embedded, entries = embed_batch(chunks.withColumnRenamed("content", "text"), factory, cache, model_id, now)
     checked = validate_dense(embedded, dim if dim is not None else F.size("dense"), strict=False)
     embedded = cut_lineage(
         checked.withColumn("error", F.coalesce("error", F.concat(F.lit("bad dense vector: "), "dense_problem")))
@@ -332,6 +359,7 @@ def index_files(
         .withColumnRenamed("text", "content")
     )
     good, failed = isolate_failures(embedded)
+    failed = cut_lineage(failed.unionByName(unread))
 
     # The hash that was compared stays with the row: a file that changes on disk later,
     # even during this run, differs from it and is taken up by the next run.
@@ -341,10 +369,6 @@ def index_files(
             F.col("length").alias("size_bytes"), "content_hash", F.lit(False).alias("is_deleted"),
         )
     )
-    replaced = rows.select("file_id").unionByName(deleted)
-    kept_files = _mark_deleted(
-        tables.files.join(rows.select("file_id"), "file_id", "left_anti"), deleted
-    )
     new_chunks = good.select(
         "chunk_id", "file_id", "repository_id", "symbol_name", "symbol_kind", "start_line", "end_line",
         "content", "content_tokens", "chunk_type", "imports", F.lit(True).alias("is_active"),
@@ -354,23 +378,6 @@ def index_files(
         F.col("path").alias("file_path"), "language", "symbol_kind", "start_line", "end_line",
         "dense", "sparse", F.col("model_id").alias("embedding_version"), F.lit(True).alias("is_active"),
     )
-
-    # Both are counted on what the checkpoints hold, so no file is read again.
-    file_count = sum(counts.get(change, 0) for change in ("new", "changed", "deleted"))
-    chunk_count = embedded.count()
-
-    def renewed(old: DataFrame, new: DataFrame) -> DataFrame:
-        # An id comes back when a file returns to an earlier text: the new row wins.
-        ids = small_side(new.select("chunk_id"), chunk_count)
-        kept = supersede(old, replaced, file_count).join(ids, "chunk_id", "left_anti")
-        return kept.select(*old.columns).unionByName(new)
-
-    state = IndexTables(
-        files=kept_files.select(*rows.columns).unionByName(rows),
-        chunks=renewed(tables.chunks, new_chunks),
-        vectors=renewed(tables.vectors, new_vectors),
-        cache=tables.cache.unionByName(entries.select(*tables.cache.columns)),
-    )
     made = good.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
     skipped = taken.where("NOT is_text OR language IS NULL").select("file_id", F.lit(True).alias("_skipped"))
     results = (
@@ -388,7 +395,68 @@ def index_files(
             F.coalesce("_failure", "error").alias("error"),
         )
     )
-    return state, results
+    return Delta(counts, deleted, rows, new_chunks, new_vectors, entries, results, embedded.count())
+
+
+def index_files(
+    scanned: DataFrame,
+    tables: IndexTables,
+    factory: EncoderFactory,
+    model_id: str,
+    workspace_id: Column,
+    now: Column | None = None,
+    repositories: list[str] | None = None,
+    read: Callable[[DataFrame], DataFrame] | None = None,
+    dim: int | None = None,
+    **budget: int,
+) -> tuple[IndexTables, DataFrame]:
+    """One run over scanned files (repository_id, path, content binary, length).
+
+    The scan speaks for ``repositories`` (by default those it holds rows of): files of others
+    are not looked at, files gone from these turn deleted. Rows may carry ``problem`` (and
+    ``is_dir``): such files, and all known ones below such a folder, are ``failed`` and keep
+    their state. With ``arrived_at``, the newest row of a path counts. With ``read``, rows have
+    no content yet: all files are read once to compare hashes, and only new and changed ones
+    again.
+
+    Gives the next state and one result row per file (status, chunks, error). Unchanged files
+    skip all later work; a file whose second reading or embedding failed, or whose vectors are
+    not finite or not of ``dim`` numbers, keeps its old row, chunks and vectors, so the next run
+    tries it again. Files without a language or not UTF-8 are kept as known but ``skipped``. What
+    several results read is written once to the checkpoint folder. ``persisted.run_index`` does
+    the same on published tables, touching only what a run changes.
+    """
+    d = find_delta(
+        scanned, tables.files, tables.cache, factory, model_id, workspace_id, now, repositories, read, dim, **budget
+    )
+    if not d.counts.get("new") and not d.counts.get("changed"):
+        # Nothing was read, cut or embedded: only the rows of deleted files flip.
+        gone = d.counts.get("deleted", 0)
+        state = IndexTables(
+            mark_deleted(tables.files, d.deleted),
+            supersede(tables.chunks, d.deleted, gone).select(*tables.chunks.columns),
+            supersede(tables.vectors, d.deleted, gone).select(*tables.vectors.columns),
+            tables.cache,
+        )
+        return state, d.results
+    replaced = d.rows.select("file_id").unionByName(d.deleted)
+    kept_files = mark_deleted(tables.files.join(d.rows.select("file_id"), "file_id", "left_anti"), d.deleted)
+    # Counted on what the checkpoints hold, so no file is read again.
+    file_count = sum(d.counts.get(change, 0) for change in ("new", "changed", "deleted"))
+
+    def renewed(old: DataFrame, new: DataFrame) -> DataFrame:
+        # An id comes back when a file returns to an earlier text: the new row wins.
+        ids = small_side(new.select("chunk_id"), d.chunk_count)
+        kept = supersede(old, replaced, file_count).join(ids, "chunk_id", "left_anti")
+        return kept.select(*old.columns).unionByName(new)
+
+    state = IndexTables(
+        files=kept_files.select(*d.rows.columns).unionByName(d.rows),
+        chunks=renewed(tables.chunks, d.chunks),
+        vectors=renewed(tables.vectors, d.vectors),
+        cache=tables.cache.unionByName(d.entries.select(*tables.cache.columns)),
+    )
+    return state, d.results
 
 
 def index_corpus(

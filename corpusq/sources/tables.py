@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,10 +159,3 @@ def parse_progress(raw: DataFrame, text: str = "data") -> DataFrame:
         F.when(done, F.lit("done")).otherwise(F.lit("progress")).alias("kind"),
         *[F.when(~done, F.col(f"_p.{c}")).alias(c) for c in ("stage", "percent", "message")],
     )
-
-
-def replace_table(df: DataFrame, path: str, publish: Callable[[str], None], run: str) -> None:
-    """Write a new copy beside the old one, then hand its path to ``publish``."""
-    target = f"{path.rstrip('/')}/run={run}"
-    df.write.mode("error").parquet(target)
-    publish(target)
