@@ -142,40 +142,36 @@ def chunk_markdown(
     )
 
 
-MAX_DEPTH = 3  # nesting levels followed below the outermost symbols
-
-
 def split_oversize(
     pieces: Column, symbols: Column, tokens: Column, max_tokens: int, min_tokens: int
 ) -> Column:
     """Pieces over the budget are cut at the child spans, one nesting level at a time.
 
-    What is still too long after the deepest level is cut at line boundaries; so is
-    a gap between symbols, which has no children.
+    The levels are those of the row: a fold over 1 to one below its deepest symbol. There
+    what is still too long is cut at line boundaries; so is a gap between symbols, which has
+    no children.
     """
+    piece = "array<struct<start_line:int,end_line:int,kind:string,name:string>>"
+    last = F.coalesce(F.array_max(F.transform(symbols, lambda s: s["depth"])), F.lit(0)) + 1
 
-    def windows(p: Column) -> Column:
-        return spans.line_windows(tokens, p["start_line"], p["end_line"], max_tokens, min_tokens)
-
-    def whole(p: Column) -> Column:
-        return F.array(F.struct(p["start_line"].alias("start_line"), p["end_line"].alias("end_line")))
-
-    def cut(p: Column) -> Column:
+    def cut(p: Column, level: Column) -> Column:
         start, end = p["start_line"], p["end_line"]
+        whole = F.array(F.struct(start.alias("start_line"), end.alias("end_line")))
+        windows = spans.line_windows(tokens, start, end, max_tokens, min_tokens)
         inside = F.filter(
             symbols,
             lambda c: (c["depth"] == level) & (c["start_line"] >= start) & (c["end_line"] <= end),
         )
-        fits = spans.span_tokens(tokens, start, end) <= max_tokens
         by_children = let(
             inside,
             lambda cs: F.when(
                 F.size(cs) > 0,
                 spans.pack_units(spans.child_units(cs, start, end), tokens, max_tokens, end),
-            ).otherwise(windows(p) if level == MAX_DEPTH else whole(p)),
+            ).otherwise(F.when(level == last, windows).otherwise(whole)),
         )
+        fits = spans.span_tokens(tokens, start, end) <= max_tokens
         return F.transform(
-            F.when(fits, whole(p)).when(p["kind"] == "module", windows(p)).otherwise(by_children),
+            F.when(fits, whole).when(p["kind"] == "module", windows).otherwise(by_children),
             lambda s: F.struct(
                 s["start_line"].alias("start_line"),
                 s["end_line"].alias("end_line"),
@@ -184,10 +180,12 @@ def split_oversize(
             ),
         )
 
-    # ``cut`` reads the level that is current when its expression is built.
-    for level in range(1, MAX_DEPTH + 1):
-        pieces = F.flatten(F.transform(pieces, cut))
-    return pieces
+    bare = F.transform(pieces, lambda p: F.struct(*[p[f].alias(f) for f in ("start_line", "end_line", "kind", "name")]))
+    return F.aggregate(
+        F.sequence(F.lit(1), last),
+        bare.cast(piece),
+        lambda held, level: F.flatten(F.transform(held, lambda p: cut(p, level))).cast(piece),
+    )
 
 
 def code_chunks(

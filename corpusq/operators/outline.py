@@ -1,8 +1,10 @@
 """Symbols, imports and change history from source text.
 
-There is no syntax tree here: symbols are found by the shape of lines. Python blocks
-end where the indent falls back, JavaScript and TypeScript blocks where the braces
-close. Code inside multi-line strings or comments may be taken for a definition.
+There is no syntax tree here. First strings and comments are blanked over the whole text, also those
+that span lines; then a fold over the lines keeps the depth of brackets and braces, so that headers,
+statements and bodies may span lines. Python blocks end where the indent falls back, blocks of
+brace languages where the braces close. What cannot be told without a grammar stays open: an
+apostrophe in JSX text reads as a string to the end of its line.
 """
 
 from __future__ import annotations
@@ -13,25 +15,56 @@ from pyspark.sql import functions as F
 from corpusq.functions.spans import split_lines
 from corpusq.functions.text import let
 from corpusq.operators.filters import conjunction
-from corpusq.plugins import REGISTRY, LanguageRegistry
-
-# Fixed patterns of definition lines.
-PY_DEF = r"^\s*(?:async\s+)?def\s+(\w+)"
-PY_CLASS = r"^\s*class\s+(\w+)"
-JS_FUNCTION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)"
-JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\w$]+)"
-JS_VALUE = (
-    r"^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+)?=\s*"
-    r"(?:async\s*)?(?:function\b|(?:\([^)]*\)|[\w$]+)\s*(?::\s*[^=]+)?=>)"
-)
-JS_METHOD = (
-    r"^\s*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*"
-    r"[*#]?([\w$]+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[^{]+)?\{"
-)
-JS_NOT_METHOD = r"^\s*(?:if|for|while|switch|catch|function|return|with|do|else)\b"
+from corpusq.plugins import REGISTRY, LanguageRegistry, OutlineRules
 
 SYMBOL = "struct<start_line:int,end_line:int,kind:string,name:string,depth:int>"
 OPEN = "struct<start_line:int,mark:int,kind:string,name:string,depth:int>"
+# A header or body in which nothing else is looked for.
+HELD = (
+    "struct<start_line:int,mark:int,around:int,kind:string,name:string,depth:int,opened:boolean,is_value:boolean,"
+    "counts:boolean>"
+)
+# Stands for a string, and at the start of a line for the rest of a string that began above.
+STRING, INSIDE = "\u0001", "\u0002"
+# Ends of lines after which a statement goes on, and starts that go on from the line before.
+GOES_ON = r"(?:=>|[-=(\[{,+*/%&|^?:.<>!~])\s*$"
+FROM_ABOVE = r"^\s*[-.?:+*/%&|^=,)\]}<>{]"
+
+
+def blanked(text: Column, rules: OutlineRules) -> Column:
+    """The text without comments, each string a placeholder; line ends stay where they are.
+
+    Escaped characters are made harmless first, so that a string ends at the next quote. All
+    lexemes are found in one scan, left to right: what is inside one cannot start another.
+    """
+    lexeme = "|".join([*rules.comments, *rules.strings])
+    if not lexeme:
+        return text
+    comment = "^(?:" + "|".join(rules.comments) + ")$" if rules.comments else r"(?!)"
+
+    def blank(part: Column) -> Column:
+        ends = F.regexp_replace(part, r"[^\r\n]+", "")
+        in_string = F.concat(F.lit(STRING), F.regexp_replace(ends, r"(\r\n|\n|\r)", "$1" + INSIDE))
+        # A comment counts as a space where it stood between words.
+        return F.when(part.rlike(comment), F.concat(F.lit(" "), ends)).otherwise(in_string)
+
+    def rebuilt(plain: Column) -> Column:
+        return let(
+            F.regexp_extract_all(plain, F.lit(f"({lexeme})"), F.lit(1)),
+            lambda parts: F.array_join(
+                F.transform(
+                    F.split(plain, lexeme, -1),
+                    lambda code, n: F.concat(code, F.coalesce(blank(F.get(parts, n)), F.lit(""))),
+                ),
+                "",
+            ),
+        )
+
+    return let(F.regexp_replace(text, r"\\[^\r\n]", "__"), rebuilt)
+
+
+def _count(line: Column, characters: str) -> Column:
+    return F.length(line) - F.length(F.translate(line, characters, ""))
 
 
 def _closed(stack: Column, end: Column, gone) -> Column:
@@ -47,7 +80,9 @@ def _closed(stack: Column, end: Column, gone) -> Column:
     )
 
 
-def _name(line: Column, pattern: str) -> Column:
+def _name(line: Column, pattern: str | None) -> Column:
+    if pattern is None:
+        return F.lit(None).cast("string")
     return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
 
 
@@ -63,148 +98,238 @@ def _opened(start: Column, mark: Column, kind: Column, name: Column, stack: Colu
     ).cast(f"array<{OPEN}>")
 
 
-def indent_symbols(lines: Column) -> Column:
-    """Python-like symbols. A function body is not searched further."""
-    code = F.filter(
-        F.transform(
-            lines,
-            lambda line, n: F.struct(
-                (n + 1).alias("n"),
-                F.length(F.regexp_extract(line, r"^([ \t]*)", 1)).alias("indent"),
-                F.coalesce(_name(line, PY_CLASS), _name(line, PY_DEF)).alias("name"),
-                line.rlike(PY_CLASS).alias("is_class"),
-                line.rlike(r"^\s*[^\s#]").alias("is_code"),
-            ),
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _lines_of_code(lines: Column, rules: OutlineRules) -> Column:
+    """Lines of the blanked text. A last line that was only a comment may be blank."""
+    return split_lines(blanked(F.array_join(lines, ""), rules))
+
+
+def indent_symbols(lines: Column, rules: OutlineRules) -> Column:
+    """Python-like symbols. A function body is not searched further.
+
+    A line inside brackets, inside a string, or after a backslash belongs to the statement
+    above: its indent says nothing, but it moves the end of what is open.
+    """
+    code = F.transform(
+        _lines_of_code(lines, rules),
+        lambda line, n: F.struct(
+            (n + 1).alias("n"),
+            F.length(F.regexp_extract(line, r"^([ \t]*)", 1)).alias("indent"),
+            _name(line, rules.class_head).alias("class_name"),
+            _name(line, rules.function_head).alias("function_name"),
+            line.rlike(r"\S").alias("is_code"),
+            F.startswith(line, F.lit(INSIDE)).alias("inside"),
+            line.rlike(r"\\\s*$").alias("goes_on"),
+            (_count(line, "([{") - _count(line, ")]}")).alias("turn"),
         ),
-        lambda c: c["is_code"],
     )
     start = F.struct(
-        F.array().cast(f"array<{OPEN}>").alias("stack"),
-        F.array().cast(f"array<{SYMBOL}>").alias("out"),
+        _none(OPEN).alias("stack"),
+        _none(SYMBOL).alias("out"),
         F.lit(0).alias("last"),
+        F.lit(0).alias("brackets"),
+        F.lit(False).alias("goes_on"),
     )
 
     def step(acc: Column, c: Column) -> Column:
+        def state(stack: Column, out: Column) -> Column:
+            return F.struct(
+                stack.alias("stack"),
+                out.alias("out"),
+                c["n"].alias("last"),
+                F.greatest(acc["brackets"] + c["turn"], F.lit(0)).alias("brackets"),
+                c["goes_on"].alias("goes_on"),
+            )
+
         def then(kept: Column) -> Column:
             inside_function = F.exists(kept, lambda s: s["kind"] != "class")
-            opens = c["name"].isNotNull() & ~inside_function
+            name = F.coalesce(c["class_name"], c["function_name"])
             kind = (
-                F.when(c["is_class"], F.lit("class"))
+                F.when(c["class_name"].isNotNull(), F.lit("class"))
                 .when(F.size(kept) > 0, F.lit("method"))
                 .otherwise(F.lit("function"))
             )
-            return F.struct(
+            return state(
                 F.when(
-                    opens, F.concat(kept, _opened(c["n"], c["indent"], kind, c["name"], kept))
-                )
-                .otherwise(kept)
-                .alias("stack"),
+                    name.isNotNull() & ~inside_function,
+                    F.concat(kept, _opened(c["n"], c["indent"], kind, name, kept)),
+                ).otherwise(kept),
                 F.when(
                     F.size(kept) < F.size(acc["stack"]),
-                    F.concat(
-                        acc["out"],
-                        _closed(acc["stack"], acc["last"], lambda s: s["mark"] >= c["indent"]),
-                    ),
-                )
-                .otherwise(acc["out"])
-                .alias("out"),
-                c["n"].alias("last"),
+                    F.concat(acc["out"], _closed(acc["stack"], acc["last"], lambda s: s["mark"] >= c["indent"])),
+                ).otherwise(acc["out"]),
             )
 
-        return let(F.filter(acc["stack"], lambda s: s["mark"] < c["indent"]), then)
+        continued = c["inside"] | (acc["brackets"] > 0) | acc["goes_on"]
+        return (
+            F.when(~c["is_code"], acc)
+            .when(continued, state(acc["stack"], acc["out"]))
+            .otherwise(let(F.filter(acc["stack"], lambda s: s["mark"] < c["indent"]), then))
+        )
 
     return F.sort_array(
         F.aggregate(
             code,
             start,
             step,
-            lambda acc: F.concat(
-                acc["out"], _closed(acc["stack"], acc["last"], lambda s: F.lit(True))
-            ),
+            lambda acc: F.concat(acc["out"], _closed(acc["stack"], acc["last"], lambda s: F.lit(True))),
         )
     )
 
 
-def brace_symbols(lines: Column) -> Column:
-    """JavaScript- and TypeScript-like symbols by running brace depth."""
-    # Strings and line comments may hold braces: they are blanked before counting.
-    plain = F.transform(
-        lines,
-        lambda line: F.regexp_replace(
-            line, r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`|//.*", " "
-        ),
-    )
-    marked = F.transform(
-        plain,
-        lambda line, n: F.struct(
+def _braces(line: Column) -> Column:
+    """Where a line's braces lead: after it, and at the lowest and highest point within."""
+    zero = F.struct(F.lit(0).alias("after"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+
+    def step(acc: Column, sign: Column) -> Column:
+        now = acc["after"] + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+        return F.struct(
+            now.alias("after"), F.least(acc["low"], now).alias("low"), F.greatest(acc["high"], now).alias("high")
+        )
+
+    signs = F.split(F.regexp_replace(line, r"[^{}]", ""), "")
+    return F.when(line.rlike("[{}]"), F.aggregate(signs, zero, step)).otherwise(zero)
+
+
+def brace_symbols(lines: Column, rules: OutlineRules) -> Column:
+    """JavaScript-like symbols. Only classes are searched further.
+
+    A header waits for its brace over as many lines as it takes, and is dropped if its statement
+    ends before. A declared value is a symbol if it is a function; it ends with its statement.
+    """
+    no = F.lit(False)
+
+    def about(line: Column, n: Column, ls: Column) -> Column:
+        following = F.get(ls, n + 1)
+        looks_like = ~line.rlike(rules.not_method) if rules.not_method else F.lit(True)
+        return F.struct(
             (n + 1).alias("n"),
-            F.regexp_count(line, F.lit(r"\{")).alias("opens"),
-            F.regexp_count(line, F.lit(r"\}")).alias("closes"),
-            _name(line, JS_CLASS).alias("class_name"),
-            F.coalesce(_name(line, JS_FUNCTION), _name(line, JS_VALUE)).alias("function_name"),
-            line.rlike(JS_VALUE).alias("is_value"),
-            F.when(~line.rlike(JS_NOT_METHOD), _name(line, JS_METHOD)).alias("method_name"),
-        ),
-    )
+            _braces(line).alias("b"),
+            (_count(line, "([") - _count(line, ")]")).alias("turn"),
+            _name(line, rules.class_head).alias("class_name"),
+            _name(line, rules.function_head).alias("function_name"),
+            _name(line, rules.value_head).alias("value_name"),
+            (line.rlike(rules.value_is_function) if rules.value_is_function else no).alias("is_function"),
+            (line.rlike(r"\)\s*(?::[^={]*)?=>") if rules.value_head else no).alias("arrow"),
+            F.when(looks_like, _name(line, rules.method_head)).alias("method_name"),
+            line.rlike(r"\S").alias("is_code"),
+            F.startswith(line, F.lit(INSIDE)).alias("inside"),
+            (line.rlike(GOES_ON) | F.coalesce(following.rlike(FROM_ABOVE), no)).alias("goes_on"),
+            line.rlike(r";\s*$").alias("ends"),
+            F.coalesce(following.rlike(r"^\s*\{"), no).alias("brace_next"),
+        )
+
     start = F.struct(
-        F.array().cast(f"array<{OPEN}>").alias("stack"),
-        F.array().cast(f"array<{SYMBOL}>").alias("out"),
+        _none(OPEN).alias("classes"),
+        F.lit(None).cast(HELD).alias("held"),
+        _none(SYMBOL).alias("out"),
         F.lit(0).alias("depth"),
+        F.lit(0).alias("around"),
     )
 
     def step(acc: Column, c: Column) -> Column:
-        stack, depth = acc["stack"], acc["depth"]
-        after = depth + c["opens"] - c["closes"]
-        top = F.try_element_at(stack, F.lit(-1))
-        in_class = F.size(stack) > 0
-        in_function = F.exists(stack, lambda s: s["kind"] != "class")
-        at_member = in_class & (top["mark"] + 1 == depth)
-        method = F.when(at_member, c["method_name"])
-        name = F.when(~in_function, F.coalesce(c["class_name"], c["function_name"], method))
+        depth, around, classes = acc["depth"], acc["around"], acc["classes"]
+        after, round_after = depth + c["b"]["after"], around + c["turn"]
+        low, high = depth + c["b"]["low"], depth + c["b"]["high"]
+        is_member = F.coalesce(F.try_element_at(classes, F.lit(-1))["mark"] + 1 == depth, no)
         kind = (
-            F.when(c["class_name"].isNotNull(), F.lit("class"))
-            .when(c["function_name"].isNotNull() & ~(c["is_value"] & in_class), F.lit("function"))
-            .otherwise(F.lit("method"))
+            F.when(c["function_name"].isNotNull(), F.lit("function"))
+            .when(c["value_name"].isNull() | (F.size(classes) > 0), F.lit("method"))
+            .otherwise(F.lit("function"))
         )
-        opened = F.when(
-            name.isNotNull(), F.concat(stack, _opened(c["n"], depth, kind, name, stack))
-        ).otherwise(stack)
-        return let(
-            F.struct(opened.alias("all"), after.alias("after")),
-            lambda now: F.struct(
-                F.filter(now["all"], lambda s: s["mark"] < now["after"]).alias("stack"),
-                F.when(
-                    F.exists(now["all"], lambda s: s["mark"] >= now["after"]),
+        # A name before a list and a brace is a method anywhere; in a class the brace may come later.
+        method = F.when(is_member | (c["b"]["high"] > 0), c["method_name"])
+        name = F.coalesce(c["function_name"], c["value_name"], method)
+        begun = F.when(
+            name.isNotNull() & c["class_name"].isNull() & ~c["inside"],
+            F.struct(
+                c["n"].alias("start_line"), depth.alias("mark"), around.alias("around"), kind.alias("kind"), name.alias("name"),
+                F.size(classes).alias("depth"), no.alias("opened"), c["value_name"].isNotNull().alias("is_value"),
+                F.when(c["value_name"].isNull() | c["is_function"], F.lit(True)).alias("counts"),
+            ).cast(HELD),
+        )
+
+        def then(held: Column) -> Column:
+            fresh = acc["held"].isNull()
+            # Braces of a type before the body are none of the body.
+            opened = held["opened"] | ((high > held["mark"]) & ~((after <= held["mark"]) & c["brace_next"]))
+            balanced = round_after <= held["around"]
+            # Where the list of parameters has closed on a later line, an arrow must follow it.
+            counts = F.coalesce(held["counts"], F.when(balanced & ~fresh & c["arrow"], F.lit(True)))
+            fallen = F.when(held["opened"], low <= held["mark"]).otherwise(after <= held["mark"])
+            stays = F.when(
+                held["is_value"], ~((after <= held["mark"]) & balanced & (c["ends"] | ~c["goes_on"]))
+            ).otherwise(~(opened & fallen) & ~(~opened & balanced & (c["ends"] | ~(c["goes_on"] | c["brace_next"]))))
+            complete = held.isNotNull() & ~stays & (held["is_value"] | opened) & F.coalesce(counts, no)
+            symbol = F.array(
+                F.struct(
+                    held["start_line"].alias("start_line"), c["n"].cast("int").alias("end_line"),
+                    held["kind"].alias("kind"), held["name"].alias("name"), held["depth"].alias("depth"),
+                )
+            ).cast(f"array<{SYMBOL}>")
+            new_class = F.when(
+                held.isNull() & c["class_name"].isNotNull() & ~c["inside"],
+                _opened(c["n"], depth, F.lit("class"), c["class_name"], classes),
+            ).otherwise(_none(OPEN))
+
+            # A class of one line opens and falls at once; one without its brace yet waits for it.
+            def falls(s: Column) -> Column:
+                return F.when(s["start_line"] == c["n"], (high > s["mark"]) & (after <= s["mark"])).otherwise(
+                    (low <= s["mark"]) & ((depth > s["mark"]) | ((high > s["mark"]) & (after <= s["mark"])))
+                )
+
+            def state(all_classes: Column) -> Column:
+                fallen_ones = F.exists(all_classes, falls)
+                return F.struct(
+                    F.when(fallen_ones, F.filter(all_classes, lambda s: ~falls(s))).otherwise(all_classes).alias("classes"),
+                    F.when(
+                        held.isNotNull() & stays,
+                        F.struct(
+                            *[held[f].alias(f) for f in ("start_line", "mark", "around", "kind", "name", "depth")],
+                            opened.alias("opened"), held["is_value"].alias("is_value"), counts.alias("counts"),
+                        ).cast(HELD),
+                    ).alias("held"),
                     F.concat(
                         acc["out"],
-                        _closed(now["all"], c["n"], lambda s: s["mark"] >= now["after"]),
-                    ),
+                        F.when(complete, symbol).otherwise(_none(SYMBOL)),
+                        F.when(fallen_ones, _closed(all_classes, c["n"], falls)).otherwise(_none(SYMBOL)),
+                    ).alias("out"),
+                    after.alias("depth"),
+                    round_after.alias("around"),
                 )
-                .otherwise(acc["out"])
-                .alias("out"),
-                now["after"].alias("depth"),
-            ),
-        )
 
-    return F.sort_array(
-        F.aggregate(
-            marked,
-            start,
-            step,
-            lambda acc: F.concat(
-                acc["out"], _closed(acc["stack"], F.size(lines), lambda s: F.lit(True))
-            ),
+            return let(F.concat(classes, new_class), state)
+
+        return F.when(c["is_code"], let(F.coalesce(acc["held"], begun), then)).otherwise(acc)
+
+    def finish(acc: Column) -> Column:
+        # What is still open when the text ends reaches to its last line.
+        held = acc["held"]
+        left = F.when(
+            held.isNotNull() & (held["opened"] | held["is_value"]) & F.coalesce(held["counts"], no), F.array(held)
+        ).otherwise(_none(HELD))
+        return F.concat(
+            acc["out"],
+            _closed(left, F.size(lines), lambda s: F.lit(True)),
+            _closed(acc["classes"], F.size(lines), lambda s: F.lit(True)),
         )
+
+    return let(
+        _lines_of_code(lines, rules),
+        lambda ls: F.sort_array(F.aggregate(F.transform(ls, lambda line, n: about(line, n, ls)), start, step, finish)),
     )
 
 
 def symbols_of(lines: Column, language: Column, registry: LanguageRegistry = REGISTRY) -> Column:
-    """Array of (start_line, end_line, kind, name, depth) of one file."""
-    return (
-        F.when(language.isin(*registry.with_outline("indent")), indent_symbols(lines))
-        .when(language.isin(*registry.with_outline("braces")), brace_symbols(lines))
-        .otherwise(F.array().cast(f"array<{SYMBOL}>"))
-    )
+    """Array of (start_line, end_line, kind, name, depth) of one file, by the rules of its language."""
+    found = _none(SYMBOL)
+    for rules, names in registry.outlines():
+        fold = indent_symbols if rules.style == "indent" else brace_symbols
+        found = F.when(language.isin(*names), fold(lines, rules)).otherwise(found)
+    return found
 
 
 def symbol_outline(
@@ -238,80 +363,154 @@ def _local_names(list_text: Column) -> Column:
     return F.filter(names, lambda n: n != "")
 
 
-def _statement(lines: Column, n: Column) -> Column:
-    """The line without its comment, with the following lines while a bracket is open."""
-    bare = F.regexp_replace(F.get(lines, n), r"#[^\n]*", "")
-    is_open = F.contains(bare, F.lit("(")) & ~F.contains(bare, F.lit(")"))
-    rest = F.regexp_replace(
-        F.array_join(F.slice(lines, n + 1, F.size(lines)), ""), r"#[^\n]*", ""
-    )
-    return F.when(is_open, F.concat(F.substring_index(rest, ")", 1), F.lit(")"))).otherwise(bare)
+def _until(ends: Column, n: Column) -> Column:
+    """First of the line numbers ``ends`` at or after ``n``."""
+    return F.coalesce(F.array_min(F.filter(ends, lambda m: m >= n)), n)
+
+
+def _join(lines: Column, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(lines, first + 1, last - first + 1), "")
+
 
+# Simple statements end at a semicolon or a line; these lines hold a block instead.
+PY_BLOCK = r"^(?:if|elif|else|for|while|with|try|except|finally|class|def|async|match|case)\b"
 
-def python_imports(lines: Column) -> Column:
-    """Top-level import lines; relative modules keep their dots."""
-    found = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda n: F.get(lines, n).rlike(r"^(import|from)\s"),
+
+def _statement_starts(code: Column) -> Column:
+    """Numbers (from 0) of the lines on which a Python statement starts."""
+    turns = F.transform(
+        code,
+        lambda line: F.struct(
+            (_count(line, "([{") - _count(line, ")]}")).alias("turn"),
+            line.rlike(r"\\\s*$").alias("goes_on"),
+            F.startswith(line, F.lit(INSIDE)).alias("inside"),
+        ),
+    )
+    start = F.struct(
+        F.lit(0).alias("n"), F.lit(0).alias("brackets"), F.lit(False).alias("goes_on"), _none("int").alias("starts")
     )
 
-    def edges(n: Column) -> Column:
-        def parse(plain: Column) -> Column:
-            modules = F.transform(
-                F.split(F.regexp_extract(plain, r"^import\s+([^;\n]*)", 1), ","),
-                lambda m: F.regexp_extract(F.trim(m), r"^([\w.]+)", 1),
+    def step(acc: Column, t: Column) -> Column:
+        continued = t["inside"] | (acc["brackets"] > 0) | acc["goes_on"]
+        return F.struct(
+            (acc["n"] + 1).alias("n"),
+            F.greatest(acc["brackets"] + t["turn"], F.lit(0)).alias("brackets"),
+            t["goes_on"].alias("goes_on"),
+            F.when(continued, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["n"]))).alias("starts"),
+        )
+
+    return F.aggregate(turns, start, step, lambda acc: acc["starts"])
+
+
+def python_imports(lines: Column, rules: OutlineRules) -> Column:
+    """Imports at the top level, several of one line too; relative modules keep their dots."""
+
+    def parse(plain: Column, n: Column) -> Column:
+        modules = F.transform(
+            F.split(F.regexp_extract(plain, r"^import\s+([\s\S]*)", 1), ","),
+            lambda m: F.regexp_extract(m, r"^\s*([\w.]+)", 1),
+        )
+        head = r"^from\s*([\w.\s]*?)\s*\bimport\b"
+        from_module = F.regexp_replace(F.regexp_extract(plain, head, 1), r"\s", "")
+        imported = F.regexp_extract(plain, head + r"\s*([\s\S]*)", 2)
+        return (
+            F.when(
+                plain.rlike(r"^import\s"),
+                F.transform(F.filter(modules, lambda m: m != ""), lambda m: _one(m, F.array().cast("array<string>"), n + 1)),
             )
-            from_module = F.regexp_replace(
-                F.regexp_extract(plain, r"^from\s+([\w.\s]*?)\s*\bimport\b", 1), r"\s", ""
+            .when(plain.rlike(head), F.array(_one(from_module, _local_names(imported), n + 1)))
+            .otherwise(F.array().cast(IMPORT))
+        )
+
+    def found(code: Column) -> Column:
+        def edges(starts: Column) -> Column:
+            def of_line(t: Column) -> Column:
+                last = F.coalesce(F.get(starts, t["k"] + 1), F.size(code)) - 1
+                whole = F.regexp_replace(_join(code, t["first"], last), r"\\\s*[\r\n]+", " ")
+                parts = F.transform(F.split(whole, ";"), lambda x: F.regexp_replace(x, r"^\s+", ""))
+                return F.flatten(F.transform(parts, lambda part: parse(part, t["first"])))
+
+            def may_import(t: Column) -> Column:
+                line = F.get(code, t["first"])
+                return line.rlike(r"^\S") & line.rlike(r"\b(?:import|from)\b") & ~line.rlike(PY_BLOCK)
+
+            tops = F.transform(starts, lambda first, k: F.struct(first.alias("first"), k.alias("k")))
+            return F.flatten(F.transform(F.filter(tops, may_import), of_line))
+
+        return let(_statement_starts(code), edges)
+
+    return F.coalesce(let(_lines_of_code(lines, rules), found), F.array()).cast(IMPORT)
+
+
+IMPORT_START = r"(?:^|;)\s*import\b\s*[^(.\s]"
+ES_IMPORT = (
+    r"\bimport\b\s*(?:type\s+(?!from\b))?([\w$*{}\s,]*?)\s*(?:\bfrom\s*)?"
+    r"(?:'([^'\r\n]*)'|\"([^\"\r\n]*)\")"
+)
+
+
+def es_imports(lines: Column, rules: OutlineRules) -> Column:
+    """ES module imports: default, namespace and named, by local name; several of one line too."""
+
+    def found(code: Column, text: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(code) - 1)
+        strings = F.filter(numbers, lambda n: F.contains(F.get(code, n), F.lit(STRING)))
+        starts = F.filter(numbers, lambda n: F.get(code, n).rlike(IMPORT_START))
+
+        def names(clause: Column) -> Column:
+            bare = F.regexp_replace(clause, r"\*\s+as\s+", "")
+            return _local_names(F.regexp_replace(bare, r"\btype\s+(?=[\w$])", ""))
+
+        def edges(n: Column) -> Column:
+            # The module's name ends the statement: the first string from here on.
+            whole = _join(text, n, _until(strings, n))
+            clause, single, double = (F.regexp_extract_all(whole, F.lit(ES_IMPORT), F.lit(g)) for g in (1, 2, 3))
+            found = F.arrays_zip(clause.alias("clause"), single.alias("single"), double.alias("double"))
+            return F.slice(
+                F.transform(found, lambda x: _one(F.concat(x["single"], x["double"]), names(x["clause"]), n + 1)),
+                F.lit(1),
+                F.regexp_count(F.get(code, n), F.lit(IMPORT_START)),
             )
-            imported = F.regexp_extract(plain, r"^from\s+[\w.\s]*?\bimport\b\s*(\([^)]*\)|[^;\n]*)", 1)
-            return F.when(
-                F.startswith(plain, F.lit("import")),
-                F.transform(
-                    F.filter(modules, lambda m: m != ""),
-                    lambda m: _one(m, F.array().cast("array<string>"), n + 1),
-                ),
-            ).otherwise(F.array(_one(from_module, _local_names(imported), n + 1)))
 
-        return let(_statement(lines, n), parse)
+        return F.when(F.size(code) > 0, F.flatten(F.transform(starts, edges)))
 
-    return F.when(F.size(lines) > 0, F.flatten(F.transform(found, edges)).cast(IMPORT))
+    def body(whole: Column) -> Column:
+        # Comments beside the names go; strings stay, as the modules are read from them.
+        bare = F.regexp_replace(F.regexp_replace(whole, r"/\*[^\r\n]*?\*/", " "), r"(?<=[;,}{\s])//[^\r\n]*", " ")
+        return let(split_lines(blanked(whole, rules)), lambda code: let(split_lines(bare), lambda text: found(code, text)))
 
+    return F.coalesce(let(F.array_join(lines, ""), body), F.array()).cast(IMPORT)
 
-def es_imports(lines: Column) -> Column:
-    """ES module imports: default, namespace and named, by local name."""
-    found = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda n: F.get(lines, n).rlike(r"^import\b\s*[^(.]"),
-    )
 
-    def edge(n: Column) -> Column:
-        def parse(s: Column) -> Column:
-            module = F.regexp_extract(s, r"['\"]([^'\"]*)['\"]", 1)
-            clause = F.regexp_extract(s, r"^import\s+(?:type\s+)?([\s\S]*?)\s*\bfrom\b", 1)
-            named = F.regexp_replace(clause, r"\*\s+as\s+", "")
-            return _one(module, _local_names(named), n + 1)
+def line_imports(lines: Column, rules: OutlineRules) -> Column:
+    """Imports by a pattern for one line, in lines that do not lie in a comment or string."""
 
-        # The module name follows the closing brace: keep the rest of that line.
-        line = F.get(lines, n)
-        is_open = F.contains(line, F.lit("{")) & ~F.contains(line, F.lit("}"))
-        rest = F.array_join(F.slice(lines, n + 1, F.size(lines)), "")
-        whole = F.when(
-            is_open, F.regexp_extract(rest, r"^([^}]*\}[^\n]*)", 1)
-        ).otherwise(line)
-        return let(whole, parse)
+    def found(code: Column) -> Column:
+        edges = F.transform(
+            lines,
+            lambda line, n: _one(
+                F.when(F.get(code, n).rlike(r"^\s*\w"), F.regexp_extract(line, rules.imports, 1)).otherwise(F.lit("")),
+                F.array().cast("array<string>"),
+                n + 1,
+            ),
+        )
+        return F.filter(edges, lambda e: e["module"] != "")
 
-    return F.when(F.size(lines) > 0, F.transform(found, edge).cast(IMPORT))
+    return F.coalesce(let(_lines_of_code(lines, rules), found), F.array()).cast(IMPORT)
 
 
 def imports_of(text: Column, language: Column, registry: LanguageRegistry = REGISTRY) -> Column:
-    """Array of (module, names, line) of one file; null for other languages."""
-    return let(
-        split_lines(text),
-        lambda ls: F.when(
-            language.isin(*registry.with_outline("indent")), python_imports(ls)
-        ).when(language.isin(*registry.with_outline("braces")), es_imports(ls)),
-    )
+    """Array of (module, names, line) of one file; null for languages without a rule for imports."""
+    kinds = {"python": python_imports, "es": es_imports}
+
+    def body(ls: Column) -> Column:
+        found = F.lit(None).cast(IMPORT)
+        for rules, names in registry.outlines():
+            if rules.imports:
+                found = F.when(language.isin(*names), kinds.get(rules.imports, line_imports)(ls, rules)).otherwise(found)
+        return found
+
+    return let(split_lines(text), body)
 
 
 def import_edges(

@@ -24,18 +24,35 @@ SHAPES = {
     0: "",
 }
 
+# The same with classes in classes, five deep, and methods on several levels; by i mod 13.
+DEEP_SHAPES = {
+    1: "class A{i}:",
+    2: "    def a{i}(self): return {i}",
+    3: "    class B{i}:",
+    4: "        class C{i}:",
+    5: "            def c{i}(self):",
+    6: "                return {i}",
+    7: "            class D{i}:",
+    8: "                class E{i}:",
+    9: "                    def e{i}(self):",
+    10: "                        return {i}",
+    11: "                    def f{i}(self):",
+    12: "                        return {i}",
+    0: "",
+}
+
 
-def code_files(spark, sf):
+def code_files(spark, sf, shapes=SHAPES):
     def shape(line, n):
         i = n + 1
         text = F.lit("")
-        for rest, pattern in SHAPES.items():
+        for rest, pattern in shapes.items():
             made = F.replace(
                 F.replace(F.lit(pattern), F.lit("{i}"), i.cast("string")),
                 F.lit("{r}"),
                 (i % 5).cast("string"),
             )
-            text = F.when(i % 11 == rest, made).otherwise(text)
+            text = F.when(i % len(shapes) == rest, made).otherwise(text)
         return F.concat(text, F.lit("  # "), line)
 
     return t.texts(spark, sf).select(
@@ -47,21 +64,22 @@ def code_files(spark, sf):
     )
 
 
-def _sql_shape() -> str:
+def _sql_shape(shapes) -> str:
     cases = " ".join(
         f"WHEN {rest} THEN replace(replace('{pattern}', '{{i}}', i::VARCHAR), '{{r}}', (i % 5)::VARCHAR)"
-        for rest, pattern in SHAPES.items()
+        for rest, pattern in shapes.items()
     )
-    return f"CASE i % 11 {cases} END"
+    return f"CASE i % {len(shapes)} {cases} END"
 
 
-SQL_CODE = f"""
+def sql_code(shapes=SHAPES) -> str:
+    return f"""
 doc_lines AS (
   SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS l,
          generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents),
 code AS (
-  SELECT file_id, string_agg({_sql_shape()} || '  # ' || l, chr(10) ORDER BY i) AS text
+  SELECT file_id, string_agg({_sql_shape(shapes)} || '  # ' || l, chr(10) ORDER BY i) AS text
   FROM doc_lines GROUP BY file_id),
 {sql_lines('code')},
 code_lines AS (
@@ -91,6 +109,9 @@ symbols AS (
   FROM ended JOIN outer_ones USING (file_id, line_no) WHERE NOT inside_function)"""
 
 
+SQL_CODE = sql_code()
+
+
 def _symbols(spark, sf):
     files = outline.symbol_outline(code_files(spark, sf))
     return files.select("file_id", F.inline("symbols"))
@@ -255,38 +276,52 @@ def format_blame(spark, sf):
 MAX, MIN, TARGET = 60, 10, 40
 
 
-def sql_code_chunks(target: int) -> str:
-    """Chunks of the made-up code: classes hold methods, and nothing nests deeper."""
-    return f"""WITH RECURSIVE {SQL_CODE},
-outermost AS (SELECT file_id, s, e, kind, name FROM symbols WHERE depth = 0),
-{SQL_GAPS},
-sized AS (
-  SELECT f.file_id, f.s, f.e, f.kind, sum(l.tok) AS tok
-  FROM filled f JOIN lines l ON l.file_id = f.file_id AND l.line_no BETWEEN f.s AND f.e GROUP BY ALL),
-kids AS (
+def _sql_level(level: int, deepest: int) -> str:
+    """pieces{level} from the pieces of the level above: what is too long is cut at its symbols of this depth."""
+    above, d = f"pieces{level - 1}", level
+    leaf = "" if level == deepest else f"""
+  UNION ALL SELECT z.file_id, s, e, kind, name FROM sized{d} z WHERE tok > {MAX} AND z.kind <> 'module'
+    AND NOT EXISTS (SELECT 1 FROM kids{d} k WHERE k.file_id = z.file_id AND k.g = z.s)"""
+    windowed = "z.kind = 'module'" if level < deepest else (
+        f"(z.kind = 'module' OR NOT EXISTS (SELECT 1 FROM kids{d} k WHERE k.file_id = z.file_id AND k.g = z.s))"
+    )
+    return f"""sized{d} AS (
+  SELECT f.file_id, f.s, f.e, f.kind, f.name, sum(l.tok) AS tok
+  FROM {above} f JOIN lines l ON l.file_id = f.file_id AND l.line_no BETWEEN f.s AND f.e GROUP BY ALL),
+kids{d} AS (
   SELECT z.file_id, z.s AS g, z.e AS ge, c.s AS cs, row_number() OVER w AS k, lead(c.s) OVER w AS following
-  FROM sized z JOIN symbols c ON c.file_id = z.file_id AND c.depth = 1 AND c.s >= z.s AND c.e <= z.e
+  FROM sized{d} z JOIN symbols c ON c.file_id = z.file_id AND c.depth = {level} AND c.s >= z.s AND c.e <= z.e
   WHERE z.tok > {MAX} AND z.kind <> 'module' WINDOW w AS (PARTITION BY z.file_id, z.s ORDER BY c.s)),
-kid_spans AS (
-  SELECT file_id, g, k, CASE WHEN k = 1 THEN g ELSE cs END AS s, coalesce(following - 1, ge) AS e FROM kids),
-units AS (
+kid_spans{d} AS (
+  SELECT file_id, g, k, CASE WHEN k = 1 THEN g ELSE cs END AS s, coalesce(following - 1, ge) AS e FROM kids{d}),
+units{d} AS (
   SELECT u.file_id, g, k, u.s, u.e, sum(l.tok) AS tok
-  FROM kid_spans u JOIN lines l ON l.file_id = u.file_id AND l.line_no BETWEEN u.s AND u.e GROUP BY ALL),
-{sql_greedy('units', 'packed', MAX, ['file_id', 'g'])},
-long AS (
-  SELECT file_id, s, e FROM sized z WHERE tok > {MAX}
-    AND NOT EXISTS (SELECT 1 FROM kids WHERE kids.file_id = z.file_id AND kids.g = z.s)
-  UNION ALL SELECT file_id, s, e FROM packed WHERE tok > {MAX}),
-long_lines AS (
-  SELECT p.file_id, p.s AS g, row_number() OVER (PARTITION BY p.file_id, p.s ORDER BY l.line_no) AS k,
+  FROM kid_spans{d} u JOIN lines l ON l.file_id = u.file_id AND l.line_no BETWEEN u.s AND u.e GROUP BY ALL),
+{sql_greedy(f'units{d}', f'packed{d}', MAX, ['file_id', 'g'])},
+long_lines{d} AS (
+  SELECT z.file_id, z.s AS g, row_number() OVER (PARTITION BY z.file_id, z.s ORDER BY l.line_no) AS k,
          l.line_no AS s, l.line_no AS e, l.tok
-  FROM long p JOIN lines l ON l.file_id = p.file_id AND l.line_no BETWEEN p.s AND p.e),
-{sql_greedy('long_lines', 'windows', MAX, ['file_id', 'g'])},
-{sql_tail_fix('windows', 'fixed', MIN, ['file_id', 'g'])},
-pieces AS (
-  SELECT file_id, s, e, tok FROM sized WHERE tok <= {MAX}
-  UNION ALL SELECT file_id, s, e, tok FROM packed WHERE tok <= {MAX}
-  UNION ALL SELECT file_id, s, e, tok FROM fixed),
+  FROM sized{d} z JOIN lines l ON l.file_id = z.file_id AND l.line_no BETWEEN z.s AND z.e
+  WHERE z.tok > {MAX} AND {windowed}),
+{sql_greedy(f'long_lines{d}', f'windows{d}', MAX, ['file_id', 'g'])},
+{sql_tail_fix(f'windows{d}', f'fixed{d}', MIN, ['file_id', 'g'])},
+pieces{d} AS (
+  SELECT file_id, s, e, kind, name FROM sized{d} WHERE tok <= {MAX}
+  UNION ALL SELECT p.file_id, p.s, p.e, z.kind, z.name FROM packed{d} p JOIN sized{d} z ON z.file_id = p.file_id AND z.s = p.g
+  UNION ALL SELECT x.file_id, x.s, x.e, z.kind, z.name FROM fixed{d} x JOIN sized{d} z
+    ON z.file_id = x.file_id AND x.s BETWEEN z.s AND z.e{leaf}),
+"""
+
+
+def sql_code_chunks(target: int, shapes=SHAPES, deepest: int = 2) -> str:
+    """Chunks of the made-up code; ``deepest`` is one level below its symbols, where lines are cut."""
+    return f"""WITH RECURSIVE {sql_code(shapes)},
+outermost AS (SELECT file_id, s, e, kind, name FROM symbols WHERE depth = 0),
+{SQL_GAPS},
+pieces0 AS (SELECT file_id, s, e, kind, name FROM filled),
+{"".join(_sql_level(d, deepest) for d in range(1, deepest + 1))}pieces AS (
+  SELECT p.file_id, p.s, p.e, sum(l.tok) AS tok
+  FROM pieces{deepest} p JOIN lines l ON l.file_id = p.file_id AND l.line_no BETWEEN p.s AND p.e GROUP BY ALL),
 named AS (
   SELECT p.*, f.kind, f.name, row_number() OVER (PARTITION BY p.file_id ORDER BY p.s) AS k
   FROM pieces p JOIN filled f ON f.file_id = p.file_id AND p.s BETWEEN f.s AND f.e),
@@ -309,8 +344,8 @@ code_chunks AS (
   JOIN lines l ON l.file_id = w.file_id AND l.line_no BETWEEN w.s AND w.e GROUP BY ALL)"""
 
 
-def _code_rows(spark, sf, target, *columns):
-    files = outline.symbol_outline(code_files(spark, sf))
+def _code_rows(spark, sf, target, *columns, shapes=SHAPES):
+    files = outline.symbol_outline(code_files(spark, sf, shapes))
     rows = chunking.chunk_code(files, MAX, MIN, target)
     return rows.select(
         "file_id",
@@ -339,6 +374,27 @@ def split_oversize(spark, sf):
     return _code_rows(spark, sf, 0, "symbol_kind", "symbol_name")
 
 
+@query(
+    "c9_split_oversize_deep",
+    sql_code_chunks(0, DEEP_SHAPES, 6)
+    + " SELECT file_id, start_line, end_line, content_tokens, symbol_kind, symbol_name FROM code_chunks",
+)
+def split_oversize_deep(spark, sf):
+    """Classes five deep: cut at the symbols of every level that its piece still needs."""
+    return _code_rows(spark, sf, 0, "symbol_kind", "symbol_name", shapes=DEEP_SHAPES)
+
+
+@query(
+    "c13_chunk_code_deep",
+    sql_code_chunks(TARGET, DEEP_SHAPES, 6)
+    + " SELECT file_id, start_line, end_line, content_tokens, symbol_kind, symbol_name, source_stage, text_md5 FROM code_chunks",
+)
+def chunk_code_deep(spark, sf):
+    return _code_rows(
+        spark, sf, TARGET, "symbol_kind", "symbol_name", "source_stage", F.md5("text").alias("text_md5"), shapes=DEEP_SHAPES
+    )
+
+
 @query(
     "c14_assemble_chunks",
     f"""WITH {SQL_CODE},{SQL_IMPORTS},{SQL_BLAME},
