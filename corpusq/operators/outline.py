@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.spans import split_lines
 from corpusq.functions.text import let
-from corpusq.operators.filters import conjunction
 from corpusq.plugins import REGISTRY, LanguageRegistry, OutlineRules
 
 SYMBOL = "struct<start_line:int,end_line:int,kind:string,name:string,depth:int>"
@@ -572,44 +571,64 @@ def parse_blame(dumps: DataFrame, text: str = "porcelain") -> DataFrame:
     )
 
 
+BLAME = ["line_no", "author", "commit_sha", "committed_at"]
+
+
+def lower_bound(numbers: Column, value: Column) -> Column:
+    """How many of the ascending ``numbers`` are below ``value``: a binary search inside the row."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(numbers).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        below = (acc["low"] < acc["high"]) & (F.get(numbers, middle) < value)
+        return F.struct(
+            F.when(below, middle + 1).otherwise(acc["low"]).alias("low"),
+            F.when(below | (acc["low"] >= acc["high"]), acc["high"]).otherwise(middle).alias("high"),
+        )
+
+    return F.aggregate(steps, start, halve, lambda acc: acc["low"])
+
+
+def _spans_with_blame(spans: DataFrame, blame_lines: DataFrame) -> DataFrame:
+    """One row per file: its spans, each with the blame entries of its lines.
+
+    Spans and lines of a file meet once, as two arrays of one row; each span then finds its
+    stretch of the sorted lines by two binary searches. Files without blame keep their spans.
+    """
+    lines = blame_lines.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(*BLAME))).alias("lines"))
+    lines = lines.withColumn("numbers", F.transform("lines", lambda e: e["line_no"]))
+    grouped = spans.groupBy("file_id").agg(F.collect_list(F.struct(*spans.columns)).alias("spans"))
+
+    def with_entries(s: Column) -> Column:
+        numbers = F.coalesce("numbers", F.array().cast("array<int>"))
+        found = let(
+            F.struct(
+                lower_bound(numbers, s["start_line"]).alias("first"), lower_bound(numbers, s["end_line"] + 1).alias("stop")
+            ),
+            lambda r: F.slice("lines", r["first"] + 1, F.greatest(r["stop"] - r["first"], F.lit(0))),
+        )
+        known = F.col("lines").isNotNull() & s["start_line"].isNotNull() & s["end_line"].isNotNull()
+        return F.struct(*[s[c].alias(c) for c in spans.columns], F.when(known, found).alias("entries"))
+
+    return grouped.join(lines, "file_id", "left").select(F.transform("spans", with_entries).alias("spans"))
+
+
 def blame_for_spans(spans: DataFrame, blame_lines: DataFrame) -> DataFrame:
-    """Blame rows whose line lies in the span: hash join on file, range checked inside."""
-    b = blame_lines.select(
-        F.col("file_id").alias("blame_file"), "line_no", "author", "commit_sha", "committed_at"
-    )
-    inside = (
-        (F.col("file_id") == F.col("blame_file"))
-        & (F.col("line_no") >= F.col("start_line"))
-        & (F.col("line_no") <= F.col("end_line"))
-    )
-    return spans.join(b, inside).drop("blame_file")
+    """One row per span and blame entry whose line lies in it."""
+    found = _spans_with_blame(spans, blame_lines).select(F.inline("spans"))
+    return found.select(*spans.columns, F.inline("entries"))
 
 
 def symbol_metadata(symbols: DataFrame, edges: DataFrame, blame_lines: DataFrame) -> DataFrame:
-    """Every symbol with its file's import modules and its own range's blame entries."""
-    keys = ["file_id", "start_line", "end_line", "kind", "name"]
-    ranged = (
-        blame_for_spans(symbols.select(*keys), blame_lines)
-        .groupBy(*keys)
-        .agg(
-            F.transform(
-                F.sort_array(
-                    F.collect_list(F.struct("line_no", "author", "commit_sha", "committed_at"))
-                ),
-                lambda e: F.struct(
-                    e["author"].alias("author"),
-                    e["commit_sha"].alias("commit_sha"),
-                    e["committed_at"].alias("committed_at"),
-                ),
-            ).alias("blame")
-        )
-    )
-    renamed = ranged.select(*[F.col(k).alias(f"r_{k}") for k in keys], "blame")
-    matched = conjunction([F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys])
-    return (
-        symbols.join(renamed, matched, "left")
-        .drop(*[f"r_{k}" for k in keys])
-        .join(file_imports(edges), "file_id", "left")
+    """Every symbol with its file's import modules and its own range's blame entries.
+
+    A symbol without any has null in ``blame``.
+    """
+    found = _spans_with_blame(symbols, blame_lines).select(F.inline("spans"))
+    entries = F.transform("entries", lambda e: F.struct(*[e[c].alias(c) for c in BLAME[1:]]))
+    return found.select(*symbols.columns, F.when(F.size("entries") > 0, entries).alias("blame")).join(
+        file_imports(edges), "file_id", "left"
     )
 
 

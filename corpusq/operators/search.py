@@ -290,8 +290,8 @@ class CellIndex:
     """Approximate dense search: vectors are put into k-means cells, a query looks
     into the ``nprobe`` cells whose centres are nearest.
 
-    Write the assigned vectors partitioned by ``cell`` and a search reads only the
-    partitions it probes. Inside a cell the search is exact.
+    For assigned vectors in memory or on the way: every cell is read, and scored only for the
+    queries that probe it. ``cells.StoredCells`` keeps them on disk and reads what is probed.
     """
 
     def __init__(self, centres: list[list[float]]) -> None:

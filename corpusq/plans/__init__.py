@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corpusq.plans.registry import ORACLE, QUERIES, Query
 
-MODULES = ["retrieval", "chunks", "symbols", "outlines", "conversations", "indexing", "runs", "streams"]
+MODULES = ["retrieval", "cells", "chunks", "symbols", "outlines", "conversations", "indexing", "runs", "streams"]
 
 
 def _load() -> None:

@@ -452,15 +452,3 @@ def quality(spark, sf):
     results = search.dense_topk(q.where("dense IS NOT NULL"), v, 10)
     scored = metrics.retrieval_metrics(results, expected, 10)
     return scored.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")])
-
-
-@query("r10_search_approx")
-def approximate(spark, sf):
-    """Approximate hits, each marked by whether exact search has it too."""
-    q, v = t.search_queries(spark, sf).where("dense IS NOT NULL"), t.vectors(spark, sf)
-    index = search.CellIndex.train(v, 8)
-    near = index.search(q, index.assign(v), 10, nprobe=4)
-    exact = search.dense_topk(q, v, 10).select("query_id", "chunk_id", F.lit(True).alias("exact"))
-    return near.join(exact, ["query_id", "chunk_id"], "left").select(
-        "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", F.coalesce("exact", F.lit(False)).alias("exact")
-    )

@@ -1,6 +1,7 @@
 """Symbols and imports of code whose headers, strings and comments span lines; rules of a user's language."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusq.operators import outline
 from corpusq.plans.outlines import GO
@@ -178,3 +179,18 @@ def test_a_language_with_own_rules(spark):
     assert symbols == [(3, 4, "class", "T", 0), (5, 11, "function", "m", 0)] and edges == [(1, "far", ())]
     with pytest.raises(LanguageError):
         Language("x", (".x",), outline="columns")
+
+
+def test_blame_of_spans_is_found_by_binary_search(spark):
+    lines = [("f", n, f"a{n}", f"c{n}", n) for n in (2, 3, 5, 8, 13, 21)] + [("g", 1, "x", "y", 1)]
+    blame = spark.createDataFrame(lines, "file_id string, line_no int, author string, commit_sha string, committed_at int")
+    blame = blame.withColumn("committed_at", F.timestamp_seconds("committed_at"))
+    spans = [("f", s, e) for s in range(0, 24) for e in range(s - 1, 24)] + [("h", 1, 9), ("f", 2, 5), ("f", None, 3)]
+    frame = spark.createDataFrame(spans, "file_id string, start_line int, end_line int")
+    rows = outline.blame_for_spans(frame, blame)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "line_no" not in plan.split("Join", 1)[1].split("\n", 1)[0]
+    got = sorted((r.file_id, r.start_line, r.end_line, r.line_no, r.author) for r in rows.collect())
+    assert got == sorted(
+        (f, s, e, n, a) for f, s, e in spans if s is not None for g, n, a, _, _ in lines if f == g and s <= n <= e
+    )

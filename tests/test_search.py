@@ -219,3 +219,41 @@ def test_plans(spark, shop):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     for native in (search.rrf([ranking(spark, ["a"]), ranking(spark, ["b"])]),):
         assert "Python" not in plan_of(native) and "Arrow" not in plan_of(native)
+
+
+def test_stored_cells_prune_and_know_when_they_are_exact(corpus, queries, spark, tmp_path):
+    from corpusq.operators.cells import StoredCells
+
+    _, vectors = corpus
+    _, q = queries
+    path = str(tmp_path / "cells")
+    StoredCells.build(vectors, path, 6)
+    index = StoredCells.open(spark, path)
+    plan = index.table([1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan and "IN (1,2)" in plan
+    want = placed(search.dense_topk(q, vectors, 5))
+    assert placed(index.search(q, 5, nprobe=1, exact=True).drop("is_exact")) == want
+    assert placed(index.search(q, 5, nprobe=6).drop("is_exact")) == want
+    assert all(r.is_exact for r in index.search(q, 5, nprobe=6).collect())
+    right = {}
+    for i, c, *_ in want:
+        right.setdefault(i, set()).add(c)
+    got = {}
+    for r in index.search(q, 5, nprobe=2).collect():
+        got.setdefault((r.query_id, r.is_exact), set()).add(r.chunk_id)
+    assert all(found == right[i] for (i, exact), found in got.items() if exact)
+
+
+def test_stored_cells_of_separate_groups_answer_exactly_from_one(spark, tmp_path):
+    from corpusq.operators.cells import StoredCells
+
+    rows = [(g * 100 + i, "w", [float(d == g) + 0.01 * ((i + d) % 3) for d in range(4)]) for g in range(4) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, workspace_id string, dense array<float>")
+    index = StoredCells.build(vectors, str(tmp_path / "cells"), 4)
+    q = vectors.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "workspace_id", "dense")
+    hits = index.search(q, 3, nprobe=1)
+    assert hits.count() == 12 and all(r.is_exact for r in hits.collect())
+    none = StoredCells.build(vectors.where("false"), str(tmp_path / "none"), 4)
+    assert none.search(q, 3).count() == 0
+
+
