@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusq.functions.text import let, term_overlap, terms
-from corpusq.session import cut_lineage, small_side
+from corpusq.session import MAX_BROADCAST_BYTES, broadcast_if_small, cut_lineage, measured_bytes, small_side
+from corpusq.sources.published import PublishedTables
 
 # Bounds of one in-memory block. Queries beyond the bound are never broadcast.
 MAX_BROADCAST_NUMBERS = 8_000_000  # numbers over all query vectors (64 MB as doubles)
@@ -405,6 +406,31 @@ def hydrate(
     )
 
 
+# Chunks as they are looked up: by id, with the path of their file in the row.
+STORED_CHUNKS = (
+    "chunk_id {id}, file_path string, start_line int, end_line int, symbol_name string, content string, is_active boolean"
+)
+
+
+def open_chunks(spark, root: str, id_type: str = "string", buckets: int = 256) -> PublishedTables:
+    """Chunk rows below ``root`` in buckets by chunk id."""
+    return PublishedTables(spark, root, {"chunks": STORED_CHUNKS.format(id=id_type)}, {"chunks": "chunk_id"}, buckets)
+
+
+def hydrate_stored(fused: DataFrame, chunks: PublishedTables) -> DataFrame:
+    """As ``hydrate``, from chunks in buckets: only buckets that hold a hit are listed and read.
+
+    The hits are written once, as both their buckets and the join need them; they are
+    broadcast if they measure less than 64 MB, else both sides shuffle.
+    """
+    hits = cut_lineage(fused.select("query_id", "chunk_id", "score", "rank"))
+    text = chunks.read("chunks", buckets=chunks.buckets_of(hits, "chunk_id")).where("is_active")
+    return text.join(broadcast_if_small(hits), "chunk_id").select(
+        "query_id", "chunk_id", F.coalesce("file_path", F.lit("")).alias("file_path"), "start_line", "end_line", "symbol_name",
+        "score", F.lit("fused").alias("source"), F.col("content").alias("text"), "rank",
+    )
+
+
 # --- reranking -------------------------------------------------------------------
 
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -474,7 +500,7 @@ def rerank(
 # --- compositions ----------------------------------------------------------------
 
 
-def _fused(queries: DataFrame, vectors: DataFrame, k1: int, k2: int) -> DataFrame:
+def fused(queries: DataFrame, vectors: DataFrame, k1: int, k2: int) -> DataFrame:
     dense = dense_topk(queries.where(F.col("dense").isNotNull()), vectors, k1)
     sparse = sparse_topk(queries.where(F.col("sparse").isNotNull()), vectors, k1)
     return rrf([dense, sparse]).where(F.col("rank") <= k2)
@@ -493,15 +519,35 @@ def fused_hits(
     k2: int = 50,
 ) -> DataFrame:
     """Both searches, fused, cut to k2, hydrated, and only then filtered by path prefix."""
-    hits = hydrate(_fused(queries, vectors, k1, k2), chunks, files, max_hits=queries.count() * k2)
-    if "path_prefix" in queries.columns:
-        prefix = queries.select("query_id", "path_prefix")
-        hits = (
-            hits.join(prefix, "query_id")
-            .where(_below(F.col("path_prefix"), F.col("file_path")))
-            .drop("path_prefix")
-        )
-    return hits
+    return _below_prefix(queries, hydrate(fused(queries, vectors, k1, k2), chunks, files, max_hits=queries.count() * k2))
+
+
+def _below_prefix(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    if "path_prefix" not in queries.columns:
+        return hits
+    prefix = queries.select("query_id", "path_prefix")
+    return (
+        hits.join(prefix, "query_id")
+        .where(_below(F.col("path_prefix"), F.col("file_path")))
+        .drop("path_prefix")
+    )
+
+
+def hybrid_search_stored(
+    queries: DataFrame,
+    vectors: DataFrame,
+    chunks: PublishedTables,
+    n: int = 10,
+    k1: int = 40,
+    k2: int = 50,
+    scorer: Scorer | None = None,
+    fail_open: bool = True,
+) -> DataFrame:
+    """``hybrid_search`` over chunks in buckets: only buckets with a hit are read."""
+    if not 1 <= n <= 50:
+        raise ValueError("n must be between 1 and 50")
+    hits = _below_prefix(queries, hydrate_stored(fused(queries, vectors, k1, k2), chunks))
+    return rerank(hits, queries, scorer, fail_open).where(F.col("rank") <= n)
 
 
 # Queries whose hits on one chunk are scored together; bounds the size of a group.
@@ -523,7 +569,7 @@ def _scored_hits(
     asked = queries.select("query_id", hash_terms.alias("wanted"), prefix.alias("prefix"))
     salt = F.pmod(F.xxhash64("query_id"), F.lit(math.ceil(max(count, 1) / QUERIES_PER_GROUP)))
     grouped = (
-        _fused(queries, vectors, k1, k2)
+        fused(queries, vectors, k1, k2)
         .join(asked, "query_id")
         .groupBy("chunk_id", salt.alias("salt"))
         .agg(F.collect_list(F.struct("query_id", "rank", "wanted", "prefix")).alias("hits"))
@@ -531,7 +577,8 @@ def _scored_hits(
     )
     if "is_active" in chunks.columns:
         chunks = chunks.where("is_active")
-    small = count * k2 <= MAX_BROADCAST_HITS // 10
+    # A query's terms go out with each of its at most k2 hits: bounded in bytes before any search.
+    small = k2 * measured_bytes(asked) <= MAX_BROADCAST_BYTES
     paths = files.select("file_id", F.col("path").alias("file_path"))
     rows = (
         chunks.select("chunk_id", "file_id", "start_line", "end_line", "symbol_name", "content")

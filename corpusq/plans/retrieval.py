@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusq.functions.text import lexical_weights, rerank_text, sparse_vector
 from corpusq.operators import filters, search
 from corpusq.plans import tables as t
 from corpusq.plans.registry import query
+from corpusq.session import checkpoint_root
 
 
 def _round6(df):
@@ -84,6 +87,40 @@ def hydrate(spark, sf):
     )
 
 
+def _stored_chunks(spark, sf):
+    """All chunks, published in buckets by their id."""
+    stored = search.open_chunks(spark, f"{checkpoint_root(spark)}/chunks-{uuid.uuid4().hex}", "long", 32)
+    paths = t.files(spark, sf).select("file_id", F.col("path").alias("file_path"))
+    rows = t.chunks(spark, sf).join(paths, "file_id").withColumn("is_active", F.lit(True))
+    stored.publish(stored.snapshot(), "first", {"chunks": stored.write("chunks", rows, "first")})
+    return stored
+
+
+@query(
+    "r4_hydrate_stored",
+    f"""WITH {t.SQL_HYBRID},{t.SQL_HITS}
+SELECT query_id, chunk_id, file_path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line,
+       round(score, 6) AS score, 'fused' AS source, md5(text) AS text_md5, rank FROM hits""",
+)
+def hydrate_stored(spark, sf):
+    q, v, _, _ = _parts(spark, sf)
+    hits = search.hydrate_stored(search.fused(q, v, 40, 50), _stored_chunks(spark, sf))
+    return _round6(hits).select(
+        "query_id", "chunk_id", "file_path", *[F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")],
+        "score", "source", F.md5("text").alias("text_md5"), "rank",
+    )
+
+
+@query(
+    "r6_hybrid_search_stored",
+    f"""WITH {t.SQL_HYBRID},{t.SQL_HITS},{t.SQL_RERANKED}
+SELECT query_id, chunk_id, file_path, score, 'reranked' AS source, rank FROM reranked WHERE rank <= 10""",
+)
+def hybrid_stored(spark, sf):
+    q, v, _, _ = _parts(spark, sf)
+    return _round6(search.hybrid_search_stored(q, v, _stored_chunks(spark, sf))).select(*SEARCH_COLUMNS)
+
+
 SEARCH_COLUMNS = ["query_id", "chunk_id", "file_path", "score", "source", "rank"]
 
 

@@ -79,3 +79,34 @@ def small_side(df, max_rows: int | None):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if max_rows is not None and max_rows <= MAX_BROADCAST_KEYS else df
+
+
+# Bytes of rows that may be sent to every executor.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def measured_bytes(df) -> int:
+    """Size of the rows by one aggregate: eight bytes per fixed field, strings and arrays by their length."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    parts = [F.lit(16)]
+    for f in df.schema.fields:
+        column = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            parts.append(F.coalesce(F.octet_length(column), F.lit(0)) + 8)
+        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            parts.append(F.length(F.to_json(F.struct(column))))
+        else:
+            parts.append(F.lit(8))
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    return df.agg(F.sum(total.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df, max_bytes: int = MAX_BROADCAST_BYTES):
+    """Broadcast a side whose size in bytes has been measured; beyond the bound Spark shuffles."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df

@@ -257,3 +257,16 @@ def test_stored_cells_of_separate_groups_answer_exactly_from_one(spark, tmp_path
     assert none.search(q, 3).count() == 0
 
 
+
+def test_hydration_reads_only_buckets_with_a_hit(spark, shop, tmp_path):
+    _, _, chunks, files = shop
+    stored = search.open_chunks(spark, str(tmp_path / "chunks"), "long", 16)
+    rows = chunks.join(files.select("file_id", F.col("path").alias("file_path")), "file_id", "left")
+    rows = rows.withColumn("is_active", F.lit(True))
+    stored.publish(stored.snapshot(), "a", {"chunks": stored.write("chunks", rows, "a")})
+    fused = spark.createDataFrame([("q", 1, 0.5, 1), ("q", 4, 0.4, 2)], "query_id string, chunk_id long, score double, rank int")
+    got = search.hydrate_stored(fused, stored)
+    want = search.hydrate(fused, chunks, files)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    hit = stored.buckets_of(fused, "chunk_id")
+    assert got.inputFiles() and all(any(f"bucket={b}/" in f for b in hit) for f in got.inputFiles())
