@@ -463,23 +463,31 @@ def rerank(
             scored.withColumn("source", F.lit("reranked")).drop("query_text")
         )
 
+    def call(queries: list[str], texts: list[str]) -> list[tuple]:
+        values = [float(v) for v in scorer(queries, texts)]
+        if len(values) != len(queries):
+            raise ValueError(f"{len(values)} scores for {len(queries)} pairs")
+        return [(v, None) for v in values]
+
     @F.pandas_udf("struct<value:double,error:string>")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for query, text in batches:
-            values: list = []
-            errors: list = []
+            rows: list[tuple] = []
             for low in range(0, len(query), batch_size):
                 q = query.iloc[low : low + batch_size].tolist()
                 t = text.iloc[low : low + batch_size].tolist()
                 try:
-                    values += [float(v) for v in scorer(q, t)]
-                    errors += [None] * len(q)
-                except Exception as exc:
+                    rows += call(q, t)
+                except Exception:
                     if not fail_open:
                         raise
-                    values += [None] * len(q)
-                    errors += [str(exc) or type(exc).__name__] * len(q)
-            yield pd.DataFrame({"value": values, "error": errors})
+                    # A batch holds pairs of several queries: only those that fail alone have failed.
+                    for one, other in zip(q, t, strict=True):
+                        try:
+                            rows += call([one], [other])
+                        except Exception as exc:
+                            rows.append((None, str(exc) or type(exc).__name__))
+            yield pd.DataFrame(rows, columns=["value", "error"])
 
     cut = F.coalesce("text", F.lit(""))
     if max_length is not None:

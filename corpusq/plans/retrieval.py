@@ -134,6 +134,28 @@ def rerank(spark, sf):
     return _round6(search.rerank(search.fused_hits(q, v, c, f), q)).select(*SEARCH_COLUMNS)
 
 
+@query(
+    "u2_scorer_fails_open",
+    f"""WITH {t.SQL_HYBRID},{t.SQL_HITS},
+judged AS (
+  SELECT h.query_id, chunk_id, h.rank AS place, round(score, 6) AS fused, length(query_text) % 2 = 1 AS refused, (length(text) % 97) / 97 AS told
+  FROM hits h JOIN queries q USING (query_id))
+SELECT query_id, chunk_id, CASE WHEN refused THEN fused ELSE round(told, 6) END AS score,
+       CASE WHEN refused THEN 'fused' ELSE 'reranked' END AS source,
+       row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN refused THEN 0 ELSE -told END, place) AS rank FROM judged""",
+)
+def scorer_fails_open(spark, sf):
+    """A scorer of the caller's that refuses every query of odd length: those keep their fused order."""
+
+    def scorer(queries, texts):
+        if any(len(q) % 2 for q in queries):
+            raise ValueError("refused")
+        return [(len(x) % 97) / 97 for x in texts]
+
+    q, v, c, f = _parts(spark, sf)
+    return _round6(search.rerank(search.fused_hits(q, v, c, f), q, scorer)).select("query_id", "chunk_id", "score", "source", "rank")
+
+
 @query(
     "r6_hybrid_search",
     f"""WITH {t.SQL_HYBRID},{t.SQL_HITS},{t.SQL_RERANKED}

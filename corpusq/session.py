@@ -25,9 +25,7 @@ def build_session(app_name: str = "corpusq", master: str | None = None, **conf:
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         # Stack capture per column call doubles the time to build large expressions.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
-        "spark.sql.streaming.stateStore.providerClass": (
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -50,6 +48,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State with timers needs this store; a session that names another kind of RocksDB keeps it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(key, ""):
+        spark.conf.set(key, ROCKSDB)
+
+
 def cut_lineage(df):
     """Reliable checkpoint of ``df`` in the shared folder (survives executor loss)."""
     spark = df.sparkSession

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusq.functions.text import let
 from corpusq.operators.running import next_value
+from corpusq.session import use_rocksdb
 from corpusq.sources.tables import parse_progress
 
 
@@ -75,46 +77,71 @@ def idle_timeouts(
 def idle_timeouts_stream(
     events: DataFrame, key: str, ts: str, seconds: int = 30, *, delay: str
 ) -> DataFrame:
-    """The same on a stream, driven by event time. State: last event, and closed.
-
-    ``delay`` is how late an event may come (an interval such as "2 hours"). Spark leaves out
-    rows behind that watermark and counts them in the progress of the query as
-    numRowsDroppedByWatermark; choose it from the source's own delays.
+    """The same on a stream, in event time, whatever order the events arrive in.
+
+    A gap of more than ``seconds`` cannot lie inside a bucket of that length, so events are first
+    reduced to their first and last time per key and bucket, combined before the shuffle. Once
+    the watermark has passed a bucket it goes to the state of its key: the last time seen, and
+    whether the stream is closed. A key with most of the events sends one row per bucket.
+
+    A stream has timed out when the watermark has passed the bucket in which its next event
+    would have been due: silence to the end of the input counts only up to there. ``delay`` is
+    how late an event may come (an interval such as "2 hours"). Spark leaves out rows behind
+    that watermark and counts them in the progress of the query as numRowsDroppedByWatermark;
+    choose it from the source's own delays.
     """
     out = T.StructType(
         [T.StructField(key, events.schema[key].dataType), T.StructField("_at", T.LongType())]
     )
-    width = seconds * 1_000_000
+    width, name = seconds * 1_000_000, key
 
-    def row(k, t: int) -> pd.DataFrame:
-        return pd.DataFrame({key: [k[0]], "_at": [t + width]})
+    class Idle(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.seen = handle.getValueState("seen", "last long, due long, closed boolean")
 
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, closed = state.get if state.exists else (None, False)
-        if state.hasTimedOut:
-            if not closed:
-                state.update((last, True))
-                yield row(k, last)
-            return
-        if closed:
-            return
-        for t in pd.concat(list(batches), ignore_index=True)["_t"].sort_values().to_numpy():
-            if last is not None and t > last + width:
-                state.update((last, True))
-                yield row(k, last)
-                return
-            last = int(t)
-        state.update((last, False))
-        state.setTimeoutTimestamp(max((last + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        def _close(self, own, last: int) -> pd.DataFrame:
+            self.seen.update((last, None, True))
+            return pd.DataFrame({name: [own[0]], "_at": [last + width]})
 
-    return (
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            last, due, closed = self.seen.get() if self.seen.exists() else (None, None, False)
+            if closed:
+                return
+            buckets = sorted(pair for b in rows for pair in zip(b["first_t"].tolist(), b["last_t"].tolist(), strict=True))
+            if due is not None:
+                self.handle.deleteTimer(due)
+            for first, end in buckets:
+                if last is not None and first > last + width:
+                    yield self._close(key, last)
+                    return
+                last = end
+            # The bucket in which the next event is due ends here; it may still hold one until then.
+            due = ((last + width) // width + 1) * seconds * 1000
+            self.handle.registerTimer(due)
+            self.seen.update((last, due, False))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            last, due, closed = self.seen.get() if self.seen.exists() else (None, None, True)
+            if not closed and due == expiredTimerInfo.getExpiryTimeInMs():
+                yield self._close(key, last)
+
+        def close(self) -> None:
+            pass
+
+    use_rocksdb(events.sparkSession)
+    bucket = F.window("_event_time", f"{seconds} seconds")
+    reduced = (
         events.withColumn("_event_time", F.col(ts).cast("timestamp"))
         .withWatermark("_event_time", delay)
-        .select(key, F.unix_micros("_event_time").alias("_t"), "_event_time")
+        .withColumn("_t", F.unix_micros("_event_time"))
+        .groupBy(key, bucket.alias("_w"))
+        .agg(F.min("_t").alias("first_t"), F.max("_t").alias("last_t"))
+    )
+    return (
+        reduced.select(key, "first_t", "last_t", F.window_time("_w").alias("_event_time"))
         .groupBy(key)
-        .applyInPandasWithState(
-            step, out, "last long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(Idle(), out, "Append", "EventTime")
         .select(key, F.timestamp_micros("_at").alias("timed_out_at"), F.lit("idle_timeout").alias("error"))
     )
 
