@@ -85,8 +85,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
     chats = chat_format.format_chats(rows.unionByName(extra))
-    told = F.filter("turns", lambda t: t["role"] == "assistant")
-    learned = F.concat_ws("", F.transform(told, lambda t: t["text"]))
+    # What is learned is what the mask covers in the formatted text, read back.
+    masked = F.transform("loss_spans", lambda m: F.substring(F.col("formatted"), m["start"].cast("int") + 1, m["length"].cast("int")))
+    learned = F.concat_ws("", F.transform(masked, lambda t: chat_format.unescape(t)))
+    chats = chats.withColumn(
+        "turns",
+        F.when(F.col("identical"), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation does not read back identical"))),
+    )
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return chats.select(
         "conv_id",
