@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -94,12 +95,20 @@ class CuckooFilter:
 
 @dataclass
 class LineIndex:
-    """State of incremental line dedup; each part is a table that can be saved and loaded."""
+    """State of incremental line dedup; each part is a table that can be saved and loaded.
+
+    ``whole`` says that counts and references hold all keys; only such an index can be changed.
+    """
 
     refs: DataFrame
     counts: DataFrame
     filters: DataFrame
     shards: int
+    whole: bool = True
+
+    def need_whole(self) -> None:
+        if not self.whole:
+            raise ValueError("an index built with keep_refs=False takes no insertions or deletions")
 
 
 def line_key(line: Column) -> Column:
@@ -158,16 +167,16 @@ def build_index(
     keep_refs: bool = True,
     expected_keys: int | None = None,
 ) -> LineIndex:
-    """Index of all documents. ``keep_refs=False`` leaves out what only later deletions need."""
+    """Index of all documents. ``keep_refs=False`` leaves out what only later insertions and deletions need."""
     refs = _refs(docs, id_col, text_col, min_chars)
     if keep_refs:
         refs = cut_lineage(refs)
     counts = _counts(refs)
-    # Without refs only keys of several documents are of use later.
+    # For one use only keys of several documents are needed.
     counts = cut_lineage(counts if keep_refs else counts.where("docs > 1"))
     repeated = counts.where("docs > 1")
     shards = max(1, math.ceil((expected_keys or repeated.count()) / KEYS_PER_SHARD))
-    return LineIndex(refs, counts, cut_lineage(_build_filters(repeated, shards)), shards)
+    return LineIndex(refs, counts, cut_lineage(_build_filters(repeated, shards)), shards, keep_refs)
 
 
 def _update_filters(index: LineIndex, changes: DataFrame) -> DataFrame:
@@ -218,6 +227,7 @@ def insert(
     index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10
 ) -> LineIndex:
     """Add documents whose ids the index does not hold yet."""
+    index.need_whole()
     new = cut_lineage(_refs(docs, id_col, text_col, min_chars))
     touched = new.select("k1", "k2").distinct()
     added = index.counts.join(touched, ["k1", "k2"], "left_semi").unionByName(_counts(new))
@@ -227,6 +237,7 @@ def insert(
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """Take out the documents named in column doc_id; the index is then as if they had never been in."""
+    index.need_whole()
     ids = doc_ids.select(F.col("doc_id").alias("gone")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("gone"))
     touched = cut_lineage(index.refs.join(ids, same, "left_semi").select("k1", "k2").distinct())
@@ -235,17 +246,21 @@ def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     return _replace(index, refs, fresh, touched)
 
 
+def _mark() -> Column:
+    """Fingerprint of a key, as the two bytes a slot holds."""
+    return F.unhex(F.lpad(F.hex(F.pmod("k2", F.lit(65_535)) + 1), 4, "0"))
+
+
 def _may_hold() -> Column:
-    """Is the fingerprint in one of its two buckets? One lookup in the shard's bytes each."""
-    mark = F.pmod("k2", F.lit(65_535)) + 1
+    """Is the fingerprint ``mark`` in one of its two buckets? Slots are compared as bytes, in place."""
     mask = F.col("buckets") - 1
     first = F.col("k1").bitwiseAND(mask)
-    second = first.bitwiseXOR((mark * F.lit(SPREAD).cast("long")).bitwiseAND(mask))
-    sought = F.lpad(F.hex(mark), 4, "0")
+    spread = (F.pmod("k2", F.lit(65_535)) + 1) * F.lit(SPREAD).cast("long")
+    second = first.bitwiseXOR(spread.bitwiseAND(mask))
 
     def held(bucket: Column) -> Column:
-        slots = F.hex(F.substring("filter", (bucket * 8 + 1).cast("int"), F.lit(8)))
-        return F.greatest(*[F.substring(slots, 4 * i + 1, 4) == sought for i in range(SLOTS)])
+        slots = [F.substring("filter", (bucket * 8 + 2 * i + 1).cast("int"), F.lit(2)) == F.col("mark") for i in range(SLOTS)]
+        return reduce(Column.__or__, slots)
 
     return (F.col("buckets") == 0) | held(first) | held(second)
 
@@ -273,8 +288,10 @@ def dedup_lines(
     index = index or build_index(docs, id_col, text_col, min_chars, keep_refs=False)
     size = index.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     filters = F.broadcast(index.filters) if size <= broadcast_bytes else index.filters
-    lines = _lines(docs, id_col, text_col, min_chars).withColumn("shard", _shard(index.shards))
-    maybe = lines.join(filters, "shard").where(_may_hold()).drop("shard", "buckets", "filter")
+    lines = _lines(docs, id_col, text_col, min_chars).withColumns(
+        {"shard": _shard(index.shards), "mark": _mark()}
+    )
+    maybe = lines.join(filters, "shard").where(_may_hold()).drop("shard", "buckets", "filter", "mark")
     owners = index.counts.where("docs > 1").select("k1", "k2", "owner")
     doomed = maybe.join(owners, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     drops = doomed.groupBy("doc_id", "same").agg(F.collect_set("pos").alias("_drop")).select(

@@ -330,3 +330,11 @@ def test_components(spark):
         parent[rb] = ra
     nodes = {x for a, b in links if a != b for x in (a, b)}
     assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in nodes)
+
+
+def test_a_bare_line_index_refuses_changes(spark):
+    docs = spark.createDataFrame([(1, "a line of some length"), (2, "another line here")], "doc_id long, text string")
+    bare = line_dedup.build_index(docs, keep_refs=False)
+    for change in (lambda: line_dedup.insert(bare, docs), lambda: line_dedup.delete(bare, docs)):
+        with pytest.raises(ValueError, match="keep_refs"):
+            change()
