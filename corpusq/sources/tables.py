@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusq.operators.filters import tenant_predicate
-from corpusq.session import small_side
+from corpusq.session import broadcast_if_small, cut_lineage, small_side
 
 
 def append_chunks(chunks: DataFrame, path: str, partition: str = "repository_id") -> None:
@@ -122,10 +122,21 @@ CACHE_TTL_SECONDS = 2_592_000  # 30 days
 
 
 def read_cache(keys: DataFrame, cache: DataFrame, now: Column | None = None) -> DataFrame:
-    """Live entries of the wanted keys."""
+    """Live entries of the wanted keys: the newest of each key, if it has not expired.
+
+    Keys and times alone decide which entries these are; only then are vectors read, and only
+    those of the found entries move. The found keys are written once, as they are measured
+    before they are broadcast.
+    """
     now = F.current_timestamp() if now is None else now
-    live = compact_cache(cache).where(F.col("expires_at") > now)
-    return live.join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
+    times = cache.select("cache_key", "written_at", "expires_at")
+    newest = (
+        times.join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
+        .groupBy("cache_key")
+        .agg(F.max(F.struct("written_at", "expires_at")).alias("entry"))
+    )
+    live = cut_lineage(newest.where(F.col("entry.expires_at") > now).select("cache_key"))
+    return compact_cache(cache.join(broadcast_if_small(live), "cache_key", "left_semi")).select(*cache.columns)
 
 
 def write_cache(
@@ -140,7 +151,7 @@ def write_cache(
 
 def compact_cache(cache: DataFrame) -> DataFrame:
     """Newest entry per key."""
-    w = Window.partitionBy("cache_key").orderBy(F.desc("written_at"))
+    w = Window.partitionBy("cache_key").orderBy(F.desc("written_at"), F.desc("expires_at"))
     return cache.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
 
 

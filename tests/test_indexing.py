@@ -311,3 +311,18 @@ def test_job_outcome_keeps_progress(spark):
     rows = indexing.job_outcome(jobs, errors).orderBy("job_id").collect()
     assert [(r.status, r.repository_status, r.last_indexed_commit_sha, r.files_processed, r.error_message) for r in rows] == [
         ("completed", "ready", "new", 5, None), ("failed", "failed", "old", 7, "boom")]
+
+
+def test_cache_vectors_do_not_move_before_their_keys_are_found(spark, tmp_path):
+    rows = [(f"k{i}", [float(i)] * 4, written, expires) for i in range(20) for written, expires in ((1, 9), (2, 5 if i % 2 else 9))]
+    rows += [("k0", [7.0] * 4, 2, 9), ("other", [1.0] * 4, 1, 9)]
+    shape = "cache_key string, dense array<double>, written_at int, expires_at int"
+    spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / "cache"))
+    cache = spark.read.parquet(str(tmp_path / "cache"))
+    keys = spark.createDataFrame([(f"k{i}",) for i in (0, 1, 2, 2, 99)], "cache_key string")
+    found = store.read_cache(keys, cache, F.lit(6))
+    assert sorted((r.cache_key, r.written_at) for r in found.collect()) == [("k0", 2), ("k2", 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin") < plan.index("FileScan parquet")
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert store.read_cache(keys.where("false"), cache, F.lit(6)).count() == 0
