@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CACHED = 400_000
+MAX_CACHED = 200_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -30,7 +31,10 @@ class Words(dict):
     Its white space is dropped and nothing in it looks across white space, so a text has the
     ids of its words in turn. Where the file's steps before the merges are those known here
     (NFC, white space, lower case; a split by pattern; bytes as characters), words of Latin
-    letters go to its merges at once. All others go through the whole tokenizer.
+    letters go to its merges at once, piece by piece. All others go through the whole tokenizer.
+
+    Two generations are kept: when the new one is full it becomes the old one, and what is
+    met again moves back, so frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -40,6 +44,7 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)
@@ -53,27 +58,43 @@ class Words(dict):
         self.shown = byte_characters()
         # None of these changes under NFC or counts as white space.
         self.plain = regex.compile("[!-~\u00c0-\u024f]+").fullmatch
+        self.plain_text = regex.compile("[ -~\\t\\n\u00c0-\u024f]*").fullmatch
 
     def __missing__(self, word: str) -> bytes:
-        if self.split and self.plain(word) and not any(s in word for s in self.special):
-            ids = []
-            for piece in self.split(word.lower()):
-                if not piece.isascii():
-                    piece = "".join(map(self.shown.__getitem__, piece.encode()))
-                ids += [t.id for t in self.tokenizer.model.tokenize(piece)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
+        packed = self.old.get(word)
+        if packed is None:
+            packed = self._encoded(word)
         if len(word) <= 64:
             if len(self) >= MAX_CACHED:
+                self.old = dict(self)
                 self.clear()
                 self[""] = b""
             self[word] = packed
         return packed
 
+    def _encoded(self, word: str) -> bytes:
+        if self.split and self.plain(word) and not any(s in word for s in self.special):
+            low = word.lower()
+            pieces = self.split(low)
+            if pieces == [low]:
+                return self._merged(low)
+            # A piece alone is a word of the same ids.
+            return b"".join([self[p] if p != word else self._merged(p) for p in pieces])
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join(map(self.shown.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
+        get, out = self.__getitem__, []
+        for t in texts:
+            # Lower-cased at once, so that a word is kept in one form.
+            if self.split and self.plain_text(t) and not any(s in t for s in self.special):
+                t = t.lower()
+            out.append(b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -129,9 +150,10 @@ def pack(
     sequence_id, offset.
 
     A document is its token ids and ``end_id``; whole sequences are cut from its front, the
-    rest is packed with others. Documents are dealt by hash to groups of about ``group_docs``
-    documents, each packed by itself: a group's memory is bounded by that number times one
-    sequence, and its padding is below one sequence.
+    rest is packed with others. Rests are dealt by hash of the document to groups of about
+    ``group_docs`` documents, each packed by itself, so a group's padding is below one sequence.
+    The whole sequences of a long document are spread over all groups. Rows of one id and one
+    text share the group of their rests.
 
     A null or empty text is ``end_id`` alone. Null ids are allowed; repeated rows are packed
     each. Other columns are not read. An empty table gives an empty result. Special tokens'
@@ -168,7 +190,10 @@ def pack(
                 for doc, group, ids in owners:
                     ids += end
                     for at in range(0, len(ids), step):
-                        row = (doc, group, at // 4, ids[at : at + step], len(ids) // 4)
+                        piece = ids[at : at + step]
+                        # Whole sequences need no partner: those of one document go to different groups.
+                        to = (group + at // step) % groups if len(piece) == step else group
+                        row = (doc, to, at // 4, piece, len(ids) // 4)
                         for column, value in zip(rows, row, strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(_typed(rows, key_type), names=names)
