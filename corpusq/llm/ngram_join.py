@@ -6,7 +6,6 @@ import hashlib
 import math
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +22,15 @@ for _c in range(65, 91):
     BYTE_WORDS[_c] = BYTE_WORDS[_c + 32]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-KEPT = 5 << 18
+PLACE = np.uint64(0x9E3779B97F4A7C15)
 STEPS = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    if n <= KEPT:
-        return _kept_powers(base)[:n]
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-@lru_cache(maxsize=2)
-def _kept_powers(base: np.uint64) -> np.ndarray:
-    out = np.full(KEPT, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts of a block, and the first word of each text.
 
-    A-Z are lower-cased by the table of bytes. A word's hash is a difference of running sums.
+    A-Z are lower-cased by the table of bytes. A word's hash is a difference of running sums
+    of its bytes, each scrambled with its place in the word.
     """
     n = len(data)
     solid = ~IS_SPACE[data]
@@ -57,10 +40,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(solid & (~before | first[:-1]))
     after = np.concatenate([solid[1:], [False]]) if n else solid
     ends = np.flatnonzero(solid & (~after | first[1:])) + 1
+    place = np.arange(1, n + 1, dtype=np.uint64)
+    if len(starts):
+        place[starts[0] :] -= np.repeat(starts, np.diff(starts, append=n)).astype(np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_WORDS[data] * _powers(BASE, n), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _powers(BASE_INVERSE, n + 1)[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    np.cumsum(mix(BYTE_WORDS[data] ^ (place * PLACE)), out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:
@@ -160,6 +145,9 @@ class Lists:
         several = counts[inverse] > 1 if len(token) else np.zeros(0, bool)
         return cls(token[several], key[several], size[several], place[several])
 
+    def columns(self) -> list[tuple[str, np.ndarray]]:
+        return [(c, getattr(self, c)) for c, _ in COLUMNS]
+
     def star(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of each list's first set with the others.
 
@@ -174,8 +162,9 @@ class Lists:
     def rest(self, roots: np.ndarray, percent: int, cells: int = 1 << 19):
         """All pairs of sets of different components, without those of ``star``; in blocks of bounded size.
 
-        Within an n-gram, sets are sorted by size, so a set looks only at the run of smaller
-        ones that its size and its place leave possible.
+        Within an n-gram, sets are sorted by size, so a set looks only at the run of sizes that
+        its own size and place leave possible. Pairs inside the component that holds most of an
+        n-gram's sets are never looked at: one side of each pair is of another component.
         """
         if not len(roots):
             return
@@ -184,30 +173,52 @@ class Lists:
         )
         several[self.starts] = False  # the first sets have met all others
         which = np.repeat(np.arange(len(self.starts)), self.lengths)[several]
+        if not len(which):
+            return
         key, size, place, root = self.key[several], self.size[several], self.place[several], roots[several]
         order = np.lexsort((size, which))
         which, key, root = which[order], key[order], root[order]
         size, place = size[order].astype(np.int64), place[order].astype(np.int64)
+        minor = root != _most_held(which, root)[which]
         wide = np.int64(1) << 32
         rows = which * wide + size
-        # percent * larger <= 100 * smaller, and the larger one's own part of may_link.
+        # Smaller partners of any component: percent * larger <= 100 * smaller, and the larger one's part of may_link.
         least = -(-percent * size // 100)
         most = np.minimum((100 + percent) * (size - place) // percent - size, size)
         low = np.searchsorted(rows, which * wide + least)
         high = np.minimum(np.searchsorted(rows, which * wide + np.maximum(most, 0), side="right"), np.arange(len(rows)))
-        many = np.maximum(high - low, 0)
-        ends = np.cumsum(many)
-        at = 0
-        while at < len(many):
-            done = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, done + cells, side="right")))
-            counts = many[at:stop]
-            a = np.repeat(np.arange(at, stop), counts)
-            b = np.arange(len(a)) - np.repeat(ends[at:stop] - counts - done, counts) + np.repeat(low[at:stop], counts)
-            ok = root[a] != root[b]
-            ok &= may_link(size[a], place[a], size[b], place[b], percent)
-            yield key[a[ok]], key[b[ok]]
-            at = stop
+        every = np.arange(len(rows))
+        # Larger partners of the component that holds most.
+        major = np.flatnonzero(~minor)
+        above = np.searchsorted(major, every)
+        up_to = np.searchsorted(rows[major], which * wide + 100 * size // percent, side="right")
+        for partners, first, last in ((every, low, high), (major, above, up_to)):
+            many = np.where(minor, np.maximum(last - first, 0), 0)
+            ends = np.cumsum(many)
+            at = 0
+            while at < len(many) and ends[-1] > (ends[at - 1] if at else 0):
+                done = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, done + cells, side="right")))
+                counts = many[at:stop]
+                a = np.repeat(np.arange(at, stop), counts)
+                b = np.arange(len(a)) - np.repeat(ends[at:stop] - counts - done, counts) + np.repeat(first[at:stop], counts)
+                b = partners[b]
+                ok = root[a] != root[b]
+                ok &= may_link(size[a], place[a], size[b], place[b], percent)
+                yield key[a[ok]], key[b[ok]]
+                at = stop
+
+
+def _most_held(which: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each list that occurs in ``which``, by its number, the component of most of its sets."""
+    order = np.lexsort((root, which))
+    which, root = which[order], root[order]
+    heads = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (root[1:] != root[:-1])]))
+    lengths = np.diff(heads, append=len(which))
+    out = np.zeros(int(which[-1]) + 1, root.dtype)
+    by_length = np.argsort(lengths, kind="stable")
+    out[which[heads[by_length]]] = root[heads[by_length]]  # the longest run is written last
+    return out
 
 
 def _ordered(pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -230,9 +241,30 @@ def _ordered(pairs) -> tuple[np.ndarray, np.ndarray]:
     return kept[:, 0], kept[:, 1]
 
 
-def set_key(hashes: np.ndarray) -> tuple[int, int]:
-    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-    return struct.unpack("<qq", digest)
+def set_key(hashes: np.ndarray) -> int:
+    return struct.unpack("<q", hashlib.blake2b(hashes.tobytes(), digest_size=8).digest())[0]
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each hash of a set, in a power of two of bits: two or more for each hash."""
+    bits = 64
+    while bits < 2 * len(hashes):
+        bits *= 2
+    out = np.zeros(bits, np.uint8)
+    out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_shared(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
+    """No two sets of these bitmaps share more hashes: a bit of one alone is a hash of it alone."""
+    a, b, width = int.from_bytes(bits_a, "little"), int.from_bytes(bits_b, "little"), 8 * len(bits_a)
+    if len(bits_a) > len(bits_b):
+        a, b, width = b, a, 8 * len(bits_b)
+        n_a, n_b = n_b, n_a
+    low = (1 << width) - 1
+    while b >> width:
+        b = (b & low) | (b >> width)
+    return min(n_a - (a & ~b).bit_count(), n_b - (b & ~a).bit_count())
 
 
 def _shingles(size: int):
@@ -263,9 +295,10 @@ def ngram_join(
     Equal sets are one row of the incidence matrix. Its product with its transpose is made in
     blocks of n-grams: only the first n-grams of each set in an order of rising frequency take
     part, and pairs below bounds from sizes and places are discarded. First each n-gram's
-    sets meet the most central of them; then all pairs of sets in components still different.
-    Overlaps of what is left are counted over all n-grams. The frequent n-grams, counted over
-    all documents, only choose the order: any such list gives the same result.
+    sets meet the most central of them; then sets of components still different meet, their
+    roots carried in the blocks. Of the pairs left, bitmaps of the sets bound the overlap, and
+    what may still link is counted over all n-grams of the two sets. The frequent n-grams,
+    counted over all documents, only choose the order: any such list gives the same result.
 
     A null text counts as empty. A null id is larger than any other and names a component only
     of null ids. Rows with one id are judged each by its text. Other columns are not read. An
@@ -275,6 +308,8 @@ def ngram_join(
     key_type = source.schema["doc_id"].dataType.simpleString()
     shingles = _shingles(words)
 
+    names = ["kind", "doc_id", "key", "n", "bits"]
+
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, kind = FrequentCounter(), None
         for rows, data, offsets in text_blocks(batches):
@@ -286,11 +321,11 @@ def ngram_join(
                 [
                     pa.array([0] * len(sets), pa.int32()),
                     rows.column(0),
-                    pa.array([k[0] for k in keys], pa.int64()),
-                    pa.array([k[1] for k in keys], pa.int64()),
+                    pa.array(keys, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([bitmap(s) for s in sets], pa.binary()),
                 ],
-                names=["kind", "doc_id", "key", "key2", "n"],
+                names=names,
             )
         counter.merge()
         often = counter.counts > 1
@@ -298,14 +333,14 @@ def ngram_join(
             found, counts = counter.keys[often], counter.counts[often]
             top = np.argsort(-counts, kind="stable")[: 2 * frequent]
             none = pa.nulls(len(top), kind)
-            zero = pa.array(np.zeros(len(top), np.int64))
+            bits = pa.nulls(len(top), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * len(top), pa.int32()), none, pa.array(found[top].view(np.int64)), zero, pa.array(counts[top])],
-                names=["kind", "doc_id", "key", "key2", "n"],
+                [pa.array([1] * len(top), pa.int32()), none, pa.array(found[top].view(np.int64)), pa.array(counts[top]), bits],
+                names=names,
             )
 
     found = staged(
-        source.mapInArrow(survey, f"kind int, doc_id {key_type}, key long, key2 long, n long"), "shingle-sets"
+        source.mapInArrow(survey, f"kind int, doc_id {key_type}, key long, n long, bits binary"), "shingle-sets"
     )
     meta = found.where("kind = 0").drop("kind")
     often = (
@@ -330,7 +365,7 @@ def ngram_join(
             sets: dict[int, np.ndarray] = {}
             for s in shingles(data, offsets):
                 if len(s):
-                    sets.setdefault(set_key(s)[0], s)
+                    sets.setdefault(set_key(s), s)
             if not sets:
                 continue
             firsts = [prefix(s, rank_of(s), percent) for s in sets.values()]
@@ -367,36 +402,45 @@ def ngram_join(
     pair_type = "a long, b long"
     first = cut_lineage(lists.mapInArrow(star, pair_type).distinct())
     reps = meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    tools = (source, reps, shingles, percent, broadcast_rows)
+    tools = (source, meta, reps, shingles, percent, broadcast_rows)
     links = cut_lineage(_verified(first, *tools))
     roots = components(links)
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = _unpacked(pa.Table.from_batches([batch.slice(i, 1)]))
-                keys = np.unique(own.key)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), batch.column(0)[i].as_py(), np.int64)), pa.array(keys)],
-                    names=["block", "node"],
-                )
-
-    known = lists.mapInArrow(members, "block long, node long").join(roots, "node")
-
-    def rest(own: pa.Table, labels: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return pa.Table.from_batches([_pair_batch(np.zeros(0, np.int64), np.zeros(0, np.int64))])
-        held = _unpacked(own)
+                block = batch.column(0)[i].as_py()
+                held = _unpacked(pa.Table.from_batches([batch.slice(i, 1)]))
+                yield _dealt((held.key % blocks).astype(np.int64), "bucket", "block", block, held.columns())
+
+    def labelled(own: pa.Table, labels: pa.Table) -> pa.Table:
+        """Entries of a bucket of sets with the sets' roots, dealt to the blocks of their n-grams again."""
+        out = []
         node, root = labels["node"].to_numpy(), labels["root"].to_numpy()
         order = np.argsort(node)
         node, root = node[order], root[order]
-        label = held.key.copy()
-        if len(node):
-            at = np.minimum(np.searchsorted(node, held.key), len(node) - 1)
-            label = np.where(node[at] == held.key, root[at], held.key)
-        return pa.Table.from_batches([_pair_batch(*_ordered(held.rest(label, percent)))])
-
-    second = lists.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(rest, pair_type)
+        if own.num_rows:
+            counts = [len(x) // 8 for x in own["key"].to_pylist()]
+            entries = [_joined(own, c, d) for c, d in COLUMNS]
+            label = entries[1].copy()
+            if len(node):
+                at = np.minimum(np.searchsorted(node, label), len(node) - 1)
+                label = np.where(node[at] == label, root[at], label)
+            block = np.repeat(own["block"].to_numpy(), counts)
+            columns = [*zip([c for c, _ in COLUMNS], entries, strict=True), ("root", label)]
+            out.append(_dealt(block, "block", None, 0, columns))
+        return pa.Table.from_batches(out, _schema("block", None, "root"))
+
+    def rest(rows: pa.Table) -> pa.Table:
+        entries = [_joined(rows, c, d) for c, d in [*COLUMNS, ("root", np.int64)]]
+        order = np.lexsort((entries[1], entries[3], entries[0]))
+        token, key, size, place, root = (x[order] for x in entries)
+        return pa.Table.from_batches([_pair_batch(*_ordered(Lists(token, key, size, place).rest(root, percent)))])
+
+    parts = lists.mapInArrow(by_sets, "bucket long, block long, token binary, key binary, size binary, place binary")
+    dealt = roots.withColumn("bucket", F.pmod("node", F.lit(blocks)).cast("long"))
+    again = parts.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(labelled, f"{blocked}, root binary")
+    second = again.groupBy("block").applyInArrow(rest, pair_type)
     second = cut_lineage(second.distinct().join(first, ["a", "b"], "left_anti"))
     more = cut_lineage(_verified(second, *tools))
     # Both sides of a new link are taken to what the first round found.
@@ -432,6 +476,23 @@ def _packed(block: int, lists: Lists) -> pa.Table:
     return pa.table(columns)
 
 
+def _schema(first: str, second: str | None, *more: str) -> pa.Schema:
+    numbers = [(c, pa.int64()) for c in (first, second) if c]
+    return pa.schema(numbers + [(c, pa.binary()) for c in (*(c for c, _ in COLUMNS), *more)])
+
+
+def _dealt(to: np.ndarray, name: str, other: str | None, value: int, columns: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each number in ``to``, its entries packed; ``other`` is a column of one value."""
+    order = np.argsort(to, kind="stable")
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(to)), bool), np.diff(to[order]) != 0]))
+    arrays = [pa.array(to[order][heads], pa.int64())]
+    if other:
+        arrays.append(pa.array(np.full(len(heads), value), pa.int64()))
+    for _, x in columns:
+        arrays.append(pa.array([x[p].tobytes() for p in np.split(order, heads[1:])][: len(heads)], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, names=[n for n in (name, other) if n] + [c for c, _ in columns])
+
+
 def _unpacked(row: pa.Table) -> Lists:
     return Lists(*(_joined(row, c, d) for c, d in COLUMNS))
 
@@ -441,56 +502,64 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _verified(
-    pairs: DataFrame, source: DataFrame, reps: DataFrame, shingles, percent: int, broadcast_rows: int
+    pairs: DataFrame, source: DataFrame, meta: DataFrame, reps: DataFrame, shingles, percent: int, broadcast_rows: int
 ) -> DataFrame:
-    """Pairs whose overlap, counted over all n-grams, reaches the bound."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    needed = cut_lineage(reps.join(keys, "key"))
+    """Pairs whose overlap, counted over all n-grams, reaches the bound.
+
+    Bitmaps of the sets bound the overlap first, so whole sets move only for pairs that
+    nearly all link.
+    """
+
+    def ends(of: DataFrame) -> DataFrame:
+        return of.select(F.col("a").alias("key")).union(of.select("b")).distinct()
+
+    def sides(table: DataFrame, column: str) -> list[DataFrame]:
+        return [
+            table.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col(column).alias(f"{column}_{c}"))
+            for c in ("a", "b")
+        ]
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b"))
+            keep = []
+            for n_a, bits_a, n_b, bits_b in zip(*columns, strict=True):
+                keep.append((100 + percent) * most_shared(n_a, bits_a, n_b, bits_b) >= percent * (n_a + n_b))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = ends(pairs)
+    sketches = meta.join(wanted, "key", "left_semi").groupBy("key").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    of_a, of_b = sides(cut_lineage(sketches), "bits")
+    maybe = cut_lineage(pairs.join(of_a, "a").join(of_b, "b").mapInArrow(bounded, "a long, b long"))
+
+    needed = cut_lineage(reps.join(ends(maybe), "key"))
     ids = needed.select(F.col("doc_id").alias("_id")).distinct()
     if needed.count() <= broadcast_rows:
         ids = F.broadcast(ids)
     texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, data, offsets in text_blocks(batches):
-            found = shingles(data, offsets)
+            new = {set_key(s): s for s in shingles(data, offsets)}
+            found = [s for key, s in new.items() if key not in seen]
+            if not found:
+                continue
+            seen.update(new)
             bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in found])]), pa.int32())
-            # Shortened hashes, distinct: enough to bound an overlap.
-            short = [np.unique(s.astype(np.uint16)) for s in found]
-            short_bounds = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in short])]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([set_key(s)[0] for s in found], pa.int64()),
-                    pa.array([len(s) for s in found], pa.int32()),
-                    pa.ListArray.from_arrays(short_bounds, pa.array(np.concatenate(short).view(np.int16))),
+                    pa.array([set_key(s) for s in found], pa.int64()),
+                    pa.array([len(s) for s in found], pa.int64()),
                     pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(found).view(np.int64))),
                 ],
-                names=["key", "n", "short", "grams"],
+                names=["key", "n", "grams"],
             )
 
-    held = staged(texts.mapInArrow(sets, "key long, n int, short array<short>, grams array<long>"), "candidate-sets")
-
-    def overlaps(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        """Pairs with the size of what their sets share in ``column``, both sizes, and what shortening lost."""
-        sides = [
-            table.select(
-                F.col("key").alias(c),
-                F.col(column).alias(f"set_{c}"),
-                F.col("n").alias(f"n_{c}"),
-            )
-            for c in ("a", "b")
-        ]
-        joined = rows.join(sides[0], "a").join(sides[1], "b")
-        lost = F.least(F.col("n_a") - F.size("set_a"), F.col("n_b") - F.size("set_b"))
-        return joined.select(
-            "a",
-            "b",
-            (F.size(F.array_intersect("set_a", "set_b")) + lost).alias("overlap"),
-            (F.col("n_a") + F.col("n_b")).alias("sizes"),
-        ).where(100 * F.col("overlap") >= percent * (F.col("sizes") - F.col("overlap"))).select("a", "b")
-
-    maybe = cut_lineage(overlaps(pairs, held, "short").distinct())
-    few = maybe.select(F.col("a").alias("key")).union(maybe.select("b")).distinct()
-    if 2 * maybe.count() <= broadcast_rows:
-        few = F.broadcast(few)
-    return overlaps(maybe, held.join(few, "key", "left_semi"), "grams").distinct()
+    held = texts.mapInArrow(sets, "key long, n long, grams array<long>")
+    # Rows of one id may hold other texts, and repeated rows one text; a task sends a set once.
+    held = staged(held.join(needed.select("key"), "key", "left_semi"), "candidate-sets")
+    of_a, of_b = sides(held, "grams")
+    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
+    joined = maybe.join(of_a, "a").join(of_b, "b")
+    return joined.where((100 + percent) * overlap >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()

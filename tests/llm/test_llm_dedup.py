@@ -304,6 +304,43 @@ def test_word_hashes_see_words_as_the_pattern_does():
     assert [len(s) for s in sets] == [len(hostile.shingles(t)) for t in texts]
 
 
+def test_words_that_differ_in_order_only_have_other_hashes():
+    letters = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    for n in (64, 1024, 2048, 4096):
+        words = [letters[:n].encode(), letters[:n].translate(str.maketrans("ab", "ba")).encode()]
+        hashes, _ = ngram_join.word_hashes(np.frombuffer(b" ".join(words), np.uint8), np.array([0, 2 * n + 1]))
+        assert len(set(hashes.tolist())) == 2
+
+
+def test_bitmaps_never_bound_below_the_overlap():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, int(rng.integers(1, 400)), dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 400)))) for _ in range(2))
+        bound = ngram_join.most_shared(len(a), ngram_join.bitmap(a), len(b), ngram_join.bitmap(b))
+        assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+        assert ngram_join.most_shared(len(a), ngram_join.bitmap(a), len(a), ngram_join.bitmap(a)) == len(a)
+
+
+def test_rest_finds_all_pairs_across_components():
+    rng = np.random.default_rng(6)
+    for cells in (7, 1 << 19):
+        token = np.sort(rng.integers(0, 12, 150)).astype(np.uint64)
+        key, size = np.arange(150), rng.integers(20, 40, 150).astype(np.int32)
+        place, root = rng.integers(0, 4, 150).astype(np.int32), rng.choice([1, 1, 1, 1, 2, 3, 4], 150)
+        lists = ngram_join.Lists(token, key, size, place)
+        heads = set(lists.starts.tolist())
+        got = {tuple(sorted(p)) for a, b in lists.rest(root, 75, cells) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        wanted = {
+            (a, b)
+            for b in range(150)
+            for a in range(b)
+            if token[a] == token[b] and root[a] != root[b] and not {a, b} & heads
+            and ngram_join.may_link(int(size[a]), int(place[a]), int(size[b]), int(place[b]), 75)
+        }
+        assert got == wanted
+
+
 def test_frequent_counter_keeps_frequent_hashes():
     counter = ngram_join.FrequentCounter(capacity=100, buffer=500)
     rng = np.random.default_rng(1)
