@@ -12,6 +12,7 @@ from corpusq.operators import outline
 from corpusq.plans import tables as t
 from corpusq.plans.registry import query
 from corpusq.plugins import Language, LanguageRegistry, OutlineRules
+from corpusq.session import inline_rows
 
 # {i} is the number of the line, {t} its text without quotes, backslashes and slashes.
 PYTHON_BLOCKS = [
@@ -228,7 +229,7 @@ FROM places JOIN (VALUES {rows}) v(k, module, names, n) USING (k)"""
 
 
 def _symbols(spark, sf, language: str, **args):
-    rows = outline.symbol_outline(program_files(spark, sf, language), **args).select("file_id", F.inline("symbols"))
+    rows = inline_rows(outline.symbol_outline(program_files(spark, sf, language), **args), ["file_id"], F.col("symbols"), "start_line")
     lines = [F.col(c).cast("long").alias(c) for c in ("start_line", "end_line", "depth")]
     return rows.select("file_id", "kind", "name", *lines)
 

@@ -10,7 +10,7 @@ from corpusq.functions.text import lexical_weights, rerank_text, sparse_vector
 from corpusq.operators import filters, search
 from corpusq.plans import tables as t
 from corpusq.plans.registry import query
-from corpusq.session import checkpoint_root
+from corpusq.session import checkpoint_root, inline_rows
 
 
 def _round6(df):
@@ -47,8 +47,7 @@ def sparse_topk(spark, sf):
 )
 def weights(spark, sf):
     return (
-        t.texts(spark, sf)
-        .select("doc_id", F.inline(lexical_weights(F.col("text"))))
+        inline_rows(t.texts(spark, sf), ["doc_id"], lexical_weights(F.col("text")), "term")
         .withColumn("weight", F.round("weight", 6))
     )
 

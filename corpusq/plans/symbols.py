@@ -8,6 +8,7 @@ from corpusq.operators import chunking, outline
 from corpusq.plans import tables as t
 from corpusq.plans.chunks import SQL_GAPS, TOKENS, sql_greedy, sql_lines, sql_tail_fix
 from corpusq.plans.registry import query
+from corpusq.session import inline_rows
 
 # What line i of a document becomes, by i mod 11; the line itself stays as a comment.
 SHAPES = {
@@ -114,7 +115,7 @@ SQL_CODE = sql_code()
 
 def _symbols(spark, sf):
     files = outline.symbol_outline(code_files(spark, sf))
-    return files.select("file_id", F.inline("symbols"))
+    return inline_rows(files, ["file_id"], F.col("symbols"), "start_line")
 
 
 @query(
@@ -435,7 +436,7 @@ def assemble(spark, sf):
         ),
     )
     candidates = (
-        outlined.select("file_id", "repository_id", "path", "language", F.inline(with_text))
+        inline_rows(outlined, ["file_id", "repository_id", "path", "language"], with_text, "start_line")
         .withColumn("content_tokens", token_count(F.col("text")))
     )
     edges = outline.import_edges(files)

@@ -39,3 +39,24 @@ def test_probes_are_measured_until_the_recall_is_there(spark, tmp_path):
         return index.search(queries, 5, nprobe=nprobe).join(exact, ["query_id", "chunk_id"]).count() / exact.count()
 
     assert 1 < probes <= 8 and recall(probes) >= 0.9 > recall(1)
+
+
+def test_outlines_and_imports_are_computed_once_and_after_the_spread(spark):
+    from corpusq.operators import chunking, outline
+
+    files = spark.createDataFrame(
+        [(1, "python", "import a\n\nclass K:\n    def m(self): pass\n"), (2, "python", ""), (3, "none", "x"), (4, "python", None)],
+        "file_id long, language string, content string",
+    ).repartition(3, "file_id")
+    outlined = outline.symbol_outline(files)
+    rows = {
+        "imports": (outline.import_edges(files), 1),
+        "spans": (chunking.outermost_spans(outlined.drop("content")), 1),
+        "lines": (chunking.explode_lines(files), 5),
+        "markdown": (chunking.chunk_markdown(files), 2),
+    }
+    for name, (df, count) in rows.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Repartition") :]
+        assert "Filter" not in below, (name, below)
+        assert df.count() == count, name
