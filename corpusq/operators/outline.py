@@ -364,8 +364,8 @@ def _local_names(list_text: Column) -> Column:
 
 
 def _until(ends: Column, n: Column) -> Column:
-    """First of the line numbers ``ends`` at or after ``n``."""
-    return F.coalesce(F.array_min(F.filter(ends, lambda m: m >= n)), n)
+    """First of the ascending line numbers ``ends`` at or after ``n``."""
+    return F.coalesce(F.get(ends, lower_bound(ends, n)), n)
 
 
 def _join(lines: Column, first: Column, last: Column) -> Column:
