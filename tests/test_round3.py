@@ -60,3 +60,26 @@ def test_outlines_and_imports_are_computed_once_and_after_the_spread(spark):
         below = plan[plan.index("Repartition") :]
         assert "Filter" not in below, (name, below)
         assert df.count() == count, name
+
+
+def test_runs_drop_what_they_staged_and_encoders_give_vectors_batch_by_batch(spark, tmp_path):
+    import os
+
+    from corpusq.functions.encoders import hashed_encoder
+    from corpusq.operators import embedding, persisted
+    from corpusq.session import checkpoint_root
+
+    folder = f"{checkpoint_root(spark)}/staged"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    tables = persisted.open_index(spark, str(tmp_path / "index"), 2)
+    scan = spark.createDataFrame(
+        [("r", f"{n}.md", bytearray(f"# T{n}\nsame words\n".encode()), 20) for n in range(5)],
+        "repository_id string, path string, content binary, length long",
+    )
+    _, results = persisted.run_index(tables, scan, hashed_encoder(), "m", "w")
+    assert results.where("status = 'new' AND chunks = 1").count() == 5
+    assert set(os.listdir(folder)) - before == set()
+    assert tables.read("chunks").where("content LIKE '%same words%'").count() == tables.read("vectors").count() == 5
+    texts = spark.createDataFrame([(n, f"word{n}") for n in range(100)], "n long, text string").coalesce(1)
+    rows = embedding.encode(texts, hashed_encoder(), "m", batch_size=7).where("size(sparse.ids) = 1 AND error IS NULL")
+    assert rows.count() == 100
