@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,34 +78,69 @@ def list_files(
     return reduce(DataFrame.unionByName, levels).withColumn("path", relative)
 
 
-def read_files(listed: DataFrame, root: str) -> DataFrame:
+# Bytes of a file that a task holds at once; longer files are read in pieces of this size.
+PIECE_BYTES = 8 << 20
+
+
+def read_files(listed: DataFrame, root: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """``listed`` with ``content``, read where the tasks run; other columns are kept.
 
     A file that cannot be read has a null content and says so in ``problem``; rows that
-    already have a problem are passed through unread.
+    already have a problem are passed through unread. Files listed as longer than
+    ``piece_bytes`` are read in pieces, by several tasks, and joined again outside of Python:
+    only there does a content have to fit into memory, and only if it is used.
     """
     root = os.path.abspath(root) if "://" not in root else root.rstrip("/")
-    schema = T.StructType([*listed.drop("content").schema.fields, T.StructField("content", T.BinaryType())])
+    spark = listed.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, spark_partitions(spark))
+    # Both ways below read this list, which has no contents.
+    found = cut_lineage(listed.drop("content"))
+    schema = T.StructType([*found.schema.fields, T.StructField("content", T.BinaryType())])
+    long = F.col("problem").isNull() & (F.coalesce("length", F.lit(0)) > piece_bytes)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # One file at a time: a batch of contents need not fit into memory.
-            for i in range(len(batch)):
-                row = batch.iloc[i : i + 1].copy()
-                content, problem = None, row["problem"].iloc[0]
+            names = batch.schema.names
+            at = batch.column(names.index("_at")).to_pylist() if "_at" in names else [None] * batch.num_rows
+            paths = batch.column(names.index("path")).to_pylist()
+            lengths = batch.column(names.index("length")).to_pylist()
+            problems = batch.column(names.index("problem")).to_pylist()
+            for i, (path, length, problem, start) in enumerate(zip(paths, lengths, problems, at, strict=True)):
+                # One file or piece at a time: a batch of contents need not fit into memory.
+                content = None
                 if problem is None:
-                    fs, inner = pafs.FileSystem.from_uri(f"{root}/{row['path'].iloc[0]}")
                     try:
-                        with fs.open_input_stream(inner) as stream:
-                            content = stream.read()
+                        # The last piece goes to the end, should the file have grown since it was listed.
+                        last = start is None or start + piece_bytes >= length
+                        content = _content(f"{root}/{path}", start, None if last else piece_bytes)
                     except OSError as exc:
                         problem = f"cannot be read: {exc}"
-                yield row.assign(problem=[problem], content=[content])
-
-    spark = listed.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    spread_out = listed.drop("content").repartition(max(cores, spark_partitions(spark)), "path")
-    return spread_out.mapInPandas(read, schema)
+                row = {n: batch.column(k).slice(i, 1) for k, n in enumerate(names)}
+                row["problem"] = pa.array([problem], row["problem"].type)
+                row["content"] = pa.array([content], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+
+    whole = found.where(~long).repartition(tasks, "path").mapInArrow(read, schema)
+    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(piece_bytes).cast("long"))
+    cut = found.where(long).withColumn("_file", F.monotonically_increasing_id()).withColumn("_at", F.explode(starts))
+    pieces = cut.repartition(tasks, "_file", "_at").mapInArrow(read, T.StructType([*cut.schema.fields, schema["content"]]))
+    joined = pieces.groupBy("_file").agg(
+        *[F.first(f"`{c}`").alias(c) for c in found.columns if c != "problem"],
+        F.min("problem").alias("problem"),
+        F.expr("CASE WHEN min(problem) IS NULL THEN listagg(content) WITHIN GROUP (ORDER BY _at) END").alias("content"),
+    )
+    return whole.unionByName(joined.select(*schema.names))
+
+
+def _content(path: str, start: int | None, most: int | None) -> bytes:
+    """The file, or what it holds from ``start``: ``most`` bytes or all."""
+    fs, inner = pafs.FileSystem.from_uri(path)
+    if start is None:
+        with fs.open_input_stream(inner) as stream:
+            return stream.read()
+    with fs.open_input_file(inner) as file:
+        left = max(0, file.size() - start)
+        return file.read_at(left if most is None else min(most, left), start)
 
 
 def scan_corpus(

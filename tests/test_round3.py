@@ -117,3 +117,28 @@ def test_stream_limits_hold_times_and_ids_only(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert rows.count() == n and rows.select("hit").distinct().count() == n and rows.agg(F.max("hit")).first()[0] == n
     assert rows.where("allowed").count() == 5 and rows.select("window_start").distinct().count() == 1
+
+
+def test_long_files_are_read_in_pieces_and_come_back_whole(spark, tmp_path):
+    import os
+
+    from corpusq.sources import files as source
+
+    root = tmp_path / "corpus"
+    (root / "sub").mkdir(parents=True)
+    contents = {"sub/long.bin": os.urandom(10_500), "even.bin": os.urandom(4_000), "short.bin": b"\x00\xff", "empty": b"", "edge": os.urandom(1_000)}
+    for name, content in contents.items():
+        (root / name).write_bytes(content)
+    listed = source.list_files(spark, str(root)).unionByName(
+        spark.createDataFrame([("gone", False, 5_000, None), ("refused", False, 5_000, "over 9 bytes")], source.LISTED)
+    )
+    # The list is kept beside: other columns stay with their file.
+    read = source.read_files(listed.withColumn("tag", F.upper("path")), str(root), piece_bytes=1_000)
+    rows = {r.path: r for r in read.collect()}
+    assert {p: bytes(r.content) for p, r in rows.items() if r.content is not None} == contents
+    assert {p: r.tag for p, r in rows.items()} == {p: p.upper() for p in rows} and len(rows) == len(contents) + 2
+    assert rows["gone"].problem.startswith("cannot be read") and rows["refused"].problem == "over 9 bytes"
+    assert {r.path: r.length for r in rows.values()}["sub/long.bin"] == 10_500
+    # What reads no contents does not carry them past the readers.
+    plan = read.select("path", "length")._jdf.queryExecution().optimizedPlan().toString()
+    assert "listagg" not in plan
