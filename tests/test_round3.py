@@ -142,3 +142,38 @@ def test_long_files_are_read_in_pieces_and_come_back_whole(spark, tmp_path):
     # What reads no contents does not carry them past the readers.
     plan = read.select("path", "length")._jdf.queryExecution().optimizedPlan().toString()
     assert "listagg" not in plan
+
+
+def test_vectors_are_scored_in_slices_bounded_in_numbers(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusq.operators import search
+
+    monkeypatch.setattr(search, "SCORE_NUMBERS", 100)
+    lengths = np.array([30, 30, 30, 30, 500, 0, 0, 99, 1, 1])
+    assert list(search._slices(lengths, 4)) == [(0, 3), (3, 4), (4, 5), (5, 9), (9, 10)]
+    assert list(search._slices(lengths[:0], 4)) == []
+
+    rng = np.random.default_rng(5)
+    rows = [{"ids": np.sort(rng.choice(400, n, replace=False)).tolist(), "weights": rng.random(n).tolist()} if n else None for n in [0, *rng.integers(1, 60, 80)]]
+    sparse = pa.array(rows, pa.struct([("ids", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))]))
+    batch = pa.record_batch({"chunk_id": pa.array(range(81)), "workspace_id": pa.array(["w"] * 81), "sparse": sparse})
+    kernel, sizes = search._Sparse([rows[5], rows[9]]), []
+    monkeypatch.setattr(kernel, "score", lambda column, score=kernel.score: sizes.append(sum(len(x["ids"]) for x in column.to_pylist())) or score(column))
+    best = search._BestK(100)
+    search._scan(batch.slice(0, 81), {"w": [search._Group(("w",), ["a", "b"], kernel)]}, "sparse", ["workspace_id"], best)
+    assert len(sizes) > 10 and max(sizes) <= 100
+    got = {(q, c): s for q, c, s in best.compact().itertuples(index=False)}
+    for name, query in (("a", rows[5]), ("b", rows[9])):
+        weights = dict(zip(query["ids"], query["weights"], strict=True))
+        for c, row in enumerate(rows):
+            want = sum(w * weights.get(i, 0) for i, w in zip(row["ids"], row["weights"], strict=True)) if row else 0
+            assert abs(got.get((name, c), 0) - want) < 1e-5
+
+    # Batches for Python are bounded in bytes as well as in rows.
+    wide = spark.range(0, 3000, 1, 1).select(F.col("id").alias("chunk_id"), F.lit("w").alias("workspace_id"), F.array_repeat(F.lit(1.0), 2000).alias("dense"))
+    asked = spark.createDataFrame([(0, "w", [1.0] * 2000)], "query_id long, workspace_id string, dense array<double>")
+    assert search.dense_topk(asked, wide, 3).count() == 3
+    sent = wide.mapInArrow(lambda batches: (b.slice(0, 1).select(["chunk_id"]).set_column(0, "b", pa.array([b.nbytes])) for b in batches), "b long")
+    assert sent.agg(F.max("b")).first()[0] < search.BATCH_BYTES * 1.1
