@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,36 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Words(dict):
+class Kept(dict):
+    """Values of a function of short texts, kept in two generations.
+
+    When the new one is full it becomes the old one, and what is met again moves back, so
+    frequent texts stay.
+    """
+
+    def __init__(self, of: Callable[[str], bytes]):
+        super().__init__()
+        self.of, self.old = of, {}
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.old.get(text)
+        if value is None:
+            value = self.of(text)
+        if len(text) <= 64:
+            if len(self) >= MAX_CACHED:
+                self.old = dict(self)
+                self.clear()
+            self[text] = value
+        return value
+
+
+class Words:
     """Ids of words as little-endian integers, kept; the tokenizer sees a word once in a while.
 
     Its white space is dropped and nothing in it looks across white space, so a text has the
     ids of its words in turn. Where the file's steps before the merges are those known here
     (NFC, white space, lower case; a split by pattern; bytes as characters), words of Latin
     letters go to its merges at once, piece by piece. All others go through the whole tokenizer.
-
-    Two generations are kept: when the new one is full it becomes the old one, and what is
-    met again moves back, so frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -43,8 +64,6 @@ class Words(dict):
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
-        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)
@@ -54,32 +73,24 @@ class Words(dict):
         known = [n["type"] for n in before] == ["NFC", "Replace", "Lowercase"] and [
             (p["type"], p.get("invert"), p.get("behavior"), p.get("add_prefix_space"), p.get("use_regex")) for p in parts
         ] == [("Split", True, "Removed", None, None), ("ByteLevel", None, None, False, False)]
-        self.split = regex.compile(parts[0]["pattern"]["Regex"]).findall if known else None
+        pattern = parts[0]["pattern"]["Regex"] if known else ""
+        self.split = regex.compile(pattern).findall if known else None
+        # The same pattern with its classes written out for plain texts, which has a quicker engine.
+        lowered = sorted(set("".join(map(chr, [9, 10, *range(32, 127), *range(0xC0, 0x250)])).lower()))
+        held = {c: "".join(filter(regex.compile(c).match, lowered)) for c in (r"\p{L}", r"\p{N}")}
+        classes = reduce(lambda text, c: text.replace(c, held[c]), held, pattern)
+        self.split_plain = re.compile(classes).findall if known and "\\p" not in classes else None
         self.shown = byte_characters()
+        self.words, self.pieces = Kept(self._encoded), Kept(self._merged)
         # None of these changes under NFC or counts as white space.
         self.plain = regex.compile("[!-~\u00c0-\u024f]+").fullmatch
         self.plain_text = regex.compile("[ -~\\t\\n\u00c0-\u024f]*").fullmatch
 
-    def __missing__(self, word: str) -> bytes:
-        packed = self.old.get(word)
-        if packed is None:
-            packed = self._encoded(word)
-        if len(word) <= 64:
-            if len(self) >= MAX_CACHED:
-                self.old = dict(self)
-                self.clear()
-                self[""] = b""
-            self[word] = packed
-        return packed
-
     def _encoded(self, word: str) -> bytes:
         if self.split and self.plain(word) and not any(s in word for s in self.special):
             low = word.lower()
-            pieces = self.split(low)
-            if pieces == [low]:
-                return self._merged(low)
             # A piece alone is a word of the same ids.
-            return b"".join([self[p] if p != word else self._merged(p) for p in pieces])
+            return b"".join(map(self.pieces.__getitem__, self.split(low)))
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _merged(self, piece: str) -> bytes:
@@ -88,11 +99,12 @@ class Words(dict):
         return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, out = self.__getitem__, []
+        get, out = self.words.__getitem__, []
         for t in texts:
-            # Lower-cased at once, so that a word is kept in one form.
-            if self.split and self.plain_text(t) and not any(s in t for s in self.special):
-                t = t.lower()
+            if self.split_plain and self.plain_text(t) and not any(s in t for s in self.special):
+                # Cut into pieces at once: no white space in a piece, and a piece alone has the same ids.
+                out.append(b"".join(map(self.pieces.__getitem__, self.split_plain(t.lower()))))
+                continue
             out.append(b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))))
         return out
 

@@ -177,3 +177,24 @@ def test_vectors_are_scored_in_slices_bounded_in_numbers(spark, monkeypatch):
     assert search.dense_topk(asked, wide, 3).count() == 3
     sent = wide.mapInArrow(lambda batches: (b.slice(0, 1).select(["chunk_id"]).set_column(0, "b", pa.array([b.nbytes])) for b in batches), "b long")
     assert sent.agg(F.max("b")).first()[0] < search.BATCH_BYTES * 1.1
+
+
+def test_plain_texts_are_cut_as_the_tokenizer_cuts_them():
+    import numpy as np
+
+    from corpusq.llm import packing
+    from corpusq.llm.plans import vocabulary
+
+    words = packing.Words(vocabulary("word_bpe_49k.json"))
+    characters = [chr(c) for c in [9, 10, *range(32, 127), *range(0xC0, 0x250)]]
+    for c in characters:
+        assert words.plain_text(c) and words.split_plain(f"a{c}1".lower()) == words.split(f"a{c}1".lower()), c
+    rng = np.random.default_rng(11)
+    texts = ["it's  'Re-read', 10.5%...\n\tI'LL İȺ×ß we've", "", " ", "<|startoftext|> a", "é 中文 x y", "'" * 5 + "s"]
+    texts += ["".join(rng.choice(characters, 60)) for _ in range(200)]
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+    # A word and its mark are kept once each, not also as one.
+    known = packing.Words(vocabulary("word_bpe_49k.json"))
+    known.encode(["Word, word. word! WORD"])
+    assert sorted(known.pieces) == ["!", ",", ".", "word"] and not known.words
