@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,14 +104,52 @@ class FrequentCounter:
             self.keys, self.counts = keys[total > 0], total[total > 0]
 
 
-def prefix(hashes: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """First hashes of a set in the common order: those not frequent by value, then frequent ones, rarest first.
+class CellCounts:
+    """How often the hashes that fall into each cell of a table of fixed length occur.
 
-    Two sets that link share a hash within these.
+    No cell counts less than a hash of its own: where most hashes are unique, one that several
+    sets hold nearly always lies in a fuller cell than the sets' own hashes, however many there are.
+    """
+
+    SLICE = 1 << 16
+
+    def __init__(self, cells: int):
+        self.counts = np.zeros(cells, np.uint32)
+
+    @staticmethod
+    def places(hashes: np.ndarray, cells: int) -> np.ndarray:
+        """A cell for each hash, by bits that blocks and bitmaps do not use; ``cells`` is a power of two."""
+        return ((hashes >> np.uint64(24)) & np.uint64(cells - 1)).astype(np.int64)
+
+    def add(self, hashes: list[np.ndarray]) -> None:
+        for s in hashes:
+            np.add.at(self.counts, self.places(s, len(self.counts)), np.uint32(1))
+
+    def slices(self) -> Iterator[tuple[int, bytes]]:
+        """Number and packed counts of each slice with any count, in the narrowest type."""
+        for i in range(-(-len(self.counts) // self.SLICE)):
+            own = self.counts[i * self.SLICE : (i + 1) * self.SLICE]
+            if most := int(own.max()):
+                yield i, zlib.compress(own.astype(np.min_scalar_type(most)).tobytes(), 1)
+
+    def add_slice(self, i: int, packed: bytes) -> None:
+        own = self.counts[i * self.SLICE : (i + 1) * self.SLICE]
+        raw = zlib.decompress(packed)
+        new = np.frombuffer(raw, f"u{len(raw) // len(own)}")
+        # A full cell stays full.
+        own += np.minimum(new, np.iinfo(np.uint32).max - own)
+
+
+def prefix(hashes: np.ndarray, rank: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """First hashes of a set in the common order; two sets that link share a hash within these.
+
+    Those not frequent come by the counts of their cells, equal counts by value; then frequent
+    ones, rarest first. ``hashes`` are sorted.
     """
     n = len(hashes)
     size = n - -(-percent * n // 100) + 1
-    rare = hashes[rank < 0][:size]
+    rare = hashes[rank < 0]
+    rare = rare[np.argsort(common[rank < 0], kind="stable")[:size]]
     if len(rare) == size:
         return rare
     often = rank >= 0
@@ -283,6 +322,7 @@ def ngram_join(
     frequent: int = 50_000,
     postings_per_block: int = 200_000,
     broadcast_rows: int = 1_000_000,
+    cells: int = 1 << 22,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -297,8 +337,12 @@ def ngram_join(
     part, and pairs below bounds from sizes and places are discarded. First each n-gram's
     sets meet the most central of them; then sets of components still different meet, their
     roots carried in the blocks. Of the pairs left, bitmaps of the sets bound the overlap, and
-    what may still link is counted over all n-grams of the two sets. The frequent n-grams,
-    counted over all documents, only choose the order: any such list gives the same result.
+    what may still link is counted over all n-grams of the two sets. The frequent n-grams, and
+    the counts of all n-grams in a table of ``cells`` cells (a power of two), only choose the
+    order: any such list and table give the same result. The table puts a set's own n-grams
+    before those of a passage it shares with others, so that sets with nothing else in common
+    rarely meet. Its length is fixed, and so is what a count stands out by: it is off by about
+    the root of n-grams per cell, while a passage's count grows with the documents.
 
     A null text counts as empty. A null id is larger than any other and names a component only
     of null ids. Rows with one id are judged each by its text. Other columns are not read. An
@@ -311,11 +355,12 @@ def ngram_join(
     names = ["kind", "doc_id", "key", "n", "bits"]
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, kind = FrequentCounter(), None
+        counter, table, kind = FrequentCounter(), CellCounts(cells), None
         for rows, data, offsets in text_blocks(batches):
             kind = rows.column(0).type
             sets = shingles(data, offsets)
             counter.add(sets)
+            table.add(sets)
             keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -338,6 +383,22 @@ def ngram_join(
                 [pa.array([1] * len(top), pa.int32()), none, pa.array(found[top].view(np.int64)), pa.array(counts[top]), bits],
                 names=names,
             )
+        for i, packed in table.slices():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([2], pa.int32()), pa.nulls(1, kind), pa.array([i]), pa.array([0]), pa.array([packed])], names=names
+            )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the slices of a task, up to what two bytes hold."""
+        table, held = None, set()
+        for batch in batches:
+            table = table or CellCounts(cells)
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                table.add_slice(i, packed)
+                held.add(i)
+        if held:
+            np.minimum(table.counts, np.iinfo(np.uint16).max, out=table.counts)
+            yield pa.RecordBatch.from_pylist([{"slice": i, "counts": x} for i, x in table.slices()])
 
     found = staged(
         source.mapInArrow(survey, f"kind int, doc_id {key_type}, key long, n long, bits binary"), "shingle-sets"
@@ -351,6 +412,11 @@ def ngram_join(
     often = np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64)
     by_hash = np.argsort(often)
     sorted_often, ranks = often[by_hash], (len(often) - by_hash).astype(np.int64)
+    table = CellCounts(cells)
+    slices = found.where("kind = 2").select(F.col("key").alias("slice"), F.col("bits").alias("counts"))
+    for i, packed in slices.repartition("slice").mapInArrow(summed, "slice long, counts binary").collect():
+        table.add_slice(i, packed)
+    counts_of = table.counts.astype(np.uint16)
     total = meta.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total * (100 - percent) / 100 / postings_per_block))
 
@@ -368,7 +434,7 @@ def ngram_join(
                     sets.setdefault(set_key(s), s)
             if not sets:
                 continue
-            firsts = [prefix(s, rank_of(s), percent) for s in sets.values()]
+            firsts = [prefix(s, rank_of(s), counts_of[CellCounts.places(s, cells)], percent) for s in sets.values()]
             lengths = [len(f) for f in firsts]
             token = np.concatenate(firsts)
             key = np.repeat(np.array(list(sets), np.int64), lengths)

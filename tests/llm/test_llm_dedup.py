@@ -351,6 +351,40 @@ def test_frequent_counter_keeps_frequent_hashes():
     assert {7, 8} <= set(counter.keys.tolist())
 
 
+def test_cell_counts_add_up_over_slices_and_stay_full():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    parts = [ngram_join.CellCounts(1 << 17) for _ in range(2)]
+    for part, own in zip(parts, (hashes[:4000], np.concatenate([hashes[3000:], np.repeat(hashes[:1], 300)])), strict=True):
+        part.add([own])
+    total = ngram_join.CellCounts(1 << 17)
+    for part in parts:
+        for i, packed in part.slices():
+            total.add_slice(i, packed)
+    assert (total.counts == parts[0].counts + parts[1].counts).all() and total.counts.sum() == 6300
+    total.counts[:] = 2**32 - 2
+    for i, packed in parts[1].slices():
+        total.add_slice(i, packed)
+    assert total.counts.max() == 2**32 - 1 and total.counts.min() == 2**32 - 2
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 1 << 10])
+def test_documents_that_share_a_passage_only_do_not_meet(spark, monkeypatch, cells):
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}x{i}" for i in range(18)) for k in range(2)]
+    rows = []
+    for i in range(80):
+        own = [f"w{rng.randint(0, 10**9)}" for _ in range(100)]
+        rows.append((i, " ".join([*own[:50], passages[i % 2], *own[50:]])))
+    rows += [(100 + i, text.replace(" w", " v", 2)) for i, (_, text) in enumerate(rows[:10])]
+    met, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *more: met.append(pairs.count()) or verified(pairs, *more))
+    # No list of frequent n-grams: a passage that tasks see too rarely for it.
+    got = ngram_join.ngram_join(hostile.documents(spark, rows), frequent=0, cells=cells)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_components(rows)
+    assert sum(met) < 200  # 1,980 in the order by value alone
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
