@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Hand freed Arrow memory back to the system: an idle Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_blocks(
     batches: Iterable[pa.RecordBatch], max_bytes: int = 1 << 19
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -62,6 +67,8 @@ def text_blocks(
             own = offsets[at : end + 1]
             yield batch.slice(at, end - at), data[own[0] : own[-1]], own - own[0]
             at = end
+        del batch, col, buffers, offsets, data, own
+        give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import mix, staged, text_blocks
+from corpusq.llm.common import give_back, mix, staged, text_blocks
 from corpusq.llm.components import components
 from corpusq.session import cut_lineage
 
@@ -453,6 +453,7 @@ def ngram_join(
             )
 
     def gather(rows: pa.Table) -> pa.Table:
+        give_back()
         lists = Lists.gather(*(_joined(rows, c, d) for c, d in COLUMNS))
         return _packed(rows["block"][0].as_py(), lists)
 
@@ -481,6 +482,7 @@ def ngram_join(
 
     def labelled(own: pa.Table, labels: pa.Table) -> pa.Table:
         """Entries of a bucket of sets with the sets' roots, dealt to the blocks of their n-grams again."""
+        give_back()
         out = []
         node, root = labels["node"].to_numpy(), labels["root"].to_numpy()
         order = np.argsort(node)
@@ -498,6 +500,7 @@ def ngram_join(
         return pa.Table.from_batches(out, _schema("block", None, "root"))
 
     def rest(rows: pa.Table) -> pa.Table:
+        give_back()
         entries = [_joined(rows, c, d) for c, d in [*COLUMNS, ("root", np.int64)]]
         order = np.lexsort((entries[1], entries[3], entries[0]))
         token, key, size, place, root = (x[order] for x in entries)

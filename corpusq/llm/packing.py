@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusq.llm.common import give_back
+
 MAX_CACHED = 200_000
 
 
@@ -209,6 +211,7 @@ def pack(
                         for column, value in zip(rows, row, strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(_typed(rows, key_type), names=names)
+            give_back()
 
     result = T.StructType(
         [
@@ -223,6 +226,7 @@ def pack(
     )
 
     def place(pieces: pa.Table) -> pa.Table:
+        give_back()
         doc, start = pieces["doc_id"].to_pylist(), pieces["start"].to_numpy()
         ids, whole = pieces["ids"].to_pylist(), pieces["doc_tokens"].to_numpy()
         base = int(pieces["group"][0].as_py()) << 32

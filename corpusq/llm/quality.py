@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.llm.common import give_back
+
 FEATURES = [
     "log_bytes", "letter", "upper", "digit", "space", "line_ends", "stop", "exclaim", "pipe", "symbol",
     "brackets", "quotes", "beyond_ascii", "byte_entropy", "word_bytes", "longest_word", "unique_words",
@@ -266,7 +268,11 @@ def scorer(model: AdditiveModel):
     """Column function: text -> score in 0..1. A null or empty text has the score of an empty text."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(matrix(texts)))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            scores = pd.Series(model.score(matrix(texts)))
+            del texts
+            give_back()
+            yield scores
 
     return score

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusq.llm.common import mix, staged, text_blocks
+from corpusq.llm.common import give_back, mix, staged, text_blocks
 
 BASE = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
@@ -330,6 +330,7 @@ def remove_repeats(
 
     def settle(rows: pa.Table) -> pa.Table:
         """Repeats of equal segments are removed; the first ones of anchors with several go on."""
+        give_back()
         columns = {
             name: np.frombuffer(b"".join(rows[name].to_pylist()), kind) for name, kind in ENTRY
         }
@@ -413,6 +414,7 @@ def remove_repeats(
             yield _deal_strings(held, collections, parts)
 
     def compare(rows: pa.Table) -> pa.Table:
+        give_back()
         doc, same, start = (rows[c].to_numpy() for c in ("doc", "same", "start"))
         if rows["part"][0].as_py() >= collections:
             told = rows["piece"].is_null().to_numpy()

@@ -1,10 +1,11 @@
 """Each stage of the pipeline on what its predecessor kept, against a plain version; hostile rows through all."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusq.llm import quality
+from corpusq.llm import common, quality
 from corpusq.llm.common import staged, table
 from corpusq.llm.plans import quality_model
 from tests.llm import hostile
@@ -54,3 +55,29 @@ def test_hostile_rows_and_an_empty_table_go_through(spark):
         for name, stage in corpus_pipeline.STAGES[1:]:
             docs = staged(stage(spark, docs, SF_DIR), name)
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_workers_give_memory_back_and_get_bounded_batches(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batches = [pa.RecordBatch.from_pydict({"text": ["some text"] * 5}) for _ in range(3)]
+    blocks = common.text_blocks(batches, 20)
+    assert len(list(blocks)) == 9 and len(given) == 3
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None)
+    docs = hostile.documents(spark)
+    try:
+        for stage in dict(corpus_pipeline.STAGES).values():
+            if stage is corpus_pipeline.line_stage:
+                continue
+            spark.conf.unset(key)
+            try:
+                stage(spark, docs, SF_DIR)
+            finally:
+                assert spark.conf.get(key) == str(corpus_pipeline.BATCH_BYTES)
+        spark.conf.set(key, "1234567")
+        corpus_pipeline.packing_stage(spark, docs, SF_DIR)
+        assert spark.conf.get(key) == "1234567"
+    finally:
+        spark.conf.set(key, own) if own else spark.conf.unset(key)
