@@ -26,6 +26,8 @@ HELD = (
 )
 # Stands for a string, and at the start of a line for the rest of a string that began above.
 STRING, INSIDE = "\u0001", "\u0002"
+# Stands before and after a lexeme while a text is cut.
+MARK = "\u0003"
 # Ends of lines after which a statement goes on, and starts that go on from the line before.
 GOES_ON = r"(?:=>|[-=(\[{,+*/%&|^?:.<>!~])\s*$"
 FROM_ABOVE = r"^\s*[-.?:+*/%&|^=,)\]}<>{]"
@@ -43,22 +45,22 @@ def blanked(text: Column, rules: OutlineRules) -> Column:
     comment = "^(?:" + "|".join(rules.comments) + ")$" if rules.comments else r"(?!)"
 
     def blank(part: Column) -> Column:
-        ends = F.regexp_replace(part, r"[^\r\n]+", "")
+        ends = F.when(part.rlike(r"[\r\n]"), F.regexp_replace(part, r"[^\r\n]+", "")).otherwise(F.lit(""))
         in_string = F.concat(F.lit(STRING), F.regexp_replace(ends, r"(\r\n|\n|\r)", "$1" + INSIDE))
         # A comment counts as a space where it stood between words.
         return F.when(part.rlike(comment), F.concat(F.lit(" "), ends)).otherwise(in_string)
 
     def rebuilt(plain: Column) -> Column:
-        return let(
+        # Lexemes are every second part of the text cut at marks; a text that holds the mark is scanned twice.
+        marked = F.split(F.regexp_replace(plain, f"({lexeme})", f"{MARK}$1{MARK}"), MARK, -1)
+        twice = let(
             F.regexp_extract_all(plain, F.lit(f"({lexeme})"), F.lit(1)),
-            lambda parts: F.array_join(
-                F.transform(
-                    F.split(plain, lexeme, -1),
-                    lambda code, n: F.concat(code, F.coalesce(blank(F.get(parts, n)), F.lit(""))),
-                ),
-                "",
+            lambda parts: F.flatten(
+                F.transform(F.split(plain, lexeme, -1), lambda code, n: F.array(code, F.coalesce(F.get(parts, n), F.lit(""))))
             ),
         )
+        cut = F.when(F.contains(plain, F.lit(MARK)), twice).otherwise(marked)
+        return F.array_join(F.transform(cut, lambda part, n: F.when((n % 2 == 1) & (part != ""), blank(part)).otherwise(part)), "")
 
     return let(F.regexp_replace(text, r"\\[^\r\n]", "__"), rebuilt)
 
@@ -454,14 +456,14 @@ def es_imports(lines: Column, rules: OutlineRules) -> Column:
 
     def found(code: Column, text: Column) -> Column:
         numbers = F.sequence(F.lit(0), F.size(code) - 1)
-        strings = F.filter(numbers, lambda n: F.contains(F.get(code, n), F.lit(STRING)))
-        starts = F.filter(numbers, lambda n: F.get(code, n).rlike(IMPORT_START))
+        holds_string = F.filter(numbers, lambda n: F.contains(F.get(code, n), F.lit(STRING)))
+        starts = F.filter(numbers, lambda n: F.contains(F.get(code, n), F.lit("import")) & F.get(code, n).rlike(IMPORT_START))
 
         def names(clause: Column) -> Column:
             bare = F.regexp_replace(clause, r"\*\s+as\s+", "")
             return _local_names(F.regexp_replace(bare, r"\btype\s+(?=[\w$])", ""))
 
-        def edges(n: Column) -> Column:
+        def edges(n: Column, strings: Column) -> Column:
             # The module's name ends the statement: the first string from here on.
             whole = _join(text, n, _until(strings, n))
             clause, single, double = (F.regexp_extract_all(whole, F.lit(ES_IMPORT), F.lit(g)) for g in (1, 2, 3))
@@ -472,7 +474,9 @@ def es_imports(lines: Column, rules: OutlineRules) -> Column:
                 F.regexp_count(F.get(code, n), F.lit(IMPORT_START)),
             )
 
-        return F.when(F.size(code) > 0, F.flatten(F.transform(starts, edges)))
+        # Bound, as each step of each statement's search would find the lines with strings again.
+        found_edges = let(holds_string, lambda strings: F.flatten(F.transform(starts, lambda n: edges(n, strings))))
+        return F.when(F.size(code) > 0, found_edges)
 
     def body(whole: Column) -> Column:
         # Comments beside the names go; strings stay, as the modules are read from them.

@@ -57,8 +57,8 @@ ECMASCRIPT = OutlineRules(
         r"`[^`$]*+(?:\$(?:\{(?:[^{}`]++|`[^`]*+`|\{[^{}]*+\})*+\})?+[^`$]*+)*+`?",
         DOUBLE_QUOTED,
         SINGLE_QUOTED,
-        # A regular expression, where a division cannot stand.
-        r"(?<=(?:[(,=:\[!&|?{};]|\breturn)\s{0,8})/(?![*/])(?:[^/\r\n\[]|\[[^\]\r\n]*+\])++/[a-z]*+",
+        # A regular expression, where a division cannot stand; the slash is looked for before what is left of it.
+        r"(?=/)(?<=(?:[(,=:\[!&|?{};]|\breturn)\s{0,8})/(?![*/])(?:[^/\r\n\[]|\[[^\]\r\n]*+\])++/[a-z]*+",
     ),
     class_head=r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+([\w$]+)",
     function_head=r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)",
