@@ -65,8 +65,14 @@ def blanked(text: Column, rules: OutlineRules) -> Column:
     return let(F.regexp_replace(text, r"\\[^\r\n]", "__"), rebuilt)
 
 
-def _count(line: Column, characters: str) -> Column:
-    return F.length(line) - F.length(F.translate(line, characters, ""))
+def _turn(line: Column, opening: str, closing: str) -> Column:
+    """How many more ``opening`` than ``closing`` characters, all ASCII, a line has; most lines have none."""
+
+    def without(characters: str) -> Column:
+        return F.octet_length(F.translate(line, characters, ""))
+
+    some = F.lit("[" + "".join(f"\\{c}" for c in opening + closing) + "]")
+    return F.when(F.rlike(line, some), without(closing) - without(opening)).otherwise(F.lit(0))
 
 
 def _closed(stack: Column, end: Column, gone) -> Column:
@@ -125,7 +131,7 @@ def indent_symbols(lines: Column, rules: OutlineRules) -> Column:
             line.rlike(r"\S").alias("is_code"),
             F.startswith(line, F.lit(INSIDE)).alias("inside"),
             line.rlike(r"\\\s*$").alias("goes_on"),
-            (_count(line, "([{") - _count(line, ")]}")).alias("turn"),
+            _turn(line, "([{", ")]}").alias("turn"),
         ),
     )
     start = F.struct(
@@ -184,7 +190,11 @@ def indent_symbols(lines: Column, rules: OutlineRules) -> Column:
 
 def _braces(line: Column) -> Column:
     """Where a line's braces lead: after it, and at the lowest and highest point within."""
-    zero = F.struct(F.lit(0).alias("after"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+
+    def led(after: int, low: int, high: int) -> Column:
+        return F.struct(F.lit(after).alias("after"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+    zero = led(0, 0, 0)
 
     def step(acc: Column, sign: Column) -> Column:
         now = acc["after"] + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
@@ -192,8 +202,11 @@ def _braces(line: Column) -> Column:
             now.alias("after"), F.least(acc["low"], now).alias("low"), F.greatest(acc["high"], now).alias("high")
         )
 
-    signs = F.split(F.regexp_replace(line, r"[^{}]", ""), "")
-    return F.when(line.rlike("[{}]"), F.aggregate(signs, zero, step)).otherwise(zero)
+    def walked(signs: Column) -> Column:
+        one = F.when(signs == "{", led(1, 0, 1)).when(signs == "}", led(-1, -1, 0))
+        return one.otherwise(F.aggregate(F.split(signs, ""), zero, step))
+
+    return F.when(line.rlike("[{}]"), let(F.regexp_replace(line, r"[^{}]+", ""), walked)).otherwise(zero)
 
 
 def brace_symbols(lines: Column, rules: OutlineRules) -> Column:
@@ -207,14 +220,19 @@ def brace_symbols(lines: Column, rules: OutlineRules) -> Column:
     def about(line: Column, n: Column, ls: Column) -> Column:
         following = F.get(ls, n + 1)
         looks_like = ~line.rlike(rules.not_method) if rules.not_method else F.lit(True)
+        # Asked of declared values only.
+        is_function = F.when(line.rlike(rules.value_head), line.rlike(rules.value_is_function)).otherwise(no) if (
+            rules.value_head and rules.value_is_function
+        ) else no
         return F.struct(
             (n + 1).alias("n"),
             _braces(line).alias("b"),
-            (_count(line, "([") - _count(line, ")]")).alias("turn"),
+            line.rlike("[{}]").alias("has_brace"),
+            _turn(line, "([", ")]").alias("turn"),
             _name(line, rules.class_head).alias("class_name"),
             _name(line, rules.function_head).alias("function_name"),
             _name(line, rules.value_head).alias("value_name"),
-            (line.rlike(rules.value_is_function) if rules.value_is_function else no).alias("is_function"),
+            is_function.alias("is_function"),
             (line.rlike(r"\)\s*(?::[^={]*)?=>") if rules.value_head else no).alias("arrow"),
             F.when(looks_like, _name(line, rules.method_head)).alias("method_name"),
             line.rlike(r"\S").alias("is_code"),
@@ -227,12 +245,20 @@ def brace_symbols(lines: Column, rules: OutlineRules) -> Column:
     start = F.struct(
         _none(OPEN).alias("classes"),
         F.lit(None).cast(HELD).alias("held"),
-        _none(SYMBOL).alias("out"),
+        _none(SYMBOL).alias("ended"),
         F.lit(0).alias("depth"),
         F.lit(0).alias("around"),
     )
 
-    def step(acc: Column, c: Column) -> Column:
+    def step(whole: Column, c: Column) -> Column:
+        # What a line ends is added to all others at the next line, outside of any bound value: these are copied.
+        return F.struct(following(whole["now"], c).alias("now"), _added(whole).alias("out"))
+
+    def _added(whole: Column) -> Column:
+        ended = whole["now"]["ended"]
+        return F.when(F.size(ended) > 0, F.concat(whole["out"], ended)).otherwise(whole["out"])
+
+    def following(acc: Column, c: Column) -> Column:
         depth, around, classes = acc["depth"], acc["around"], acc["classes"]
         after, round_after = depth + c["b"]["after"], around + c["turn"]
         low, high = depth + c["b"]["low"], depth + c["b"]["high"]
@@ -295,33 +321,45 @@ def brace_symbols(lines: Column, rules: OutlineRules) -> Column:
                         ).cast(HELD),
                     ).alias("held"),
                     F.concat(
-                        acc["out"],
                         F.when(complete, symbol).otherwise(_none(SYMBOL)),
                         F.when(fallen_ones, _closed(all_classes, c["n"], falls)).otherwise(_none(SYMBOL)),
-                    ).alias("out"),
+                    ).alias("ended"),
                     after.alias("depth"),
                     round_after.alias("around"),
                 )
 
             return let(F.concat(classes, new_class), state)
 
-        return F.when(c["is_code"], let(F.coalesce(acc["held"], begun), then)).otherwise(acc)
+        # A line without braces changes nothing but the round and square brackets if it begins nothing
+        # outside of a body, or lies in the open body of what is not a value.
+        begins = c["class_name"].isNotNull() | c["function_name"].isNotNull() | c["value_name"].isNotNull() | c["method_name"].isNotNull()
+        quiet = ~c["has_brace"] & F.when(acc["held"].isNull(), ~begins).otherwise(acc["held"]["opened"] & ~acc["held"]["is_value"])
+        passed = F.when((c["turn"] == 0) & (F.size(acc["ended"]) == 0), acc).otherwise(
+            F.struct(
+                classes.alias("classes"), acc["held"].alias("held"), _none(SYMBOL).alias("ended"), depth.alias("depth"),
+                round_after.alias("around"),
+            )
+        )
+        return F.when(~c["is_code"] | quiet, passed).otherwise(let(F.coalesce(acc["held"], begun), then))
 
-    def finish(acc: Column) -> Column:
+    def finish(whole: Column) -> Column:
         # What is still open when the text ends reaches to its last line.
+        acc = whole["now"]
         held = acc["held"]
         left = F.when(
             held.isNotNull() & (held["opened"] | held["is_value"]) & F.coalesce(held["counts"], no), F.array(held)
         ).otherwise(_none(HELD))
         return F.concat(
-            acc["out"],
+            _added(whole),
             _closed(left, F.size(lines), lambda s: F.lit(True)),
             _closed(acc["classes"], F.size(lines), lambda s: F.lit(True)),
         )
 
     return let(
         _lines_of_code(lines, rules),
-        lambda ls: F.sort_array(F.aggregate(F.transform(ls, lambda line, n: about(line, n, ls)), start, step, finish)),
+        lambda ls: F.sort_array(F.aggregate(
+            F.transform(ls, lambda line, n: about(line, n, ls)), F.struct(start.alias("now"), _none(SYMBOL).alias("out")), step, finish
+        )),
     )
 
 
@@ -383,7 +421,7 @@ def _statement_starts(code: Column) -> Column:
     turns = F.transform(
         code,
         lambda line: F.struct(
-            (_count(line, "([{") - _count(line, ")]}")).alias("turn"),
+            _turn(line, "([{", ")]}").alias("turn"),
             line.rlike(r"\\\s*$").alias("goes_on"),
             F.startswith(line, F.lit(INSIDE)).alias("inside"),
         ),

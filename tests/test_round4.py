@@ -34,3 +34,14 @@ def test_lexemes_are_cut_by_one_scan_and_slashes_come_before_what_is_left_of_the
         rows = outline.symbol_outline(_typescript(spark, content)).select(F.inline("symbols")).collect()
         got.append([tuple(r) for r in rows])
     assert got[0] == got[1] == [(2, 2, "function", "f", 0), (4, 5, "class", "K", 0)]
+
+
+def test_closed_symbols_are_not_copied_on_each_line(spark):
+    count = 300
+    text = "".join(f"class K{i} {{\n  m{i}() {{\n    a(\n      1)\n  }}\n}}\n" for i in range(count))
+    df = outline.symbol_outline(_typescript(spark, text)).select(F.inline("symbols"))
+    # The symbols found so far lie beside what a line changes, not in it.
+    assert "now" in _plan(df) and "ended" in _plan(df)
+    want = [(6 * i + 1, 6 * i + 6, "class", f"K{i}", 0) for i in range(count)]
+    want += [(6 * i + 2, 6 * i + 5, "method", f"m{i}", 1) for i in range(count)]
+    assert [tuple(r) for r in df.collect()] == sorted(want)
