@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
-from corpusq.operators import outline
+from corpusq import session
+from corpusq.functions.encoders import hashed_encoder
+from corpusq.operators import outline, persisted
 from corpusq.plugins import ECMASCRIPT
+from corpusq.sources.published import PublishedTables
 
 
 def _plan(df) -> str:
@@ -45,3 +50,63 @@ def test_closed_symbols_are_not_copied_on_each_line(spark):
     want = [(6 * i + 1, 6 * i + 6, "class", f"K{i}", 0) for i in range(count)]
     want += [(6 * i + 2, 6 * i + 5, "method", f"m{i}", 1) for i in range(count)]
     assert [tuple(r) for r in df.collect()] == sorted(want)
+
+
+def _shuffle_files(spark) -> set[str]:
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p.name for folder in folders for p in Path(folder).rglob("shuffle_*.data")}
+
+
+def test_what_a_written_step_has_shuffled_goes_with_it(spark, tmp_path):
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    summed = rows.repartition(3, "k").groupBy("k").agg(F.sum("id").alias("s"))
+    before, folders = _shuffle_files(spark), []
+    cut, staged = session.cut_lineage(summed), session.stage(summed, folders)
+    assert _shuffle_files(spark) <= before
+    assert cut.collect() and sorted(cut.collect()) == sorted(staged.collect())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    # The frame itself can be read again.
+    assert sorted(tuple(r) for r in summed.collect()) == sorted(tuple(r) for r in summed.collect())
+    session.drop_staged(spark, folders)
+
+
+def _index(spark, path, files, **args):
+    tables = persisted.open_index(spark, str(path), 8)
+    scans = [files, {p: t + "more\n" if n % 2 else t for n, (p, t) in enumerate(files.items()) if n != 2}]
+    for scan in scans:
+        rows = [("r", p, t.encode(), len(t)) for p, t in scan.items()]
+        frame = spark.createDataFrame(rows, "repository_id string, path string, content binary, length long")
+        persisted.run_index(tables, frame, hashed_encoder(8), "m", "w", **args)
+    return tables
+
+
+def _rows(tables):
+    found = {}
+    for name, columns in (
+        ("files", ["path", "content_hash", "is_deleted"]),
+        ("chunks", ["chunk_id", "file_id", "content", "is_active"]),
+        ("vectors", ["chunk_id", "file_path", "dense", "sparse", "embedding_version", "is_active"]),
+        ("cache", ["cache_key", "dense", "sparse"]),
+    ):
+        found[name] = sorted(str(tuple(r)) for r in tables.read(name).select(*columns).collect())
+    return found
+
+
+def test_tables_written_in_turns_hold_the_same(spark, tmp_path, monkeypatch):
+    files = {f"f{i}.md": f"# T{i % 4}\n\nwords {i % 5}\n" for i in range(12)}
+    whole = _index(spark, tmp_path / "whole", files, units=2)
+    monkeypatch.setattr(persisted, "TURN_ROWS", 4)
+    versions = []
+    publish = PublishedTables.publish
+
+    def seen(self, *args, **more):
+        versions.append(len(self.versions()))
+        return publish(self, *args, **more)
+
+    monkeypatch.setattr(PublishedTables, "publish", seen)
+    parts = _index(spark, tmp_path / "parts", files, units=2, keep=1)
+    assert _rows(whole) == _rows(parts)
+    # Versions that are not kept go after each unit, not after the last one.
+    assert max(versions) == 1
+    staged = Path(session.checkpoint_root(spark)) / "staged"
+    assert not staged.exists() or not any(staged.iterdir())
