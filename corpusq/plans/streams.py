@@ -11,7 +11,7 @@ from corpusq.plans import tables as t
 from corpusq.plans.chunks import sql_markdown
 from corpusq.plans.indexing import progress_messages
 from corpusq.plans.registry import query
-from corpusq.session import checkpoint_root, cut_lineage
+from corpusq.session import CODEC, checkpoint_root, drop_staged, stage
 from corpusq.streaming import events as ev
 from corpusq.streaming import rate_limit as rl
 
@@ -159,15 +159,17 @@ def index_stream_repeats(spark, sf):
     )
     old = docs.withColumn("content", F.concat(F.encode(F.lit("# Draft\n"), "utf-8"), "content"))
     both = old.withColumn("arrived_at", F.lit(1)).unionByName(docs.withColumn("arrived_at", F.lit(2)))
-    both.repartition(3, "path").write.parquet(f"{root}/in")
+    both.repartition(3, "path").write.option("compression", CODEC).parquet(f"{root}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 1)
     state = {"tables": indexing.empty_tables(spark), "last": -1}
 
     def save(tables, results, number):
         if number > state["last"]:
-            for part in ("files", "chunks", "vectors", "cache"):
-                setattr(tables, part, cut_lineage(getattr(tables, part)))
-            state.update(tables=tables, last=number)
+            folders = []
+            kept = [stage(getattr(tables, part), folders) for part in ("files", "chunks", "vectors", "cache")]
+            # What the batch has staged and the state before it are not read any more.
+            drop_staged(spark, tables.folders)
+            state.update(tables=indexing.IndexTables(*kept, folders), last=number)
 
     start(
         stream.parquet(f"{root}/in"), lambda: state["tables"], save, hashed_encoder(), "hashed-64", "main", run,

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from corpusq import session
+from corpusq import plans, session
 from corpusq.functions.encoders import hashed_encoder
 from corpusq.operators import outline, persisted
 from corpusq.plugins import ECMASCRIPT
@@ -110,3 +110,16 @@ def test_tables_written_in_turns_hold_the_same(spark, tmp_path, monkeypatch):
     assert max(versions) == 1
     staged = Path(session.checkpoint_root(spark)) / "staged"
     assert not staged.exists() or not any(staged.iterdir())
+
+
+def test_a_stream_with_its_own_state_drops_what_it_has_staged(spark, tmp_path):
+    staged = Path(session.checkpoint_root(spark)) / "staged"
+    before = set(staged.iterdir()) if staged.exists() else set()
+    for name, text in (("documents", "# A\n\nb {}\n"),):
+        spark.createDataFrame(
+            [(i, text.format(i), "en", "src1", 10) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long"
+        ).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = plans.queries()["st2_index_stream_repeats"](spark, str(tmp_path)).collect()
+    assert len(rows) == 6 and {r["copies"] for r in rows} == {1}
+    # The last state: files, chunks, vectors and cache.
+    assert len(set(staged.iterdir()) - before) == 4
